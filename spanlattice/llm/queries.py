@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanlattice.llm import components
+from spanlattice.llm import components, crosssplit, neardup
 from spanlattice.queries import Registry
 from spanlattice.session import table
 
@@ -32,3 +32,31 @@ def p1_found(spark, sf_dir):
 def p1_sizes(spark, sf_dir):
     """How many groups there are of each size."""
     return p1_found(spark, sf_dir).groupBy("group_node").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n_groups"))
+
+
+# 2: the same or almost the same images in evaluation and training directories
+
+
+@registry.query("p2_found")
+def p2_found(spark, sf_dir):
+    return crosssplit.cross_split(table(spark, sf_dir, "image_patch"), table(spark, sf_dir, "train_config"))
+
+
+@registry.query("p2_report")
+def p2_report(spark, sf_dir):
+    """Counts per run and dataset of the evaluation image."""
+    return crosssplit.overlap_report(p2_found(spark, sf_dir))
+
+
+# 3: near-duplicate images
+
+
+@registry.query("p3_found")
+def p3_found(spark, sf_dir):
+    return neardup.NearDuplicates(table(spark, sf_dir, "image_patch")).image_pairs()
+
+
+@registry.query("p3_groups")
+def p3_groups(spark, sf_dir):
+    """One row per image: its class, the number of similar classes, and its group."""
+    return neardup.NearDuplicates(table(spark, sf_dir, "image_patch")).image_groups()
