@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanlattice.llm import components, crosssplit, neardup
+from spanlattice.llm import chunking, components, crosssplit, mixing, neardup, tokens
 from spanlattice.queries import Registry
 from spanlattice.session import table
 
@@ -60,3 +60,61 @@ def p3_found(spark, sf_dir):
 def p3_groups(spark, sf_dir):
     """One row per image: its class, the number of similar classes, and its group."""
     return neardup.NearDuplicates(table(spark, sf_dir, "image_patch")).image_groups()
+
+
+# 5: oversized arrays in pieces
+
+
+def _pieces(spark, sf_dir, **how):
+    span = lambda a, b: F.col(b) - F.col(a)
+    images = chunking.pieces(table(spark, sf_dir, "image_patch"), "image", "patch_id", "image", "dtype", span("y0", "y1"), span("x0", "x1"), 512, **how)
+    volumes = chunking.pieces(table(spark, sf_dir, "em_volume"), "em", "volume_id", "em", "dtype", F.col("n_slices"), F.col("n_rows") * F.col("n_cols"), 2048, **how)
+    return images.unionAll(volumes)
+
+
+@registry.query("p5_found")
+def p5_found(spark, sf_dir):
+    return _pieces(spark, sf_dir)
+
+
+@registry.query("p5_landmarks")
+def p5_landmarks(spark, sf_dir):
+    """Pieces whose cuts follow rolling-hash landmarks, so that edits alter neighbouring pieces only."""
+    return _pieces(spark, sf_dir, landmark_bits=3)
+
+
+# 6: token ids
+
+
+@registry.query("p6_ids")
+def p6_ids(spark, sf_dir):
+    return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text", tokens.vocabulary())
+
+
+@registry.query(
+    "p6_round_trip",
+    "select doc_id, text, cast(coalesce(strlen(text), 0) as integer) n_bytes from (select doc_id, coalesce(text, '') as text from documents)",
+)
+def p6_round_trip(spark, sf_dir):
+    """Texts decoded from their ids, with the number of bytes that the last token's offset gives."""
+    encoded = tokens.encode_with_offsets(table(spark, sf_dir, "documents"), "doc_id", "text", tokens.vocabulary())
+    back = tokens.decode(encoded, "doc_id", "ids", tokens.vocabulary())
+    ends = encoded.select("doc_id", F.coalesce(F.try_element_at("byte_to", F.lit(-1)), F.lit(0)).alias("n_bytes"))
+    return back.select("doc_id", "text").join(ends, "doc_id")
+
+
+# 7: a mix of sources
+
+
+def _mix(spark, sf_dir):
+    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), tokens.vocabulary())
+
+
+@registry.query("p7_mix")
+def p7_mix(spark, sf_dir):
+    return _mix(spark, sf_dir).selection()
+
+
+@registry.query("p7_shares")
+def p7_shares(spark, sf_dir):
+    return _mix(spark, sf_dir).shares()
