@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanlattice.llm import chunking, components, crosssplit, mixing, neardup, tokens
+from spanlattice.llm import chunking, components, crosssplit, mixing, neardup, reading, tokens
 from spanlattice.queries import Registry
 from spanlattice.session import table
 
@@ -118,3 +118,23 @@ def p7_mix(spark, sf_dir):
 @registry.query("p7_shares")
 def p7_shares(spark, sf_dir):
     return _mix(spark, sf_dir).shares()
+
+
+# 8: reading levels
+
+
+def _levels(spark, sf_dir):
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
+
+
+@registry.query("p8_found")
+def p8_found(spark, sf_dir):
+    return _levels(spark, sf_dir).filter("p_demanding > 0.5").select("doc_id")
+
+
+@registry.query("p8_profile")
+def p8_profile(spark, sf_dir):
+    """Documents, characters and mean difficulty per source and level."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", mixing.source_name(F.col("source")).alias("source"), "n_chars")
+    got = _levels(spark, sf_dir).join(docs, "doc_id").groupBy("source", "level")
+    return got.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.round(F.avg("difficulty"), 6).alias("difficulty"))
