@@ -89,7 +89,7 @@ class Levels:
     """The fitted model.
 
     ``levels``: (doc_id, level, difficulty, p_demanding), one row per document with a word: the most probable level, the expected level and the
-    probability of level 3 or 4. ``words``: (unit, difficulty, n): the mean step difficulty and the number of occurrences.
+    probability of level 3 or 4. ``words``: (unit, difficulty, n): the mean step difficulty with its sign turned, so that demanding words are high, and the number of documents.
     Null ratings and ratings outside 1 to 4 are left out, equal ratings of a document count once, different ones all count. Null,
     empty and wordless texts have no level. Without any usable rating there is no scale, and no row. Rows without a doc_id are left
     out; of rows with equal doc_id one with a word counts; further columns are not read.
@@ -132,7 +132,7 @@ class Levels:
         level = F.coalesce(*[F.when(F.col(f"p{k}") == best, k) for k in LEVELS])
         mean = sum((F.col(f"p{k}") * k for k in LEVELS[1:]), F.col("p1"))
         self.levels = post.select("doc_id", level.alias("level"), mean.alias("difficulty"), (F.col("p3") + F.col("p4")).alias("p_demanding"))
-        self.words = self.model.join(self.frequency, "unit").select("unit", ((F.col("d2") + F.col("d3") + F.col("d4")) / 3).alias("difficulty"), "n")
+        self.words = self.model.join(self.frequency, "unit").select("unit", (-(F.col("d2") + F.col("d3") + F.col("d4")) / 3).alias("difficulty"), "n")
 
     def _units(self, docs: DataFrame) -> None:
         """Step difficulties from documents with levels p1..p4; keeps the model as (unit, d2, d3, d4)."""
