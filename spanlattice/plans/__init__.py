@@ -1 +1 @@
-
+"""Whole pipelines made of operators."""
