@@ -168,7 +168,8 @@ def boundary(pixels: DataFrame, label: str, size: int = 1) -> DataFrame:
     At the image's border the pixel itself stands for the missing neighbour.
     """
     wx, wy = W.partitionBy("slice", "y").orderBy("x"), W.partitionBy("slice", "x").orderBy("y")
-    differs = lambda w: F.coalesce(F.lag(label).over(w), F.col(label)) != F.coalesce(F.lead(label).over(w), F.col(label))
+    side = lambda w, k: F.coalesce(F.max(label).over(w.rangeBetween(k, k)), F.col(label))
+    differs = lambda w: side(w, -1) != side(w, 1)
     edge = pixels.select("slice", "y", "x", label).withColumn("_ex", differs(wx)).withColumn("edge", (F.col("_ex") | differs(wy)).cast("int"))
     return dense_max(edge, "edge", 2 * size + 1, "bd").select("slice", "y", "x", "bd")
 
