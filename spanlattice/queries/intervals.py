@@ -345,15 +345,15 @@ def track_backward(spark, sf_dir):
 _LIFT = f"with {_LINE_RUNS}, pts as (select src, lab, lab slice, unnest(range(s, e)) i from line_runs),"
 
 
-@registry.query("lift_yz", _LIFT + """ v as (select distinct src, lab, i * 8 + slice i from pts), g as (select *, i - row_number() over (partition by src, lab order by i) k from v)
-select src, lab as label, min(i) s, max(i) + 1 e from g group by src, lab, k""")
+@registry.query("lift_yz", _LIFT + """ v as (select distinct src, lab, i * 8 + slice i from pts), g2 as (select *, i - row_number() over (partition by src, lab order by i) k from v)
+select src, lab as label, min(i) s, max(i) + 1 e from g2 group by src, lab, k""")
 def lift_yz(spark, sf_dir):
     """Slices across x of a volume 8 wide, put in the volume."""
     return track.lift(_planes(spark, sf_dir), ["src"], "yz", (1 << 20, 50, 8))
 
 
-@registry.query("lift_xz", _LIFT + """ v as (select distinct src, lab, (i // 100) * 800 + slice * 100 + i % 100 i from pts), g as (select *, i - row_number() over (partition by src, lab order by i) k from v)
-select src, lab as label, min(i) s, max(i) + 1 e from g group by src, lab, k""")
+@registry.query("lift_xz", _LIFT + """ v as (select distinct src, lab, (i // 100) * 800 + slice * 100 + i % 100 i from pts), g2 as (select *, i - row_number() over (partition by src, lab order by i) k from v)
+select src, lab as label, min(i) s, max(i) + 1 e from g2 group by src, lab, k""")
 def lift_xz(spark, sf_dir):
     """Slices across y of a volume 8 high and 100 wide; runs are cut at row ends."""
     return track.lift(_planes(spark, sf_dir), ["src"], "xz", (1 << 20, 8, 100))

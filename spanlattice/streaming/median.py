@@ -49,7 +49,7 @@ def sliding_median(df: DataFrame, keys: list[str], order: list[str], value: str,
     half = size // 2
     w = W.partitionBy(*keys).orderBy(*order)
     full = F.count(F.lit(1)).over(w.rowsBetween(-half, half)) == size
-    return df.withColumn(name, F.when(full, F.median(value).over(w.rowsBetween(-half, half))).otherwise(F.col(value).cast("double")))
+    return df.withColumn(name, F.when(full, F.percentile(value, F.lit(0.5)).over(w.rowsBetween(-half, half))).otherwise(F.col(value).cast("double")))
 
 
 def recursive_median(df: DataFrame, keys: list[str], order: list[str], value: str, size: int) -> DataFrame:
