@@ -59,22 +59,25 @@ def sign_hash(values: Column, bits: int = 32) -> Column:
     return F.aggregate(F.slice(values, 1, bits), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR((x > 0).cast("bigint")))
 
 
-def hash_pairs(df: DataFrame, ident: str, hash_: str, distance: int, bits: int) -> DataFrame:
-    """(a, b, dist), a < b: all pairs whose hashes differ in at most ``distance`` bits.
+def hash_classes(df: DataFrame, ident: str, hash_: str) -> DataFrame:
+    """(id, class_id, h): items of equal hash are a class under its least id; null ids and hashes are left out."""
+    known = df.filter(F.col(ident).isNotNull() & F.col(hash_).isNotNull()).select(F.col(ident).alias("id"), F.col(hash_).alias("h")).distinct()
+    return known.join(known.groupBy("h").agg(F.min("id").alias("class_id")), "h").select("id", "class_id", "h")
 
-    The hash is cut into distance + 1 bands: a pair within the distance agrees on one of them. Ids of one hash value stand together in the band join.
+
+def hash_pairs(classes: DataFrame, distance: int, bits: int) -> DataFrame:
+    """(a, b, dist), a < b: all pairs of classes (see hash_classes) whose hashes differ in at most ``distance`` bits.
+
+    The hash is cut into distance + 1 bands: a pair within the distance agrees on one of them. Members of a class never meet here.
     """
     bands = min(distance + 1, bits)
     cut = [round(bits * k / bands) for k in range(bands + 1)]
-    byhash = df.filter(F.col(ident).isNotNull() & F.col(hash_).isNotNull()).select(F.col(ident).alias("id"), F.col(hash_).alias("h"))
-    values = byhash.select("h").distinct()
+    values = classes.filter("id = class_id").select("id", "h")
     keys = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("h", cut[k]).bitwiseAND((1 << (cut[k + 1] - cut[k])) - 1).alias("v")) for k in range(bands)]
-    banded = values.select("h", F.explode(F.array(*keys)).alias("key"))
-    other = banded.select(F.col("h").alias("g"), "key")
-    near = banded.join(other, "key").filter((F.col("h") < F.col("g")) & (F.bit_count(F.col("h").bitwiseXOR(F.col("g"))) <= distance)).select("h", "g").distinct()
-    near = near.unionAll(values.select("h", F.col("h").alias("g")))
-    met = near.join(byhash.select("h", F.col("id").alias("p")), "h").join(byhash.select(F.col("h").alias("g"), F.col("id").alias("q")), "g").filter("h <> g or p < q")
-    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.bit_count(F.col("h").bitwiseXOR(F.col("g"))).cast("int").alias("dist"))
+    banded = values.select(F.col("id").alias("a"), F.col("h").alias("g"), F.explode(F.array(*keys)).alias("key"))
+    other = banded.select(F.col("a").alias("b"), F.col("g").alias("h"), "key")
+    dist = F.bit_count(F.col("g").bitwiseXOR(F.col("h"))).cast("int")
+    return banded.join(other, "key").filter((F.col("a") < F.col("b")) & (dist <= distance)).select("a", "b", dist.alias("dist")).distinct()
 
 
 def exemplars(nodes: DataFrame, ident: str, pairs: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:

@@ -64,17 +64,26 @@ def hashes(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), curate.sign_hash(F.col("embedding"), 32).alias("h"))
 
 
-@registry.query("hash_pairs", f"with {_HASH} select a.id a, b.id b, cast(bit_count(xor(a.h, b.h)) as integer) dist from hs a join hs b on a.id < b.id and bit_count(xor(a.h, b.h)) <= 5")
+_CLASSES = "cl as (select h, min(id) id from hs group by 1)"
+
+
+@registry.query("hash_pairs", f"with {_HASH}, {_CLASSES} select a.id a, b.id b, cast(bit_count(xor(a.h, b.h)) as integer) dist from cl a join cl b on a.id < b.id and bit_count(xor(a.h, b.h)) <= 6")
 def hash_pairs(spark, sf_dir):
-    return curate.hash_pairs(hashes(spark, sf_dir), "id", "h", 5, 32)
+    """Pairs of classes of equal hashes."""
+    return curate.hash_pairs(curate.hash_classes(hashes(spark, sf_dir), "id", "h"), 6, 32)
+
+
+@registry.query("hash_classes", f"with {_HASH}, {_CLASSES} select hs.id, cl.id class_id from hs join cl using (h)")
+def hash_classes(spark, sf_dir):
+    return curate.hash_classes(hashes(spark, sf_dir), "id", "h").select("id", "class_id")
 
 
 @registry.query("dedup_greedy")
 def dedup_greedy(spark, sf_dir):
     """Greedy exemplars by hash distance: no two kept ones are close, and every other one is close to a kept one."""
     scratch = Scratch(spark, "dedup")
-    h = scratch.keep(hashes(spark, sf_dir))
-    return curate.exemplars(h, "id", curate.hash_pairs(h, "id", "h", 5, 32), scratch)
+    classes = scratch.keep(curate.hash_classes(hashes(spark, sf_dir), "id", "h"))
+    return curate.exemplars(classes.filter("id = class_id"), "id", curate.hash_pairs(classes, 6, 32), scratch)
 
 
 @registry.query("sample_weights", "with c as (select event_type, count(*) n from events group by 1), w as (select *, pow(1.0 / n, 0.3) w from c) select event_type, n, round(w / sum(w) over (), 9) weight from w")
