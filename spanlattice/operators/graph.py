@@ -51,6 +51,7 @@ def overlap_edges(objects: DataFrame, runs: DataFrame, dims: Dims | None = D2, b
     ``objects``: (node, source, box columns); ``runs``: (node, s, e), disjoint per node. With ``dims`` the boxes screen the objects first;
     runs of objects without any candidate never enter the interval join.
     """
+    runs = runs.select("node", "s", "e")
     r = runs.join(objects.select("node", "source"), "node")
     if dims is not None:
         pairs = cross_source_pairs(objects, "source", "node", dims, cell).select("a_node", "b_node")

@@ -95,10 +95,14 @@ def peaks(pixels: DataFrame, value: str, threshold: float, kernel: int, dense: b
     return top.filter((F.col(value) > threshold) & (F.col(value) == F.col("_top")) & (F.col(value) > 0)).drop("_top")
 
 
+#: Rings of cells around a point up to which the grid is searched; the points still open then, far from all centres, are compared with all of their key.
+MAX_RING = 16
+
+
 def nearest_center(points: DataFrame, centers: DataFrame, keys: list[str], py: str = "py", px: str = "px", far: float = 1e5, cell: float | None = None) -> DataFrame:
     """Adds ``center`` to each point: the nearest one of its key (ties: the least id), 0 if all are ``far`` or there is none.
 
-    ``centers``: (keys, center, cy, cx). With ``cell``, centres are looked up on a grid, in rings of cells around the point until none can be nearer, in rounds
+    ``centers``: (keys, center, cy, cx), ids above 0. With ``cell``, centres are looked up on a grid, in rings of cells around the point until none can be nearer, in rounds
     that hold only the points still open; without it, points and centres of a key are all compared.
     """
     if cell is not None:
@@ -114,7 +118,6 @@ def _nearest_on_grid(points: DataFrame, centers: DataFrame, keys: list[str], py:
     scratch = Scratch(points.sparkSession, "nearest")
     cols = points.columns
     grid = centers.withColumn("_gy", F.floor(F.col("cy") / cell)).withColumn("_gx", F.floor(F.col("cx") / cell))
-    span = grid.agg(F.min("_gy"), F.max("_gy"), F.min("_gx"), F.max("_gx")).first()
     left = scratch.keep(points.withColumn("_p", F.monotonically_increasing_id()).withColumn("_hy", F.floor(F.col(py) / cell)).withColumn("_hx", F.floor(F.col(px) / cell)))
     done, ring, first = [], 0, True
     best_none = F.lit(None).cast("struct<d:double,center:bigint>")
@@ -131,17 +134,16 @@ def _nearest_on_grid(points: DataFrame, centers: DataFrame, keys: list[str], py:
         done.append(now.filter(sure))
         left = now.filter(~sure)
         first = False
-        edge = span[0] is None or ring > max(span[1] - span[0], span[3] - span[2]) + 1
-        if edge or not left.limit(1).count():
+        if not left.limit(1).count():
             break
         ring = max(1, 2 * ring)
-        if ring > 16:  # few points lie so far from all centres
-            done.append(nearest_center(left.drop("_best", "_hy", "_hx"), centers, keys, py, px, far).select(*cols, "_p", F.struct(F.lit(0.0).alias("d"), F.col("center").cast("bigint").alias("center")).alias("_best")))
-            left = left.limit(0)
+        if ring > MAX_RING:
+            rest = nearest_center(left.drop("_best", "_hy", "_hx"), centers, keys, py, px, far)
+            done.append(rest.select(*cols, F.when(F.col("center") > 0, F.struct(F.lit(0.0).alias("d"), F.col("center").cast("bigint").alias("center"))).alias("_best")))
             break
     out = None
-    for part in [*done, left]:
-        part = part.select(*cols, F.when(F.col("_best.d") < far, F.col("_best.center")).otherwise(0).alias("center"))
+    for part in done:
+        part = part.select(*cols, F.when(F.col("_best.d") < far, F.col("_best.center")).otherwise(0).cast("bigint").alias("center"))
         out = part if out is None else out.unionAll(part)
     return out
 

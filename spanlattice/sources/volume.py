@@ -69,6 +69,7 @@ class BlockVolume(DataSource):
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BlockVolume)
     return spark.read.format("blocks").load(path)
 
