@@ -48,6 +48,7 @@ def test_groups(spark):
 
 def test_chain_and_hub(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_KEYS", 4)
+    monkeypatch.setattr(skew, "PLAIN_ROWS", 0)
     from spanlattice.llm import components
 
     monkeypatch.setattr(components, "HOT_KEYS", 4)
