@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A key counts as hot if it holds more than 2/HOT_KEYS of the rows, so there are fewer than HOT_KEYS / 2 of them.
 HOT_KEYS = 1000
+#: Left rows up to which one task could hold them all, so that no key needs care.
+PLAIN_ROWS = 200_000
 
 
 def hot_keys(left: DataFrame, key: str, n_left: int) -> DataFrame:
@@ -19,8 +21,10 @@ def lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, value: s
 
     The right rows of hot keys are broadcast (their number is bounded by HOT_KEYS / 2). Left rows served that way go
     through the shuffled join under a key made from ``spread``, so no partition collects them. ``hot`` may be given if
-    the caller knows the hot keys (column ``right_key``) already. Null keys get a null value.
+    the caller knows the hot keys (column ``right_key``) already. Null keys get a null value. Up to PLAIN_ROWS left rows it is a plain join.
     """
+    if n_left <= PLAIN_ROWS:
+        return left.join(right.select(F.col(right_key).alias("_rk"), F.col(value)), F.col(key) == F.col("_rk"), "left").drop("_rk")
     hot = hot_keys(left.filter(F.col(key).isNotNull()), key, n_left).withColumnRenamed(key, right_key) if hot is None else hot
     small = right.join(F.broadcast(hot), right_key, "left_semi").select(F.col(right_key).alias("_hk"), F.col(value).alias("_hv"), F.lit(True).alias("_hit"))
     big = right.select(F.col(right_key).alias("_rk"), F.col(value).alias("_rv"))
