@@ -83,8 +83,8 @@ def pieces(df: DataFrame, kind: str, item: str, data: str, dtype: str, n_lines:
             yield pd.DataFrame({"item_id": np.array(ids, np.int64), "firsts": firsts, "ends": ends})
 
     small_batches(df)
-    usable = df.filter(F.col(item).isNotNull() & readable(data, dtype, n_lines, line_cells)).filter(n_lines.cast("bigint") * line_cells > limit)
-    cuts = usable.select(F.col(item).alias("item_id"), n_lines.alias("n"), line_cells.alias("cells"), (F.col(dtype) == "uint16").alias("wide"), F.col(data).alias("data"))
+    usable = df.filter(F.col(item).isNotNull() & readable(data, dtype, n_lines, line_cells)).filter(F.try_multiply(n_lines.cast("bigint"), line_cells.cast("bigint")) > limit)
+    cuts = usable.select(F.col(item).alias("item_id"), n_lines.cast("int").alias("n"), line_cells.cast("int").alias("cells"), (F.col(dtype) == "uint16").alias("wide"), F.col(data).alias("data"))
     cuts = cuts.mapInPandas(make, "item_id bigint, firsts array<int>, ends array<int>")
     once = cuts.groupBy("item_id").agg(F.min(F.struct("firsts", "ends")).alias("x"))  # small lists only are shuffled
     each = once.select("item_id", F.posexplode(F.arrays_zip("x.firsts", "x.ends")).alias("piece_no", "p"))

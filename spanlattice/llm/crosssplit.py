@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlattice.llm.images import blank, clean_path, grey, parents, readable, small_batches
+from spanlattice.llm.images import blank, clean_path, extent, grey, parents, readable, small_batches
 from spanlattice.session import Scratch
 
 #: Width of a level step in a token; at 14, a level moved by up to 3 meets 1.43 steps on average.
@@ -116,8 +116,8 @@ def cross_split(patches: DataFrame, config: DataFrame, agree: float = 0.95, tole
         raise ValueError(f"tolerance must be less than {STEP // 2}")
     scratch = Scratch(patches.sparkSession, "crosssplit")
     small_batches(patches)
-    h, w = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
-    usable = patches.filter(F.col("patch_id").isNotNull() & readable("image", "dtype", h, w)).select("patch_id", "dataset", "file_path", h.alias("h"), w.alias("w"), (F.col("dtype") == "uint16").alias("wide"), "image")
+    h, w = extent("y0", "y1"), extent("x0", "x1")
+    usable = patches.filter(F.col("patch_id").isNotNull() & readable("image", "dtype", h, w)).select("patch_id", "dataset", "file_path", h.cast("int").alias("h"), w.cast("int").alias("w"), (F.col("dtype") == "uint16").alias("wide"), "image")
     roles = scratch.keep(placed_patches(usable, config))
     in_use = roles.groupBy("patch_id").agg(F.max(F.when(F.col("is_eval"), 1).otherwise(0)).alias("ev"), F.max(F.when(F.col("is_eval"), 0).otherwise(1)).alias("tr"))
 

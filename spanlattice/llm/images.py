@@ -23,9 +23,14 @@ def readable(data: str, dtype: str, *dims: Column) -> Column:
     """The array is there, its dimensions are positive, and it has exactly the bytes they and the type call for."""
     cells, there = F.lit(1).cast("bigint"), F.lit(True)
     for d in dims:
-        cells, there = cells * d.cast("bigint"), there & (d > 0)
+        cells, there = F.try_multiply(cells, d.cast("bigint")), there & (d > 0)
     width = F.when(F.col(dtype) == "uint8", 1).when(F.col(dtype) == "uint16", 2)
-    return F.coalesce(there & (F.octet_length(data) == cells * width), F.lit(False))
+    return F.coalesce(there & (F.octet_length(data) == F.try_multiply(cells, width)), F.lit(False))
+
+
+def extent(low: str, high: str) -> Column:
+    """high - low, as bigint."""
+    return F.col(high).cast("bigint") - F.col(low).cast("bigint")
 
 
 def grey(data: bytes, wide: bool) -> np.ndarray:

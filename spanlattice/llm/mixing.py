@@ -18,7 +18,7 @@ BINS = 1024
 
 def source_name(source: Column) -> Column:
     """One spelling of a source: lower case, without white space around."""
-    return F.lower(F.trim(source))
+    return F.lower(F.regexp_replace(source, r"(?U)^\s+|\s+$", ""))
 
 
 def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:

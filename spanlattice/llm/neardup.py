@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlattice.llm.components import components
-from spanlattice.llm.images import blank, grey, readable, small_batches
+from spanlattice.llm.images import blank, extent, grey, readable, small_batches
 from spanlattice.session import Scratch
 
 ORDERS = 3
@@ -78,8 +78,8 @@ def _sets(patches: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame({"patch_id": np.array(ids, np.int64), "size": np.array([len(x) // 8 for x in out], np.int32), "tokens": out})
 
     small_batches(patches)
-    h, w = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
-    usable = patches.filter(F.col("patch_id").isNotNull() & readable("image", "dtype", h, w)).select("patch_id", h.alias("h"), w.alias("w"), (F.col("dtype") == "uint16").alias("wide"), "image")
+    h, w = extent("y0", "y1"), extent("x0", "x1")
+    usable = patches.filter(F.col("patch_id").isNotNull() & readable("image", "dtype", h, w)).select("patch_id", h.cast("int").alias("h"), w.cast("int").alias("w"), (F.col("dtype") == "uint16").alias("wide"), "image")
     return usable.mapInPandas(make, "patch_id bigint, size int, tokens binary").withColumn("sig", F.sha2("tokens", 256))
 
 

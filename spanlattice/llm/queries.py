@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlattice.llm import chunking, components, crosssplit, mixing, neardup, reading, tokens
+from spanlattice.llm.images import extent
 from spanlattice.queries import Registry
 from spanlattice.session import table
 
@@ -66,9 +67,8 @@ def p3_groups(spark, sf_dir):
 
 
 def _pieces(spark, sf_dir, **how):
-    span = lambda a, b: F.col(b) - F.col(a)
-    images = chunking.pieces(table(spark, sf_dir, "image_patch"), "image", "patch_id", "image", "dtype", span("y0", "y1"), span("x0", "x1"), 512, **how)
-    volumes = chunking.pieces(table(spark, sf_dir, "em_volume"), "em", "volume_id", "em", "dtype", F.col("n_slices"), F.col("n_rows") * F.col("n_cols"), 2048, **how)
+    images = chunking.pieces(table(spark, sf_dir, "image_patch"), "image", "patch_id", "image", "dtype", extent("y0", "y1"), extent("x0", "x1"), 512, **how)
+    volumes = chunking.pieces(table(spark, sf_dir, "em_volume"), "em", "volume_id", "em", "dtype", F.col("n_slices"), F.try_multiply(F.col("n_rows").cast("bigint"), F.col("n_cols").cast("bigint")), 2048, **how)
     return images.unionAll(volumes)
 
 

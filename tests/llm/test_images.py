@@ -39,7 +39,7 @@ def images(seed=7, n=24):
         i += 1
         rows.append((i, "/p/base/train/x.tiff", "a", 0, 9, 0, 14, "uint8", dirt, 1, "t", 2))
     still = np.full((9, 14), 9)
-    rows += [patch(i + 1, still, "/p/base/train/x"), patch(i + 2, still, "/p/base/eval/x"), (None, *rows[0][1:]), (i + 3, None, *rows[0][2:]), (i + 4, *rows[0][1:7], None, *rows[0][8:]), (i + 5, *rows[0][1:3], None, *rows[0][4:])]
+    rows += [patch(i + 1, still, "/p/base/train/x"), patch(i + 2, still, "/p/base/eval/x"), (None, *rows[0][1:]), (i + 3, None, *rows[0][2:]), (i + 4, *rows[0][1:7], None, *rows[0][8:]), (i + 5, *rows[0][1:3], None, *rows[0][4:]), (i + 6, *rows[0][1:3], -(2**31), 2**31 - 1, -(2**31), 2**31 - 1, *rows[0][7:])]
     return rows + rows[:4]
 
 
