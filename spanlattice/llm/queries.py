@@ -37,13 +37,32 @@ def p1_sizes(spark, sf_dir):
 
 # 2: the same or almost the same images in evaluation and training directories
 
-
-@registry.query("p2_found")
+# grey levels of readable images that are not blank, one row each: from the hexadecimal form of the bytes
+_LEVELS = """
+raw as (select distinct patch_id, y1 - y0 h, x1 - x0 w, dtype, hex(image) x from image_patch
+  where y1 > y0 and x1 > x0 and octet_length(image) = (y1 - y0) * (x1 - x0) * case dtype when 'uint8' then 1 when 'uint16' then 2 end),
+lv as (select patch_id, h, w, case when dtype = 'uint8' then list_transform(range(h * w), lambda i: cast('0x' || substr(x, 2 * i + 1, 2) as integer))
+  else list_transform(range(h * w), lambda i: cast('0x' || substr(x, 4 * i + 3, 2) || substr(x, 4 * i + 1, 2) as integer) // 257) end g from raw),
+grey as (select distinct on (patch_id) * from lv where list_max(g) - list_min(g) > 3)"""
+_CLEAN = "case when starts_with({0}, '/') then '/' else '' end || array_to_string(list_filter(string_split({0}, '/'), lambda s: s not in ('', '.')), '/')"
+_ROLES = f"""
+dirs as (select run_name, true ev, eval_dir d from train_config union all select run_name, false, train_dir from train_config union all select run_name, false, unnest(additional_train_dirs) from train_config),
+roles as (select distinct run_name, ev, {_CLEAN.format('d')} d from dirs where d is not null),
+paths as (select distinct patch_id, dataset, {_CLEAN.format('file_path')} p from image_patch),
+placed as (select distinct run_name, ev, patch_id, dataset from paths join roles on starts_with(p, roles.d || '/'))"""
+_CROSS = f"""with {_LEVELS}, {_ROLES},
+cand as (select distinct e.run_name, e.dataset, e.patch_id a, t.patch_id b from placed e join placed t on t.run_name = e.run_name and e.ev and not t.ev and e.patch_id <> t.patch_id),
+two as (select distinct a, b from cand), met as (select a, b, unnest(x.g) u, unnest(y.g) v from two join grey x on x.patch_id = a join grey y on y.patch_id = b where x.h = y.h and x.w = y.w),
+ok as (select a, b from met group by a, b having 100 * count(*) filter (abs(u - v) <= 3) >= 95 * count(*)),
+found as (select distinct run_name, dataset, least(a, b) patch_id1, greatest(a, b) patch_id2 from cand join ok using (a, b))"""
+
+
+@registry.query("p2_found", _CROSS + " select * from found")
 def p2_found(spark, sf_dir):
     return crosssplit.cross_split(table(spark, sf_dir, "image_patch"), table(spark, sf_dir, "train_config"))
 
 
-@registry.query("p2_report")
+@registry.query("p2_report", _CROSS + " select run_name, dataset, count(*) n_pairs from found group by 1, 2")
 def p2_report(spark, sf_dir):
     """Counts per run and dataset of the evaluation image."""
     return crosssplit.overlap_report(p2_found(spark, sf_dir))
@@ -51,13 +70,25 @@ def p2_report(spark, sf_dir):
 
 # 3: near-duplicate images
 
+_NEAR = f"""with recursive {_LEVELS},
+pos as (select patch_id, g, h, w, unnest(range(h * w)) i from grey where w >= 8), seq as (select distinct patch_id, g[i + 1 : i + 8] q from pos where i % w <= w - 8),
+size as (select patch_id, count(*) n from seq group by 1), com as (select a.patch_id a, b.patch_id b, count(*) c from seq a join seq b on a.q = b.q and a.patch_id < b.patch_id group by 1, 2),
+pairs as (select a patch_id1, b patch_id2 from com join size x on x.patch_id = a join size y on y.patch_id = b where 10 * c >= 6 * (x.n + y.n - c))"""
+
 
-@registry.query("p3_found")
+@registry.query("p3_found", _NEAR + " select * from pairs")
 def p3_found(spark, sf_dir):
     return neardup.NearDuplicates(table(spark, sf_dir, "image_patch")).image_pairs()
 
 
-@registry.query("p3_groups")
+@registry.query(
+    "p3_groups",
+    _NEAR + """, sets as (select patch_id, list(q order by q) s from seq group by 1), cls as (select patch_id, min(patch_id) over (partition by s) class_id from sets),
+ends as (select patch_id1 u, patch_id2 v from pairs union all select patch_id2, patch_id1 from pairs), reach(n, o) as (select patch_id, patch_id from size union select r.n, e.v from reach r join ends e on e.u = r.o),
+grp as (select n patch_id, min(o) group_id from reach group by 1),
+links as (select u patch_id, count(distinct c.class_id) k from ends join cls me on me.patch_id = u join cls c on c.patch_id = v where c.class_id <> me.class_id group by 1)
+select cls.patch_id, class_id, coalesce(k, 0) n_links, group_id from cls join grp using (patch_id) left join links using (patch_id)""",
+)
 def p3_groups(spark, sf_dir):
     """One row per image: its class, the number of similar classes, and its group."""
     return neardup.NearDuplicates(table(spark, sf_dir, "image_patch")).image_groups()
@@ -72,7 +103,27 @@ def _pieces(spark, sf_dir, **how):
     return images.unionAll(volumes)
 
 
-@registry.query("p5_found")
+_PIECES = """with recursive
+iraw as (select distinct patch_id id, y1 - y0 n, x1 - x0 w, dtype, hex(image) x from image_patch
+  where y1 > y0 and x1 > x0 and octet_length(image) = (y1 - y0) * (x1 - x0) * case dtype when 'uint8' then 1 when 'uint16' then 2 end and (y1 - y0) * (x1 - x0) > 512),
+vraw as (select distinct volume_id id, n_slices n, n_rows * n_cols w, dtype, hex(em) x from em_volume
+  where n_slices > 0 and n_rows > 0 and n_cols > 0 and octet_length(em) = n_slices * n_rows * n_cols * case dtype when 'uint8' then 1 when 'uint16' then 2 end and n_slices * n_rows * n_cols > 2048),
+raw as (select 'image' kind, 512 most, * from iraw union all select 'em', 2048, * from vraw),
+px as (select kind, id, n, w, most, z, case when dtype = 'uint8' then cast('0x' || substr(x, 2 * i + 1, 2) as integer) else cast('0x' || substr(x, 4 * i + 3, 2) || substr(x, 4 * i + 1, 2) as integer) // 257 end v
+  from (select *, unnest(range(z * w, z * w + w)) i from (select *, unnest(range(n)) z from raw))),
+still as (select kind, id, z from px group by kind, id, z having max(v) - min(v) <= 3),
+bound as (select kind, id, z from still where z > 0 union select s.kind, s.id, s.z + 1 from still s),
+item as (select distinct kind, id, n, most // w fit from raw),
+nat as (select kind, id, list(z) cuts from bound group by 1, 2),
+cut as (select i.*, coalesce(nat.cuts, []) cuts from item i left join nat using (kind, id)),
+piece(kind, id, n, fit, cuts, k, a, b) as (
+  select kind, id, n, fit, cuts, 0, 0, case when n <= fit then n else coalesce(list_max(list_filter(cuts, lambda z: z >= 3 and z <= fit and z < n)), fit) end from cut
+  union all
+  select kind, id, n, fit, cuts, k + 1, b - 2, case when n - (b - 2) <= fit then n else coalesce(list_max(list_filter(cuts, lambda z: z >= b + 1 and z <= b - 2 + fit and z < n)), b - 2 + fit) end from piece where b < n)
+"""
+
+
+@registry.query("p5_found", _PIECES + " select kind item_kind, id item_id, cast(k as integer) piece_no, cast(a as integer) first_line, cast(b as integer) end_line from piece")
 def p5_found(spark, sf_dir):
     return _pieces(spark, sf_dir)
 
