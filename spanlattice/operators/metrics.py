@@ -128,3 +128,40 @@ def masked_l1(a: list[str], b: list[str], weight: str) -> Column:
 def panoptic_loss(ce: Column, mse: Column, l1: Column, point: Column | None = None, weights: tuple[float, float, float, float] = (1.0, 200.0, 0.01, 1.0)) -> Column:
     total = ce * weights[0] + mse * weights[1] + l1 * weights[2]
     return total if point is None else total + point * weights[3]
+
+
+def mask_overlaps(pixels: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """(keys, a, b, inter, iou, ioa) of the labels above 0 of two label columns of the same pixels; ioa is the share of b's mask."""
+    pairs = pixels.filter((F.col(a) > 0) & (F.col(b) > 0)).groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("inter"))
+    na = pixels.filter(F.col(a) > 0).groupBy(*keys, a).agg(F.count(F.lit(1)).alias("_na"))
+    nb = pixels.filter(F.col(b) > 0).groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_nb"))
+    out = pairs.join(na, [*keys, a]).join(nb, [*keys, b])
+    iou = F.col("inter") / (F.col("_na") + F.col("_nb") - F.col("inter")).cast("double")
+    return out.select(*keys, a, b, "inter", iou.alias("iou"), (F.col("inter") / F.col("_nb").cast("double")).alias("ioa"))
+
+
+def dense_scores(pixels: DataFrame, keys: list[str], gt: str, pred: str, threshold: float = 0.5) -> DataFrame:
+    """instance_scores of dense label images (0 is background), objects matched by mask IoU."""
+    scratch = Scratch(pixels.sparkSession, "scores")
+    pairs = mask_overlaps(pixels, keys, gt, pred).select(*keys, F.col(gt).cast("bigint").alias("gt"), F.col(pred).cast("bigint").alias("pred"), "iou")
+    matched = scratch.keep(assign(pairs, keys, "gt", "pred", "iou", scratch))
+    side = lambda c, as_: pixels.filter(F.col(c) > 0).select(*keys, F.col(c).cast("bigint").alias(as_)).distinct()
+    return instance_scores(match_counts(matched, side(gt, "gt"), side(pred, "pred"), keys, threshold, threshold), keys)
+
+
+def point_loss(points: DataFrame, keys: list[str], logit: str, target: str) -> DataFrame:
+    """(keys, loss): mean binary cross entropy of logits at sampled points; targets from image.point_sample(..., mode='nearest')."""
+    return points.groupBy(*keys).agg(F.avg(bce(F.col(logit), F.col(target).cast("double"))).alias("loss"))
+
+
+def contour_loss(semantic: Column, contour: Column, points: Column | None = None, point_weight: float = 1.0) -> Column:
+    """Sum of the two hardest-pixel losses, and of the point losses if there are any."""
+    total = semantic + contour
+    return total if points is None else total + points * point_weight
+
+
+def history(values: DataFrame, epoch: str, metric: str, cls: str, value: str) -> DataFrame:
+    """(epoch, metric, class, average, count): named averages per class, one row for each epoch; the class is null for the mean over all."""
+    each = values.groupBy(epoch, metric, F.col(cls).cast("string").alias("class")).agg(F.avg(value).alias("average"), F.count(value).alias("count"))
+    over = each.groupBy(epoch, metric).agg(F.avg("average").alias("average"), F.sum("count").alias("count"))
+    return each.unionByName(over.withColumn("class", F.lit(None).cast("string")))

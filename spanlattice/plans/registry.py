@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlattice.operators import metrics
 from spanlattice.operators.runs import areas
 
 FILTERS: dict[str, Callable[..., DataFrame]] = {}
@@ -47,6 +48,27 @@ def apply_filters(objects: DataFrame, runs: DataFrame, filters: list[dict]) -> D
     return objects
 
 
+for _name, _f in (("semantic_iou", metrics.semantic_iou), ("evaluate", metrics.evaluate), ("dense_iou", metrics.dense_iou), ("dense_scores", metrics.dense_scores), ("ema", metrics.ema)):
+    register(METRICS, _name)(_f)
+
+
+@register(AUGMENTATIONS, "flip_rows")
+def flip_rows(pixels: DataFrame, height: int) -> DataFrame:
+    return pixels.withColumn("y", F.lit(height - 1) - F.col("y"))
+
+
+@register(AUGMENTATIONS, "flip_columns")
+def flip_columns(pixels: DataFrame, width: int) -> DataFrame:
+    return pixels.withColumn("x", F.lit(width - 1) - F.col("x"))
+
+
+def augment(pixels: DataFrame, steps: list[dict]) -> DataFrame:
+    """Registered augmentations of pixel tables, in the order given: [{'name': ..., parameters}]."""
+    for step in steps:
+        pixels = AUGMENTATIONS[step["name"]](pixels, **{k: v for k, v in step.items() if k != "name"})
+    return pixels
+
+
 def infer(images: DataFrame, model: str, schema: str, **options) -> DataFrame:
     """Output of a registered model: a factory of a function from pandas batches to pandas batches, made once for each task."""
     make = MODELS[model]

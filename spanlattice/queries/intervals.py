@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanlattice.functions.rle import text_runs, text_starts
@@ -15,6 +16,8 @@ from spanlattice.sources import trackers, volume
 registry = Registry()
 #: Indices of a data set and class lie apart from those of others.
 APART = 1 << 36
+#: So do the boxes, with fewer slices than this each.
+DEEP = 1 << 20
 
 # --- shared inputs: points and runs of lineitem, and the tracked objects in normal form
 
@@ -63,9 +66,11 @@ def object_runs(spark, sf_dir):
 
 
 def graph_inputs(spark, sf_dir):
-    """(nodes, runs) for the graph operators; indices of different data sets and classes are set apart."""
+    """(nodes, runs) for the graph operators; indices and boxes (along z) of different data sets and classes are set apart."""
+    place = (F.col("dataset_id") * 16 + F.col("class_id")).cast("bigint")
     o = objects(spark, sf_dir).withColumnRenamed("object_id", "node").withColumnRenamed("src", "source")
-    at = (F.col("dataset_id") * 16 + F.col("class_id")) * APART
+    o = o.withColumn("z1", F.col("z1") + place * DEEP).withColumn("z2", F.col("z2") + place * DEEP)
+    at = place * APART
     r = object_runs(spark, sf_dir).select(F.col("object_id").alias("node"), (F.col("s") + at).alias("s"), (F.col("e") + at).alias("e"))
     return o, r
 
@@ -282,6 +287,23 @@ def tile_stitch_boxed(spark, sf_dir):
     return consensus.Stitch(o, r, dims=boxes.D3, bucket=64).runs
 
 
+@registry.query("semantic_stitch", f"with {_OBJECTS}, one as (select class_id, dataset_id * {APART} + s s, dataset_id * {APART} + e e from obj_runs), {_vote_sql('one', 'class_id', 1)} select * from voted")
+def semantic_stitch(spark, sf_dir):
+    """All objects of a class as one segment; data sets lie apart."""
+    at = F.col("dataset_id") * APART
+    r = object_runs(spark, sf_dir).select("class_id", (F.col("s") + at).alias("s"), (F.col("e") + at).alias("e"))
+    o = objects(spark, sf_dir).withColumnRenamed("src", "source")
+    return consensus.semantic_stitch(o, r, boxes.D3)[1]
+
+
+@registry.query("relabel", f"""with {_OBJECTS}, m as (select object_id, min(object_id) over (partition by src, class_id, label % 10) keep from obj) select keep, cast(count(*) as bigint) n, cast(sum(e - s) as bigint) area from own_runs r join m on m.object_id = r.object_id group by 1""")
+def relabel(spark, sf_dir):
+    """Objects of a source merged by a table of old and new labels."""
+    names = objects(spark, sf_dir).select("object_id", F.min("object_id").over(W.partitionBy("src", "class_id", F.col("label") % 10)).alias("keep"))
+    r = own_runs(spark, sf_dir).join(names, "object_id")
+    return r.groupBy("keep").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e") - F.col("s")).alias("area"))
+
+
 _TILES = "tiles as (select unnest(range(0, 400)) tile, unnest(range(0, 400)) * 448 s, unnest(range(0, 400)) * 448 + 512 e)"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanlattice.operators import image, metrics, watershed
 from spanlattice.queries import Registry
 from spanlattice.session import Scratch, table
-from spanlattice.sources import images, volume
+from spanlattice.sources import arrays, images, volume
 from spanlattice.streaming import median
 
 registry = Registry()
@@ -284,3 +284,48 @@ def panoptic_loss(spark, sf_dir):
     rest = e.groupBy("event_type").agg(metrics.squared_error("h", "g").alias("mse"), metrics.masked_l1(["h"], ["o"], "t").alias("l1"))
     out = rest.join(ce, "event_type").withColumn("total", metrics.panoptic_loss(F.col("ce"), F.col("mse"), F.col("l1")))
     return out.select("event_type", F.round("mse", 6).alias("mse"), F.round("l1", 6).alias("l1"), F.round("total", 4).alias("total"))
+
+
+_LABELS = f"{_DENSE}, q as (select slice, y, x, label a, cast(v as integer) % 5 b from dense)"
+
+
+def _labels(spark, sf_dir):
+    return dense(spark, sf_dir).select("slice", "y", "x", F.col("label").alias("a"), (F.col("v").cast("int") % 5).alias("b"))
+
+
+@registry.query("mask_overlaps", f"""with {_LABELS}, n as (select slice, a, count(*) n from q where a > 0 group by 1, 2), m as (select slice, b, count(*) n from q where b > 0 group by 1, 2),
+i as (select slice, a, b, count(*) i from q where a > 0 and b > 0 group by 1, 2, 3)
+select i.slice, i.a, i.b, i inter, round(i / cast(n.n + m.n - i as double), 9) iou, round(i / cast(m.n as double), 9) ioa from i join n on n.slice = i.slice and n.a = i.a join m on m.slice = i.slice and m.b = i.b""")
+def mask_overlaps(spark, sf_dir):
+    got = metrics.mask_overlaps(_labels(spark, sf_dir), ["slice"], "a", "b")
+    return got.withColumn("iou", F.round("iou", 9)).withColumn("ioa", F.round("ioa", 9))
+
+
+@registry.query("dense_scores")
+def dense_scores(spark, sf_dir):
+    """Scores of one dense label image against another, at an IoU of 0.1."""
+    return metrics.dense_scores(_labels(spark, sf_dir), ["slice"], "a", "b", 0.1)
+
+
+@registry.query("metric_history", """with e as (select cast(ts as date) epoch, event_type metric, cast(user_id % 5 as varchar) class, value from events),
+c as (select epoch, metric, class, avg(value) a, count(value) n from e group by 1, 2, 3)
+select cast(epoch as varchar) epoch, metric, class, round(a, 6) average, n count from c union all select cast(epoch as varchar), metric, null, round(avg(a), 6), cast(sum(n) as bigint) from c group by 1, 2""")
+def metric_history(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("epoch"), F.col("event_type").alias("metric"), (F.col("user_id") % 5).alias("k"), "value")
+    return metrics.history(e, "epoch", "metric", "k", "value").withColumn("average", F.round("average", 6))
+
+
+@registry.query("normalise", f"with {_PIXELS}, t as (select slice, max(pan) m from px group by 1) select px.slice, y, x, cast(floor(pan / cast(m as double) * 255) as integer) v from px join t on t.slice = px.slice")
+def normalise(spark, sf_dir):
+    px = pixels(spark, sf_dir).select("slice", "y", "x", F.col("pan").cast("double").alias("v"))
+    return arrays.normalised(px, ["slice"], "v").select("slice", "y", "x", "v")
+
+
+@registry.query("contour_loss", f"""with {_LOSS}, r as (select *, row_number() over (partition by event_type order by loss desc, event_id) k, count(*) over (partition by event_type) n from b)
+select event_type, round(avg(loss) filter (k <= floor(n * 0.15)) + avg(loss), 6) total from r group by 1""")
+def contour_loss(spark, sf_dir):
+    """Hardest 15 % of one loss, all of the other."""
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", metrics.bce(F.col("value") / 100 - 0.5, (F.col("event_id") % 2).cast("double")).alias("loss"))
+    hard = metrics.hardest_mean(e, ["event_type"], "loss", ["event_id"], 0.15)
+    every = metrics.hardest_mean(e, ["event_type"], "loss", ["event_id"], 1.0).withColumnRenamed("loss", "other")
+    return hard.join(every, "event_type").select("event_type", F.round(metrics.contour_loss(F.col("loss"), F.col("other")), 6).alias("total"))

@@ -138,3 +138,13 @@ def write_blocks(runs: DataFrame, label: str, order: str, path: str, shape: tupl
 
     cut = chunk_runs(runs, [order, label], shape, chunks)
     return cut.groupBy("cz", "cy", "cx").applyInPandas(fill, "n int").count()
+
+
+def fill(runs: DataFrame, label: str, order: str, path: str, shape: tuple[int, int, int], chunks: tuple[int, int, int] | None = None, form: str = "blocks") -> None:
+    """Writes the volume that the ranges paint: as ``blocks`` (see write_blocks), or as ``parquet`` rows (idx, label)."""
+    if form == "blocks":
+        write_blocks(runs, label, order, path, shape, chunks or shape)
+    elif form == "parquet":
+        fill_last_wins(runs, label, order).write.mode("overwrite").parquet(path)
+    else:
+        raise ValueError(f"form {form!r} is neither 'blocks' nor 'parquet'")

@@ -9,7 +9,7 @@ from spanlattice.operators.periods import periods_and_gaps
 from spanlattice.plans import registry
 from spanlattice.plans.orthoplane import consensus_volume, slice_objects
 from spanlattice.session import Scratch
-from spanlattice.sources import config, images, trackers, volume
+from spanlattice.sources import arrays, config, images, trackers, volume
 from spanlattice.streaming.median import MedianQueue, median_stream, recursive_median, sliding_median
 from spanlattice.streaming.periods import period_stream
 from spanlattice.streaming.tracking import match_stream
@@ -187,3 +187,71 @@ def test_curation(spark):
     assert {(r.id, r.group) for r in groups.collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
     with pytest.raises(ValueError):
         curate.flipbook_span(F.lit(1), 4, F.lit(9))
+
+
+@pytest.mark.parametrize("codec", [None, "zlib", "gzip", "zstd"])
+def test_chunked_array(spark, tmp_path, codec):
+    import gzip
+    import zlib
+
+    import zstandard
+
+    pack = {None: bytes, "zlib": zlib.compress, "gzip": gzip.compress, "zstd": zstandard.ZstdCompressor().compress}[codec]
+    vol = np.random.default_rng(2).integers(0, 4, (5, 6, 7)).astype("<u2")
+    folder = tmp_path / "v" / "em" / "raw"
+    folder.mkdir(parents=True)
+    (folder / ".zarray").write_text(json.dumps({"shape": vol.shape, "chunks": [2, 4, 3], "dtype": "<u2", "order": "C", "fill_value": 0, "compressor": codec and {"id": codec}, "filters": None}))
+    whole = np.zeros((6, 8, 9), "<u2")
+    whole[:5, :6, :7] = vol
+    for cz, cy, cx in np.ndindex(3, 2, 3):
+        block = whole[2 * cz : 2 * cz + 2, 4 * cy : 4 * cy + 4, 3 * cx : 3 * cx + 3]
+        if block.any():
+            (folder / f"{cz}.{cy}.{cx}").write_bytes(pack(block.tobytes()))
+    got = np.zeros(vol.shape)
+    rows = arrays.read_chunked(spark, f"{tmp_path}/v,em/raw")
+    for r in rows.collect():
+        got[r.z, r.y, r.x] = r.value
+    assert (got == vol).all() and rows.filter("cz = 1").count() == (vol[2:4] > 0).sum()
+
+
+def tiff(pages, order="<"):
+    import struct
+
+    out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
+    link = 4
+    for p in pages:
+        data_at = len(out)
+        out += p.astype(p.dtype.newbyteorder(order)).tobytes()
+        struct.pack_into(order + "I", out, link, len(out))
+        tags = [(256, 4, p.shape[1]), (257, 4, p.shape[0]), (258, 3, 8 * p.dtype.itemsize), (259, 3, 1), (273, 4, data_at), (277, 3, 1), (279, 4, p.nbytes)]
+        out += struct.pack(order + "H", len(tags))
+        for tag, kind, v in tags:
+            out += struct.pack(order + "HHI", tag, kind, 1) + (struct.pack(order + "I", v) if kind == 4 else struct.pack(order + "HH", v, 0))
+        link = len(out)
+        out += struct.pack(order + "I", 0)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiff(spark, tmp_path, order):
+    pages = [np.random.default_rng(k).integers(0, 900, (4, 5)).astype(np.uint16) for k in range(3)]
+    (tmp_path / "a.tiff").write_bytes(tiff(pages, order))
+    got = np.zeros((3, 4, 5))
+    for r in arrays.read_tiff(spark, f"{tmp_path}/*.tiff").collect():
+        got[r.z, r.y, r.x] = r.value
+    assert (got == np.stack(pages)).all()
+    with pytest.raises(ValueError):
+        arrays.tiff_pages(b"no image at all")
+    scaled = arrays.normalised(spark.createDataFrame([(1, 4.0), (1, 1.0), (2, 0.0)], "k int, value double"), ["k"])
+    assert sorted(tuple(r) for r in scaled.collect()) == [(1, 63), (1, 255), (2, 0)]
+    assert [arrays.smallest_type(n) for n in (255, 256, 65536, 2**32)] == ["uint8", "uint16", "uint32", "uint64"]
+
+
+def test_fill_forms(spark, tmp_path):
+    df = spark.createDataFrame([(0, 3, 1, 0), (2, 5, 2, 1)], "s bigint, e bigint, label bigint, order int")
+    volume.fill(df, "label", "order", str(tmp_path / "p"), (1, 1, 6), form="parquet")
+    assert {r.idx: r.label for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {0: 1, 1: 1, 2: 2, 3: 2, 4: 2}
+    volume.fill(df, "label", "order", str(tmp_path / "b"), (1, 1, 6))
+    assert volume.read_blocks(spark, str(tmp_path / "b")).count() == 5
+    with pytest.raises(ValueError):
+        volume.fill(df, "label", "order", "x", (1, 1, 6), form="other")
