@@ -30,8 +30,8 @@ from spanlattice.session import Scratch
 LEVELS = (1, 2, 3, 4)
 OCCURRENCES = 2
 PRIOR = 1.0
-#: Unit occurrences in a document whose evidence counts fully; a longer text's evidence is scaled down to as many.
-EVIDENCE = 20.0
+#: Unit occurrences in a document whose evidence counts fully; a longer text's evidence is scaled down to as many, since units of a text depend on each other.
+EVIDENCE = 5.0
 #: Chance that a rating is that of the level one below or above.
 OFF_BY_ONE = 0.03
 HOT_UNITS = 20_000
