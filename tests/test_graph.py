@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from spanlattice.operators import boxes, consensus, curate, graph, metrics, tiles, track
+from spanlattice.operators import boxes, consensus, curate, graph, metrics, skew, tiles, track
 from spanlattice.operators.assign import assign
 from spanlattice.operators.numbering import number_rows
 from spanlattice.plans.orthoplane import boxes_of
@@ -16,7 +16,9 @@ def spans_of(index):
     return list(zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + 1).tolist())) if len(at) else []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("plain", [0, 10**6])
+def test_components(spark, monkeypatch, plain):
+    monkeypatch.setattr(skew, "PLAIN_ROWS", plain)
     rnd = random.Random(1)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 400)] + [(500, 501 + i) for i in range(50)] + [(None, 3), (7, 7)]
     got = {r.v: r.component for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint"), Scratch(spark, "t")).collect()}
