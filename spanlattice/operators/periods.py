@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanlattice.session import Scratch
+
 #: Intervals of an entity beyond which it is cut into blocks; raised with the input so that at most MAX_HOT entities are.
 HOT_INTERVALS = 50_000
 MAX_HOT = 1_000
@@ -121,7 +123,7 @@ def periods_and_gaps(df: DataFrame, entity: str, starts: str = "starts", runs: s
     cuts = cuts.select(F.col("entity").alias("ce"), F.expr(f"array_distinct(transform(sequence(1, greatest(1, least(999, cast(m / {limit} as int)))), k -> element_at(q, cast(k * 1000 / (1 + least(999, cast(m / {limit} as int))) as int))))").alias("cut"))
     placed = pieces.join(F.broadcast(cuts), F.col("entity") == F.col("ce")).select("entity", F.expr("size(filter(cut, c -> c <= s))").alias("block"), F.array("s").alias("s"), F.array("e").alias("e"))
     cold = rows.join(F.broadcast(hot), F.col("entity") == F.col("hot"), "left_anti")
-    return _spans(_run_states(split(cold), True), entity).unionByName(_spans(_stitch(_run_states(placed, False)), entity))
+    return _spans(_run_states(split(cold), True), entity).unionByName(_spans(_stitch(Scratch(df.sparkSession, "periods").keep(_run_states(placed, False))), entity))
 
 
 def _spans(rows: DataFrame, entity: str) -> DataFrame:

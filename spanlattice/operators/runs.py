@@ -47,10 +47,14 @@ def _islands(runs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _over_edges(parts: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Joins disjoint ranges that touch at block edges: at most two for each block and key are looked at again."""
+    """Joins disjoint ranges (keys, block, s, e) that touch at block edges.
+
+    The ranges at edges, at most two for each block and key, form one group per key; the others stay in their block's group. One
+    more exchange of the ranges, but no second evaluation of what made them.
+    """
     at_edge = (F.pmod(F.col("s"), F.lit(size).cast("bigint")) == 0) | (F.pmod(F.col("e"), F.lit(size).cast("bigint")) == 0)
-    parts = parts.select(*keys, "s", "e")
-    return parts.filter(~at_edge).unionAll(_islands(parts.filter(at_edge), keys).select(*keys, "s", "e"))
+    grouped = parts.select(*keys, "s", "e", F.when(~at_edge, F.col("block")).alias("_group"))
+    return _islands(grouped, [*keys, "_group"]).select(*keys, "s", "e")
 
 
 def join_ranges(runs: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
@@ -97,9 +101,10 @@ def invert(runs: DataFrame, keys: list[str], size: int, block: int = BLOCK) -> D
     order = W.partitionBy(*by).orderBy(F.desc("frame"), "s")
     prior = steps.withColumn("_from", F.when(F.lag("frame").over(order), F.lag("s").over(order)).otherwise(F.lag("e").over(order)))
     prior = prior.withColumn("_end", F.max("e").over(W.partitionBy(*by))).withColumn("_last", F.lead("s").over(order).isNull())
-    before = prior.filter("not frame").select(*keys, F.col("_from").alias("s"), F.col("s").alias("e"))
-    after = prior.filter("_last").select(*keys, F.when(F.col("frame"), F.col("s")).otherwise(F.col("e")).alias("s"), F.col("_end").alias("e"))
-    return _over_edges(before.unionAll(after).filter("s < e"), keys, block)
+    before = F.when(~F.col("frame"), F.struct(F.col("_from").alias("s"), F.col("s").alias("e")))
+    after = F.when(F.col("_last"), F.struct(F.when(F.col("frame"), F.col("s")).otherwise(F.col("e")).alias("s"), F.col("_end").alias("e")))
+    holes = prior.select(*by, F.explode(F.array(before, after)).alias("x")).select(*by, "x.s", "x.e")
+    return _over_edges(holes.filter("s < e"), keys, block)
 
 
 def overlaps(a: DataFrame, a_keys: list[str], b: DataFrame, b_keys: list[str], on: Column | None = None, equal: list[tuple[str, str]] | None = None, bucket: int = BUCKET) -> DataFrame:

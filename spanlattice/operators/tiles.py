@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlattice.operators.runs import cut_at_edges, join_ranges, overlaps
+from spanlattice.operators.runs import block_of, cut_at_edges, join_ranges, overlaps
 
 
 def spans(length: int, tile: int, overlap: int) -> list[tuple[int, int]]:
@@ -35,10 +35,20 @@ def overlap_region(spark: SparkSession, height: int, width: int, tile: tuple[int
     return join_ranges(both, ["k"]).select("s", "e")
 
 
+#: Rows of an image in a bucket of the joins with tiles.
+ROWS = 64
+
+
+def _by_rows(tiles: DataFrame) -> DataFrame:
+    """Each tile once for each bucket of rows it touches."""
+    return tiles.withColumn("_rows", F.explode(F.sequence(block_of(F.col("y0").cast("bigint"), ROWS), block_of((F.col("y1") - 1).cast("bigint"), ROWS))))
+
+
 def crop_pixels(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Pixels of each tile in the tile's own coordinates. ``tiles`` is a layout: as many rows as there are tiles."""
+    """Pixels of each tile in the tile's own coordinates."""
     inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
-    return pixels.join(tiles, inside).withColumn("y", F.col("y") - F.col("y0")).withColumn("x", F.col("x") - F.col("x0")).drop("y0", "y1", "x0", "x1")
+    met = pixels.withColumn("_rows", block_of(F.col("y").cast("bigint"), ROWS)).join(_by_rows(tiles), "_rows").filter(inside)
+    return met.withColumn("y", F.col("y") - F.col("y0")).withColumn("x", F.col("x") - F.col("x0")).drop("y0", "y1", "x0", "x1", "_rows")
 
 
 def to_image(runs: DataFrame, tiles: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -53,7 +63,7 @@ def to_image(runs: DataFrame, tiles: DataFrame, keys: list[str], width: int) ->
 def to_tiles(runs: DataFrame, tiles: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Runs (keys, s, e) of the image cut to each tile, in the tile's indices."""
     rows = cut_at_edges(runs, keys, width, "row")
-    met = rows.join(tiles, (F.col("row") >= F.col("y0")) & (F.col("row") < F.col("y1")))
+    met = rows.withColumn("_rows", block_of(F.col("row"), ROWS)).join(_by_rows(tiles), "_rows").filter((F.col("row") >= F.col("y0")) & (F.col("row") < F.col("y1")))
     a, b = F.greatest(F.col("s") - F.col("row") * width, F.col("x0")), F.least(F.col("e") - F.col("row") * width, F.col("x1"))
     base = (F.col("row") - F.col("y0")) * (F.col("x1") - F.col("x0")) - F.col("x0")
     local = met.select(*keys, "tile", (a + base).alias("s"), (b + base).alias("e")).filter("s < e")
