@@ -5,7 +5,8 @@ deduplicated, and loops dropped; the number of vertices falls by a constant fact
 logarithm of the input. The mappings of the rounds are then expanded from the last back to the first.
 
 xxhash64 of one bigint under a fixed seed is a bijection of 64-bit numbers, so the hash value itself serves as the
-label of the next round: a plain minimum (partial aggregation, no struct) finds the representative.
+label of the next round: a plain minimum (partial aggregation, no struct) finds the representative. Labels of one round are distinct for
+distinct vertices, and all roots are brought to the last round's labels, so no two components can ever get one root.
 A vertex with a large part of the edges is served by a broadcast of bounded size (spanlattice.operators.skew).
 """
 
@@ -70,7 +71,10 @@ def components(edges: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
     for k in range(len(maps) - 2, -1, -1):
         up = found.select(F.col("v").alias("x"), F.col("root").alias("top"))
         m = maps[k]
-        found = lookup(m, "root", up, "x", "top", sizes[k], F.xxhash64("v", "root")).select("v", F.coalesce("top", "root").alias("root"))
+        alone = F.col("root")  # its component was done in round k: like any vertex without an edge, it hooks to itself from then on
+        for j in range(k + 1, len(maps)):
+            alone = F.xxhash64(F.lit(seed + j).cast("bigint"), alone)
+        found = lookup(m, "root", up, "x", "top", sizes[k], F.xxhash64("v", "root")).select("v", F.coalesce("top", alone).alias("root"))
         if k % 3 == 0:
             found = scratch.keep(found)
     return found
