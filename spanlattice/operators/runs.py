@@ -79,9 +79,9 @@ def vote_ranges(runs: DataFrame, keys: list[str], votes: int, block: int = BLOCK
 
 def encode(points: DataFrame, keys: list[str], index: str, block: int = BLOCK) -> DataFrame:
     """Runs of successive indices; null indices are left out and repeated ones count once."""
-    at = points.select(*keys, F.col(index).cast("bigint").alias("i")).filter("i is not null").distinct().withColumn("block", block_of(F.col("i"), block))
+    at = points.select(*keys, F.col(index).cast("bigint").alias("i")).filter("i is not null").withColumn("block", block_of(F.col("i"), block))
     by = [*keys, "block"]
-    at = at.withColumn("_k", F.col("i") - F.row_number().over(W.partitionBy(*by).orderBy("i")))
+    at = at.withColumn("_k", F.col("i") - F.dense_rank().over(W.partitionBy(*by).orderBy("i")))  # repeated indices share a rank
     parts = at.groupBy(*by, "_k").agg(F.min("i").alias("s"), (F.max("i") + 1).alias("e"))
     return _over_edges(parts, keys, block)
 

@@ -280,7 +280,16 @@ def tile_stitch(spark, sf_dir):
     return joined.groupBy("component").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.col("e") - F.col("s")).alias("area"))
 
 
-@registry.query("tile_stitch_boxed")
+_BOXED = f"""{_OBJECTS}, {_PAIRS}, bp as (select id1, id2 from pairs join obj a on a.object_id = id1 join obj b on b.object_id = id2
+  where a.z1 < a.z2 and a.y1 < a.y2 and a.x1 < a.x2 and b.z1 < b.z2 and b.y1 < b.y2 and b.x1 < b.x2 and a.z1 < b.z2 and b.z1 < a.z2 and a.y1 < b.y2 and b.y1 < a.y2 and a.x1 < b.x2 and b.x1 < a.x2),
+ends as (select id1 u, id2 v from bp union select id2, id1 from bp), {_REACH},
+mem as (select o.object_id node, coalesce(min(other), o.object_id) component from obj o left join reach on reach.node = o.object_id group by o.object_id),
+all_runs as (select component, (dataset_id * 16 + class_id) * {APART} + s s, (dataset_id * 16 + class_id) * {APART} + e e from mem join obj_runs on object_id = node),
+{_vote_sql('all_runs', 'component', 1)},
+named as (select component, (select min(label) from obj) + row_number() over (order by component) - 1 instance from (select distinct component from voted))"""
+
+
+@registry.query("tile_stitch_boxed", f"with recursive {_BOXED} select cast(instance as bigint) instance, s, e from voted join named using (component)")
 def tile_stitch_boxed(spark, sf_dir):
     """The same with boxes as screen (objects without a box stand alone), numbered from the least label."""
     o, r = graph_inputs(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,9 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at:
         return at
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    at = "file://" + tempfile.mkdtemp(prefix="spanlattice-")
+    folder = tempfile.mkdtemp(prefix="spanlattice-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    at = "file://" + folder
     spark.sparkContext.setCheckpointDir(at)
     return at
 
@@ -30,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one operator call, each written once and read back, so that a lost executor costs no recomputation.
 
-    ``keep`` writes a table; ``drop`` removes one that no later plan reads.
+    ``keep`` writes a table; ``drop`` removes one that no later plan reads. What is left when a result is returned may
+    be read by it, so it stays until the caller has used the result and calls ``clear`` or empties the folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -50,3 +56,7 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -99,8 +99,8 @@ def downsampled(pixels: DataFrame, factor: int) -> DataFrame:
 def fill_last_wins(runs: DataFrame, label: str, order: str, block: int = BLOCK) -> DataFrame:
     """(idx, label): ranges painted in ``order`` (ties: by label), where the last one wins; shuffled by block of the index space with the range, not its voxels, as unit."""
     cut = cut_at_edges(runs, [order, label], block)
-    painted = cut.repartition("block").select(order, label, F.explode(F.sequence("s", F.col("e") - 1)).alias("idx"))
-    return painted.groupBy("idx").agg(F.max(F.struct(order, label)).alias("_x")).select("idx", F.col(f"_x.{label}").alias(label))
+    painted = cut.repartition("block").select("block", order, label, F.explode(F.sequence("s", F.col("e") - 1)).alias("idx"))
+    return painted.groupBy("block", "idx").agg(F.max(F.struct(order, label)).alias("_x")).select("idx", F.col(f"_x.{label}").alias(label))
 
 
 def chunk_runs(runs: DataFrame, keys: list[str], shape: tuple[int, int, int], chunks: tuple[int, int, int]) -> DataFrame:
