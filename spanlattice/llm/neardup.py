@@ -136,7 +136,10 @@ class NearDuplicates:
         pairs = scratch.keep(_pairs(_prefixes(reps, 0, t, shared), t))
         for order in range(1, orders):
             alive = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-            fewer = scratch.keep(pairs.join(_pairs(_prefixes(reps.join(alive, "cls", "left_semi"), order, t, shared), t), ["a", "b"], "left_semi"))
+            fewer_reps = scratch.keep(reps.join(alive, "cls", "left_semi"))  # the other sets' tokens are not shuffled again
+            scratch.drop(reps)
+            reps = fewer_reps
+            fewer = scratch.keep(pairs.join(_pairs(_prefixes(reps, order, t, shared), t), ["a", "b"], "left_semi"))
             scratch.drop(pairs)
             pairs = fewer
 
