@@ -459,7 +459,7 @@ def tracker_match(spark, sf_dir):
     """The best one-to-one assignment of objects across two trackers of each data set and class."""
     r = object_runs(spark, sf_dir)
     side = lambda axis, c: r.filter(F.col("axis") == axis).select("dataset_id", "class_id", F.col("object_id").alias(c), "s", "e")
-    return metrics.match_instances(side("xy", "gt"), side("xz", "pred"), ["dataset_id", "class_id"], Scratch(spark, "match"), 0.25, bucket=64)
+    return metrics.match_instances(side("xy", "gt"), side("xz", "pred"), ["dataset_id", "class_id"], Scratch(spark, "match"), bucket=64)
 
 
 @registry.query("tracker_json", f"""with {_OBJECTS}, {_TEXT}
