@@ -16,7 +16,6 @@ grey levels form a class; only one image of a class takes part in the join, and
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -57,17 +56,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _token(h: int, w: int, at: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """64-bit tokens of step numbers (..., s) at shingle positions ``at``, for images of h x w."""
-    key = np.zeros(steps.shape[:-1], np.uint64)
-    for i in range(steps.shape[-1]):
-        key = key * np.uint64(32) + steps[..., i].astype(np.uint64)
+def _token(h: int, w: int, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """64-bit tokens of step numbers, five bits each in ``key``, at shingle positions ``at``, for images of h x w."""
     return _mix(_mix(key + np.uint64(1)) ^ _mix(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((h << 32) | w)))
 
 
+def _own_tokens(levels: np.ndarray, px: np.ndarray, h: int, w: int) -> np.ndarray:
+    """The token of each shingle."""
+    steps = (levels[px] // STEP).astype(np.uint64)
+    key = np.zeros(len(px), np.uint64)
+    for i in range(px.shape[1]):
+        key = (key << np.uint64(5)) | steps[:, i]
+    return _token(h, w, np.arange(len(px)), key)
+
+
 def probe_tokens(levels: np.ndarray, h: int, w: int, agree: float) -> np.ndarray:
-    px = shingle_pixels(h * w, agree)
-    return _token(h, w, np.arange(len(px)), levels[px] // STEP)
+    return _own_tokens(levels, shingle_pixels(h * w, agree), h, w)
 
 
 def index_tokens(levels: np.ndarray, h: int, w: int, agree: float, tolerance: int, sketch: np.ndarray) -> np.ndarray:
@@ -75,15 +79,16 @@ def index_tokens(levels: np.ndarray, h: int, w: int, agree: float, tolerance: in
     px = shingle_pixels(h * w, agree)
     v = levels[px].astype(np.int64)
     low, high = np.maximum(v - tolerance, 0) // STEP, np.minimum(v + tolerance, 255) // STEP
-    seen = np.minimum(sketch[(_token(h, w, np.arange(len(px)), v // STEP) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], 2**40)
+    seen = np.minimum(sketch[(_own_tokens(levels, px, h, w) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], 2**40)
     tokens_of = np.prod(high - low + 1, axis=1)
-    keep = np.argsort(seen * tokens_of, kind="stable")[: max_bad(h * w, agree) + 1]
-    out = []
-    for combo in itertools.product((0, 1), repeat=px.shape[1]):  # a step is wider than 2 * tolerance: two steps at most
-        pick = np.array(combo, bool)
-        rows = keep[np.all(~pick | (high[keep] > low[keep]), axis=1)]
-        out.append(_token(h, w, rows, np.where(pick, high[rows], low[rows])))
-    return np.concatenate(out)
+    rows = np.argsort(seen * tokens_of, kind="stable")[: max_bad(h * w, agree) + 1]
+    key = np.zeros(len(rows), np.uint64)
+    for i in range(px.shape[1]):  # a step is wider than 2 * tolerance: one step or two
+        a, b = low[rows, i].astype(np.uint64), high[rows, i].astype(np.uint64)
+        two = b > a
+        key = np.concatenate([(key << np.uint64(5)) | a, (key[two] << np.uint64(5)) | b[two]])
+        rows = np.concatenate([rows, rows[two]])
+    return _token(h, w, rows, key)
 
 
 def agreeing(a: np.ndarray, b: np.ndarray, tolerance: int) -> int:
