@@ -120,7 +120,8 @@ def periods_and_gaps(df: DataFrame, entity: str, starts: str = "starts", runs: s
     hot = sizes.filter(F.col("n") > limit).select(F.col("entity").alias("hot"), "n")
     pieces = rows.join(F.broadcast(hot), F.col("entity") == F.col("hot"), "left_semi").select("entity", F.explode("iv").alias("i")).select("entity", F.col("i.s").alias("s"), F.col("i.e").alias("e")).groupBy("entity", "s").agg(F.max("e").alias("e"))
     cuts = pieces.groupBy("entity").agg(F.count(F.lit(1)).alias("m"), F.percentile_approx("s", [k / 1000 for k in range(1, 1000)], 10_000).alias("q"))
-    cuts = cuts.select(F.col("entity").alias("ce"), F.expr(f"array_distinct(transform(sequence(1, greatest(1, least(999, cast(m / {limit} as int)))), k -> element_at(q, cast(k * 1000 / (1 + least(999, cast(m / {limit} as int))) as int))))").alias("cut"))
+    n_cuts = f"greatest(1, least(999, cast(m / {limit} as int)))"  # m may be below the limit, as equal starts are one here
+    cuts = cuts.select(F.col("entity").alias("ce"), F.expr(f"array_distinct(transform(sequence(1, {n_cuts}), k -> element_at(q, cast(k * 1000 / (1 + {n_cuts}) as int))))").alias("cut"))
     placed = pieces.join(F.broadcast(cuts), F.col("entity") == F.col("ce")).select("entity", F.expr("size(filter(cut, c -> c <= s))").alias("block"), F.array("s").alias("s"), F.array("e").alias("e"))
     cold = rows.join(F.broadcast(hot), F.col("entity") == F.col("hot"), "left_anti")
     return _spans(_run_states(split(cold), True), entity).unionByName(_spans(_stitch(Scratch(df.sparkSession, "periods").keep(_run_states(placed, False))), entity))

@@ -57,6 +57,15 @@ def test_long_interval_over_blocks(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, "gap", 7000, 9000), (1, "period", 0, 7000), (1, "period", 9000, 9001)]
 
 
+def test_hot_by_repeats(spark):
+    """Above the limit as delivered, below it by distinct starts: rows delivered twice, and many equal starts."""
+    twice = [(1, list(range(0, 300, 10)), [4] * 29 + [50], None)] * 2
+    equal = [(2, [5] * 59 + [90], list(range(1, 61)), None)]
+    for rows_ in (twice, equal, twice + equal):
+        got = periods_and_gaps(spark.createDataFrame(rows_, SCHEMA), "object_id", hot_intervals=40).collect()
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == brute(rows_)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert periods_and_gaps(df, "object_id").count() == 0
