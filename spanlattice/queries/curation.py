@@ -78,12 +78,35 @@ def hash_classes(spark, sf_dir):
     return curate.hash_classes(hashes(spark, sf_dir), "id", "h").select("id", "class_id")
 
 
+#: The signs of all 64 elements, in two halves as DuckDB's bigint is signed; within the distance of the surveyed operator.
+_HASH64 = "hs as (select vec_id id, list_reduce(list_transform(embedding[1:32], lambda x: cast(x > 0 as bigint)), lambda a, b: a * 2 + b) h1, list_reduce(list_transform(embedding[33:64], lambda x: cast(x > 0 as bigint)), lambda a, b: a * 2 + b) h2 from embeddings)"
+_CLASSES64 = "cl as (select h1, h2, min(id) id from hs group by 1, 2)"
+BITS, DISTANCE = 64, 12
+
+
+def hashes64(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), curate.sign_hash(F.col("embedding"), BITS).alias("h"))
+
+
+@registry.query("hash_pairs_64", f"""with {_HASH64}, {_CLASSES64}, d as (select a.id a, b.id b, cast(bit_count(xor(a.h1, b.h1)) + bit_count(xor(a.h2, b.h2)) as integer) dist from cl a join cl b on a.id < b.id)
+select * from d where dist <= {DISTANCE}""")
+def hash_pairs_64(spark, sf_dir):
+    """hash_pairs over all elements; hash_pairs itself is held to the first 32 by its SQL."""
+    return curate.hash_pairs(curate.hash_classes(hashes64(spark, sf_dir), "id", "h"), DISTANCE, BITS)
+
+
+@registry.query("hash_classes_64", f"with {_HASH64}, {_CLASSES64} select hs.id, cl.id class_id from hs join cl using (h1, h2)")
+def hash_classes_64(spark, sf_dir):
+    """hash_classes over all elements."""
+    return curate.hash_classes(hashes64(spark, sf_dir), "id", "h").select("id", "class_id")
+
+
 @registry.query("dedup_greedy")
 def dedup_greedy(spark, sf_dir):
-    """Greedy exemplars by hash distance: no two kept ones are close, and every other one is close to a kept one."""
+    """Greedy exemplars by the distance of hashes of all elements: no two kept ones are close, and every other one is close to a kept one."""
     scratch = Scratch(spark, "dedup")
-    classes = scratch.keep(curate.hash_classes(hashes(spark, sf_dir), "id", "h"))
-    return curate.exemplars(classes.filter("id = class_id"), "id", curate.hash_pairs(classes, 6, 32), scratch)
+    classes = scratch.keep(curate.hash_classes(hashes64(spark, sf_dir), "id", "h"))
+    return curate.exemplars(classes.filter("id = class_id"), "id", curate.hash_pairs(classes, DISTANCE, BITS), scratch)
 
 
 @registry.query("sample_weights", "with c as (select event_type, count(*) n from events group by 1), w as (select *, pow(1.0 / n, 0.3) w from c) select event_type, n, round(w / sum(w) over (), 9) weight from w")
