@@ -248,9 +248,9 @@ def cluster_graph_edges(spark, sf_dir):
 
 @registry.query("consensus")
 def consensus_runs(spark, sf_dir):
-    """Instances that two of a data set's three trackers agree on."""
+    """Instances that two of a data set's three trackers agree on. By the runs alone: the stored boxes may be null or disagree with them."""
     o, r = graph_inputs(spark, sf_dir)
-    return consensus.Consensus(o, r, 3, votes=2, cluster_iou=0.75, bucket=64).runs
+    return consensus.Consensus(o, r, 3, votes=2, cluster_iou=0.75, bucket=64, screen=False).runs
 
 
 @registry.query("semantic_consensus", f"with {_OBJECTS}, {_vote_sql('obj_runs', 'src, dataset_id, class_id', 1, 'one')}, {_vote_sql('one', 'dataset_id, class_id', 2)} select * from voted")

@@ -1,4 +1,4 @@
-from spanlattice.queries import curation
+from spanlattice.queries import curation, intervals
 
 
 def test_hashes_of_all_elements(spark, tmp_path):
@@ -12,3 +12,15 @@ def test_hashes_of_all_elements(spark, tmp_path):
     assert kept in ({1, 2}, {2, 3})
     assert {tuple(r) for r in curation.hash_classes_64(spark, at).collect()} == {(1, 1), (2, 2), (3, 3), (4, 1)}
     assert [tuple(r) for r in curation.hash_pairs_64(spark, at).collect()] == [(1, 3, 10)]
+
+
+def test_consensus_without_usable_boxes(spark, tmp_path):
+    """What the runs share is found, whatever the stored boxes say."""
+    meta = [(k, 0, axis) for k, axis in enumerate(("xy", "xz", "yz"))]
+    box, far, none = (0, 0, 0, 4, 4, 4), (9, 9, 9, 12, 12, 12), (None,) * 6
+    rows = [(10 * k + n, n, 0, 10 * k + n, *b, [100 * k], [10]) for k, pair in enumerate([(box, box), (box, none), (none, none), (box, far)]) for n, b in enumerate(pair)]
+    spark.createDataFrame(meta, "src int, dataset_id int, axis string").write.parquet(f"{tmp_path}/tracker_meta.parquet")
+    schema = "object_id bigint, src int, class_id int, label bigint, z1 int, y1 int, x1 int, z2 int, y2 int, x2 int, starts array<bigint>, runs array<bigint>"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/tracked_object.parquet")
+    got = {tuple(r) for r in intervals.consensus_runs(spark, str(tmp_path)).collect()}
+    assert got == {(k + 1, 100 * k, 100 * k + 10) for k in range(4)}
