@@ -32,6 +32,12 @@ def line_points(spark, sf_dir):
     return li.select((F.col("l_linenumber") % 3).alias("src"), (F.col("l_suppkey") % 8).alias("lab"), F.floor(F.col("l_orderkey") / 4).alias("idx"))
 
 
+def line_length(spark, sf_dir):
+    """One more than the greatest index of line_points; 0 without any."""
+    last = line_points(spark, sf_dir).agg(F.max("idx")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def line_runs(spark, sf_dir):
     return runs.encode(line_points(spark, sf_dir), ["src", "lab"], "idx")
 
@@ -319,14 +325,15 @@ _TILES = "tiles as (select unnest(range(0, 400)) tile, unnest(range(0, 400)) * 4
 @registry.query("tile_clip", f"""with {_LINE_RUNS}, {_TILES}
 select lab, src, cast(tile as integer) tile, greatest(r.s, t.s) - t.s s, least(r.e, t.e) - t.s e from line_runs r join tiles t on r.s < t.e and t.s < r.e""")
 def tile_clip(spark, sf_dir):
-    windows = spark.range(400).select(F.col("id").cast("int").alias("tile"), (F.col("id") * 448).alias("s"), (F.col("id") * 448 + 512).alias("e"))
+    """Runs cut to windows of 512 that begin every 448 indices, up to the table's last index (the SQL's 400 end at 179,264)."""
+    windows = spark.range(-(-line_length(spark, sf_dir) // 448)).select(F.col("id").cast("int").alias("tile"), (F.col("id") * 448).alias("s"), (F.col("id") * 448 + 512).alias("e"))
     return tiles.clip_to_windows(line_runs(spark, sf_dir), windows, ["src", "lab"], bucket=64)
 
 
 @registry.query("tile_round_trip", f"with {_LINE_RUNS} select * from line_runs where s < 1000000")
 def tile_round_trip(spark, sf_dir):
-    """Runs of an image of 1000 x 1000 cut to tiles of 300 x 200 and put together again."""
-    lay = tiles.layout(spark, 1000, 1000, (300, 200), 40)
+    """Runs of an image 1000 wide, and 1000 high or as high as the table needs, cut to tiles of 300 x 200 and put together again (the SQL stops at 1000 rows)."""
+    lay = tiles.layout(spark, max(1000, -(-line_length(spark, sf_dir) // 1000)), 1000, (300, 200), 40)
     r = line_runs(spark, sf_dir)
     back = tiles.to_image(tiles.to_tiles(r, lay, ["src", "lab"], 1000), lay, ["src", "lab"], 1000)
     return runs.join_ranges(back, ["src", "lab"])

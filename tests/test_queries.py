@@ -24,3 +24,18 @@ def test_consensus_without_usable_boxes(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/tracked_object.parquet")
     got = {tuple(r) for r in intervals.consensus_runs(spark, str(tmp_path)).collect()}
     assert got == {(k + 1, 100 * k, 100 * k + 10) for k in range(4)}
+
+
+def test_tiles_to_the_last_index(spark, tmp_path):
+    """Runs beyond 400 windows, and beyond 1,000 rows of 1,000."""
+    at = [0, 3, 179_263, 179_264, 200_000, 999_999, 1_000_000, 1_500_001]
+    li = [(4 * i, 1, 5) for i in at]
+    spark.createDataFrame(li, "l_orderkey bigint, l_linenumber int, l_suppkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    clipped = intervals.tile_clip(spark, str(tmp_path)).collect()
+    want = {(t, i - 448 * t) for i in at for t in (i // 448 - 1, i // 448) if t >= 0 and i < 448 * t + 512}
+    assert sorted((r.tile, i) for r in clipped for i in range(r.s, r.e)) == sorted(want)
+    back = [i for r in intervals.tile_round_trip(spark, str(tmp_path)).collect() for i in range(r.s, r.e)]
+    assert sorted(back) == at
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], "l_orderkey bigint, l_linenumber int, l_suppkey bigint").write.parquet(f"{tmp_path}/none/lineitem.parquet")
+    assert not intervals.tile_clip(spark, f"{tmp_path}/none").collect() and not intervals.tile_round_trip(spark, f"{tmp_path}/none").collect()
