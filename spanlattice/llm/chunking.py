@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlattice.llm.images import grey, readable, small_batches
+from spanlattice.llm.images import grey, readable
 
 #: Lines in the window of the rolling hash.
 WINDOW = 3
+#: Base of the rolling hash; odd, so that it has an inverse.
+BASE = 0xBF58476D1CE4E5B9
 
 
 def natural_boundaries(lines: np.ndarray) -> np.ndarray:
@@ -31,13 +33,16 @@ def natural_boundaries(lines: np.ndarray) -> np.ndarray:
 
 def landmarks(lines: np.ndarray, bits: int) -> np.ndarray:
     """For each line z, whether the rolling hash of the WINDOW lines before it has its low ``bits`` zero."""
-    factor = np.uint64(0x9E3779B97F4A7C15)
-    powers = np.cumprod(np.full(lines.shape[1], factor, np.uint64))
+    powers = np.cumprod(np.full(lines.shape[1], 0x9E3779B97F4A7C15, np.uint64))
     digest = (lines.astype(np.uint64) * powers + np.uint64(1)).sum(axis=1, dtype=np.uint64)
     digest ^= digest >> np.uint64(29)
-    rolled = np.zeros(len(lines) + 1, np.uint64)
-    for k in range(1, WINDOW + 1):
-        rolled[k:] = rolled[k:] * np.uint64(1) + digest[: len(lines) + 1 - k] * np.uint64(pow(0xBF58476D1CE4E5B9, k, 2**64))
+    # the window's hash sum(digest[i] * BASE^(z - i)) rolls from line to line; all at once it is a difference of running sums, times BASE^z
+    n = len(lines)
+    back = np.cumprod(np.full(n, pow(BASE, -1, 2**64), np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest * back, dtype=np.uint64)])
+    rolled = total.copy()
+    rolled[WINDOW:] -= total[: n + 1 - WINDOW]
+    rolled *= np.cumprod(np.full(n + 1, BASE, np.uint64))
     out = (rolled >> np.uint64(64 - bits)) == 0
     out[:WINDOW] = False
     return out[: len(lines)]
@@ -82,7 +87,6 @@ def pieces(df: DataFrame, kind: str, item: str, data: str, dtype: str, n_lines:
                 ends.append([b for _, b in got])
             yield pd.DataFrame({"item_id": np.array(ids, np.int64), "firsts": firsts, "ends": ends})
 
-    small_batches(df)
     usable = df.filter(F.col(item).isNotNull() & readable(data, dtype, n_lines, line_cells)).filter(F.try_multiply(n_lines.cast("bigint"), line_cells.cast("bigint")) > limit)
     cuts = usable.select(F.col(item).alias("item_id"), n_lines.cast("int").alias("n"), line_cells.cast("int").alias("cells"), (F.col(dtype) == "uint16").alias("wide"), F.col(data).alias("data"))
     cuts = cuts.mapInPandas(make, "item_id bigint, firsts array<int>, ends array<int>")

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of binary arrays sent to Python at once; the session's own setting is used if it is smaller.
-BINARY_ROWS_PER_BATCH = 1_000
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """Arrow batches hold rows, not bytes: keep those of binary arrays small."""
-    conf = df.sparkSession.conf
-    now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if now <= 0 or now > BINARY_ROWS_PER_BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BINARY_ROWS_PER_BATCH))
-    return df
+#: Cells of arrays that are worked on at once.
+CELLS_AT_ONCE = 4_000_000
 
 
 def readable(data: str, dtype: str, *dims: Column) -> Column:
@@ -44,6 +38,32 @@ def blank(levels: np.ndarray) -> bool:
     return int(levels.max()) - int(levels.min()) <= 3
 
 
+def usable(patches: DataFrame) -> DataFrame:
+    """(patch_id, h, w, wide, image) of rows with an id and a readable image, in the order that level_groups wants."""
+    h, w = extent("y0", "y1"), extent("x0", "x1")
+    return patches.filter(F.col("patch_id").isNotNull() & readable("image", "dtype", h, w)).select("patch_id", h.cast("int").alias("h"), w.cast("int").alias("w"), (F.col("dtype") == "uint16").alias("wide"), "image")
+
+
+def level_groups(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(places in the batch, grey levels with a row for each image, h, w) of images of equal size that are not blank.
+
+    The first columns of the batch are patch_id, h, w, wide and image; arrays of one size are worked on together, at most CELLS_AT_ONCE cells.
+    """
+    h, w, wide = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3))
+    image = batch.column(4)
+    order = np.lexsort((wide, w, h))
+    new = np.flatnonzero(np.append(True, (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0) | (np.diff(wide[order]) != 0))) if len(order) else []
+    for a, z in zip(new, [*new[1:], len(order)]):
+        rows, cols, kind = int(h[order[a]]), int(w[order[a]]), bool(wide[order[a]])
+        step = max(1, CELLS_AT_ONCE // (rows * cols))
+        for k in range(a, z, step):
+            at = order[k : min(k + step, z)]
+            levels = grey(b"".join(image.take(pa.array(at)).to_pylist()), kind).reshape(len(at), rows * cols)
+            seen = levels.max(axis=1).astype(np.int16) - levels.min(axis=1).astype(np.int16) > 3
+            if seen.any():
+                yield at[seen], levels[seen], rows, cols
+
+
 def clean_path(path: Column) -> Column:
     """A path without repeated and trailing slashes and ``.`` steps; null if nothing is left."""
     steps = F.filter(F.split(F.trim(path), "/"), lambda x: (x != "") & (x != "."))

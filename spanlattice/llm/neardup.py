@@ -8,99 +8,62 @@ orders are applied to the images still in some pair, and the pair sets are inter
 Each order ranks tokens by rarity class first (the logarithm of their count in a sketch of fixed size, so that what is common to many images
 comes last in every order) and by a fresh hash within the class. The choice of orders steers cost only: no pair is lost.
 Images of equal sets form a class. One image of a class takes part in the join; copies are expanded at the end, if at all.
+
+Sets are never written: they are many times as large as the images and quickly made again from them, for all images of one
+size together. Prefixes travel packed (spanlattice.llm.packed), with the tokens of hot lists spread over cells.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlattice.llm import packed
 from spanlattice.llm.components import components
-from spanlattice.llm.images import blank, extent, grey, readable, small_batches
+from spanlattice.llm.images import grey, level_groups, usable
+from spanlattice.llm.packed import mix
+from spanlattice.operators.skew import lookup
 from spanlattice.session import Scratch
 
 ORDERS = 3
-#: Counters of the rarity sketch: a fixed 2 MB, however much data there is.
-SKETCH_BITS = 18
 
 
-def sequences(levels: np.ndarray, h: int, w: int, width: int) -> np.ndarray:
-    """The different sequences of ``width`` <= 8 neighbouring grey levels of an image row, each as one 64-bit number (no hashing)."""
+def sequences(levels: np.ndarray, h: int, w: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, tokens) of images of h x w, one per row of ``levels``: the tokens image by image, each image's sorted and different.
+
+    A token is ``width`` <= 8 neighbouring grey levels of an image row as one 64-bit number (no hashing).
+    """
     if w < width:
-        return np.zeros(0, np.int64)
-    rows = levels.reshape(h, w).astype(np.uint64)
-    key = np.zeros((h, w - width + 1), np.uint64)
+        return np.zeros(len(levels), np.int64), np.zeros(0, np.uint64)
+    rows = levels.reshape(len(levels), h, w)
+    key = np.zeros((len(levels), h, w - width + 1), np.uint64)
     for i in range(width):
-        key = (key << np.uint64(8)) | rows[:, i : w - width + 1 + i]
-    return np.unique(key.view(np.int64))
-
-
-def _mix(x: np.ndarray, order: int) -> np.ndarray:
-    """Bijective mixing of 64-bit numbers, another one for each order."""
-    x = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (order + 1)) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def prefix_length(n: int, t: float) -> int:
-    return n - math.ceil(round(t * n, 9)) + 1
-
-
-def prefix(tokens: np.ndarray, order: int, t: float, sketch: np.ndarray) -> np.ndarray:
-    """The first tokens under the given order, as their mixed 64-bit numbers (a bijection per order)."""
-    mixed = _mix(tokens, order)
-    seen = sketch[(_mix(tokens, -1) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    rarity = np.frexp(seen.astype(np.float64))[1]
-    return mixed[np.lexsort((mixed, rarity))[: prefix_length(len(tokens), t)]].view(np.int64)
+        key = (key << np.uint64(8)) | rows[:, :, i : w - width + 1 + i]
+    key = np.sort(key.reshape(len(levels), -1), axis=1)
+    new = np.ones(key.shape, bool)
+    new[:, 1:] = key[:, 1:] != key[:, :-1]
+    return new.sum(axis=1), key[new]
 
 
-def overlap_needed(a: int, b: int, t: float) -> int:
-    return math.ceil(round(t / (1 + t) * (a + b), 9))
+def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
+    return n - np.ceil(np.round(t * n, 9)).astype(np.int64) + 1
 
 
-def _sets(patches: DataFrame, width: int) -> DataFrame:
-    """(patch_id, size, sig, tokens) of readable images that are not blank and have a sequence at all."""
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, out = [], []
-            for i, image, wide, a, b in zip(pdf["patch_id"], pdf["image"], pdf["wide"], pdf["h"], pdf["w"]):
-                g = grey(image, wide)
-                if not blank(g) and len(x := sequences(g, a, b, width)):
-                    ids.append(i)
-                    out.append(x.tobytes())
-            yield pd.DataFrame({"patch_id": np.array(ids, np.int64), "size": np.array([len(x) // 8 for x in out], np.int32), "tokens": out})
-
-    small_batches(patches)
-    h, w = extent("y0", "y1"), extent("x0", "x1")
-    usable = patches.filter(F.col("patch_id").isNotNull() & readable("image", "dtype", h, w)).select("patch_id", h.cast("int").alias("h"), w.cast("int").alias("w"), (F.col("dtype") == "uint16").alias("wide"), "image")
-    return usable.mapInPandas(make, "patch_id bigint, size int, tokens binary").withColumn("sig", F.sha2("tokens", 256))
-
-
-def _prefixes(sets: DataFrame, order: int, t: float, sketch) -> DataFrame:
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"cls": pdf["cls"], "size": pdf["size"], "first": [prefix(np.frombuffer(x, np.int64), order, t, sketch.value) for x in pdf["tokens"]]})
-
-    got = sets.select("cls", "size", "tokens").mapInPandas(make, "cls bigint, size int, first array<bigint>")
-    return got.select("cls", "size", F.posexplode("first").alias("at", "token"))
-
-
-def _pairs(prefixes: DataFrame, t: float) -> DataFrame:
-    """Pairs with a common prefix token that pass the length and the position filter."""
-    a = prefixes.select("token", F.col("cls").alias("a"), F.col("size").alias("na"), F.col("at").alias("pa"))
-    b = prefixes.select("token", F.col("cls").alias("b"), F.col("size").alias("nb"), F.col("at").alias("pb"))
-    least, most = F.least("na", "nb"), F.greatest("na", "nb")
-    # both tokens are the first common one for some candidate row of the pair, so this row passes if the pair is similar
-    ahead = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    both = a.join(b, "token").filter((F.col("a") < F.col("b")) & (least + 1e-9 >= most * t) & (ahead + 1e-9 >= (F.col("na") + F.col("nb")) * (t / (1 + t))))
-    return both.select("a", "b").distinct()
+def prefixes(sizes: np.ndarray, tokens: np.ndarray, rarity: np.ndarray, order: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the set, mixed token, place in the token's set) of the first tokens of each set under the given order; at places of ``tokens``."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    # one number to sort by: the rarity class, then the mixed token but for its lowest bits; ties of these by the rest
+    mixed = mix(tokens, order)
+    at = np.lexsort(((rarity.astype(np.uint64) << np.uint64(58)) | (mixed >> np.uint64(6)), which))
+    pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = pos < np.repeat(prefix_length(sizes, t), sizes)
+    return which[first], at[first], pos[first]
 
 
 class NearDuplicates:
@@ -108,53 +71,110 @@ class NearDuplicates:
 
     ``member``: (patch_id, cls), one row per usable image. ``pairs``: (a, b), a < b, classes at least ``t`` similar.
     Rows without an id, unreadable and blank images and images narrower than ``width`` are in no pair and no class;
-    repeated deliveries count once; empty tables give no row; further columns are not read.
+    repeated deliveries count once; empty tables give no row; further columns are not read. The caller may ``clear`` the
+    ``scratch`` tables when the results are used.
     """
 
-    def __init__(self, patches: DataFrame, t: float = 0.6, width: int = 8, orders: int = ORDERS):
+    def __init__(self, patches: DataFrame, t: float = 0.6, width: int = 8, orders: int = ORDERS, scratch: Scratch | None = None, list_limit: int | None = None):
         spark = patches.sparkSession
-        self.scratch = scratch = Scratch(spark, "neardup")
-        sets = scratch.keep(_sets(patches, width))
-        classes = sets.groupBy("sig").agg(F.min("patch_id").alias("cls"))
-        self.member = scratch.keep(sets.select("patch_id", "sig").join(classes, "sig").select("patch_id", "cls").distinct())
-        reps = scratch.keep(sets.join(classes.select(F.col("cls").alias("patch_id")), "patch_id", "left_semi").dropDuplicates(["patch_id"]).select(F.col("patch_id").alias("cls"), "size", "tokens"))
-        scratch.drop(sets)
-
-        def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(1 << SKETCH_BITS, np.int64)  # of a task, so one row per counter and task is shuffled
-            for pdf in batches:
-                tokens = np.frombuffer(b"".join(pdf["tokens"]), np.int64)
-                total += np.bincount((_mix(tokens, -1) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"at": at, "n": total[at]})
-
-        seen = reps.select("tokens").mapInPandas(slots, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most 2^SKETCH_BITS rows
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        sketch[seen["at"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
-        shared = spark.sparkContext.broadcast(sketch)
-
-        pairs = scratch.keep(_pairs(_prefixes(reps, 0, t, shared), t))
+        self.scratch = scratch = scratch or Scratch(spark, "neardup")
+        given = usable(patches)
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A row for each image, and at the end the task's counters of tokens."""
+            total = np.zeros(1 << packed.SKETCH_BITS, np.int64)
+            names = ["patch_id", "size", "sig", "block", "counts"]
+            for b in batches:
+                ids = b.column(0).to_numpy()
+                for at, levels, h, w in level_groups(b):
+                    sizes, tokens = sequences(levels, h, w, width)
+                    if not len(tokens):
+                        continue
+                    total += np.bincount(packed.slot(mix(tokens, -1)), minlength=len(total))
+                    raw, ends = tokens.tobytes(), np.cumsum(sizes) * 8
+                    sig = [blake2b(raw[z - 8 * n : z], digest_size=16).hexdigest() for n, z in zip(sizes.tolist(), ends.tolist())]
+                    n = len(sig)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(sizes.astype(np.int32)), pa.array(sig), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            at, blocks = packed.sketch_rows(total)
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(at, pa.int32()), pa.array(blocks, pa.binary())], names)
+
+        looked = scratch.keep(given.mapInArrow(look, "patch_id bigint, size int, sig string, block int, counts binary"))
+        seen = packed.gather_sketch(looked.filter("block is not null"))
+        sets = looked.filter("patch_id is not null").select("patch_id", "size", "sig")
+        classes = sets.groupBy("sig").agg(F.min("patch_id").alias("cls"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+        classes = scratch.keep(classes)
+        n_sets, n_tokens = classes.agg(F.sum("n"), F.sum("size")).first()
+        self.member = scratch.keep(lookup(sets, "sig", classes, "sig", "cls", n_sets or 0, F.concat(F.lit("#"), "patch_id")).select("patch_id", "cls").distinct())
+        scratch.drop(looked)
+
+        rarity = np.frexp(seen.astype(np.float64))[1].astype(np.uint8)
+        lists = packed.Lists(seen, list_limit)
+        shared = spark.sparkContext.broadcast((rarity, lists))  # 2^SKETCH_BITS counters
+
+        def pairs_under(order: int, images: DataFrame) -> DataFrame:
+            """Pairs (a, b), a < b, with a common prefix token that pass the length and the position filter."""
+
+            def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                rarity, lists = shared.value
+                packer = packed.Packer(buckets)
+                for b in batches:
+                    ids = b.column(0).to_numpy()
+                    for at, levels, h, w in level_groups(b):
+                        sizes, tokens = sequences(levels, h, w, width)
+                        if not len(tokens):
+                            continue
+                        slots = packed.slot(mix(tokens, -1))
+                        which, first, pos = prefixes(sizes, tokens, rarity[slots], order, t)
+                        mark = (pos * 256 // prefix_length(sizes, t)[which]).astype(np.uint8)
+                        entry, key = packed.in_cells(mix(tokens[first], order), lists.of(slots[first]), mix(ids[at].view(np.uint64), 11)[which], True)
+                        yield from packer.add(ids[at], sizes, which[entry], key, mark[entry])
+                yield from packer.flush()
+
+            def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                def candidates():
+                    for owner, meta, token, mark in packed.buckets_of(batches):
+                        size = meta.astype(np.int64)
+                        pos = -(-mark.astype(np.int64) * prefix_length(size, t) // 256)  # the place in the prefix, or a little less
+                        for i, j in packed.pairs_in_runs(token):
+                            na, nb = size[i], size[j]
+                            # both tokens are the first common one for some candidate row of the pair, so this row passes if the pair is similar
+                            ahead = np.minimum(na - pos[i], nb - pos[j])
+                            ok = (owner[i] != owner[j]) & (np.minimum(na, nb) + 1e-9 >= np.maximum(na, nb) * t) & (ahead + 1e-9 >= (na + nb) * (t / (1 + t)))
+                            yield np.minimum(owner[i[ok]], owner[j[ok]]), np.maximum(owner[i[ok]], owner[j[ok]])
+
+                return packed.gathered(candidates())
+
+            return packed.shuffled(images.mapInArrow(pack, packed.SCHEMA), buckets).mapInArrow(meet, "a bigint, b bigint").distinct()
+
+        buckets = packed.buckets_for(spark, int((n_tokens or 0) * (1 - t)))
+        copies = scratch.keep(self.member.filter("patch_id <> cls").select("patch_id"))
+        pairs = scratch.keep(pairs_under(0, given.join(copies, "patch_id", "left_anti")))
+        alive = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("patch_id")).distinct())
+        # the other images are not read again; a repeated delivery may stay, its pairs are the same
+        reps = scratch.keep(given.join(alive, "patch_id", "left_semi"))
+        buckets = packed.buckets_for(spark, int((n_tokens or 0) * (1 - t) * reps.count() / max(n_sets or 0, 1)))
         for order in range(1, orders):
-            alive = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-            fewer_reps = scratch.keep(reps.join(alive, "cls", "left_semi"))  # the other sets' tokens are not shuffled again
-            scratch.drop(reps)
-            reps = fewer_reps
-            fewer = scratch.keep(pairs.join(_pairs(_prefixes(reps, order, t, shared), t), ["a", "b"], "left_semi"))
+            fewer = scratch.keep(pairs.join(pairs_under(order, reps), ["a", "b"], "left_semi"))
             scratch.drop(pairs)
             pairs = fewer
 
-        def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cols = [c.to_pylist() for c in b.columns]
                 ok = []
-                for x, y in zip(pdf["ta"], pdf["tb"]):
-                    u, v = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                for ha, wa, da, x, hb, wb, db, y in zip(*cols[2:]):
+                    (_, u), (_, v) = sequences(grey(x, da)[None, :], ha, wa, width), sequences(grey(y, db)[None, :], hb, wb, width)
                     common = len(np.intersect1d(u, v, assume_unique=True))
                     ok.append(common + 1e-9 >= t * (len(u) + len(v) - common))
-                yield pdf.loc[ok, ["a", "b"]]
-
-        a = reps.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
-        b = reps.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
-        self.pairs = scratch.keep(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInPandas(verify, "a bigint, b bigint"))
+                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        once = reps.dropDuplicates(["patch_id"])
+        side = lambda k: once.select(F.col("patch_id").alias(k), *[F.col(c).alias(c + k) for c in ("h", "w", "wide", "image")])
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        self.pairs = scratch.keep(both.select("a", "b", *[c + k for k in "ab" for c in ("h", "w", "wide", "image")]).mapInArrow(verify, "a bigint, b bigint"))
+        scratch.drop(pairs)
+        scratch.drop(reps)
 
     def image_pairs(self) -> DataFrame:
         """(patch_id1, patch_id2), patch_id1 < patch_id2: all similar pairs, copies included."""

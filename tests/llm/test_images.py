@@ -3,7 +3,8 @@ import random
 import numpy as np
 
 from spanlattice.llm.chunking import cut, landmarks, natural_boundaries, pieces
-from spanlattice.llm.crosssplit import cross_split, index_tokens, max_bad, overlap_report, probe_tokens
+from spanlattice.llm import packed
+from spanlattice.llm.crosssplit import CrossSplit, cross_split, index_tokens, max_bad, overlap_report, probe_tokens
 from spanlattice.llm.neardup import NearDuplicates
 
 PATCH = "patch_id bigint, file_path string, dataset string, y0 int, y1 int, x0 int, x1 int, dtype string, image binary, h int, token string, cls int"
@@ -115,9 +116,69 @@ def test_tokens_lose_no_pair():
         b = np.clip(a + rng.integers(-3, 4, h * w), 0, 255)
         at = rng.permutation(h * w)[: max_bad(h * w, 0.95)]
         b[at] = (b[at] + 99) % 256
-        sketch = rng.integers(0, 50, 1 << 18)
-        found = index_tokens(a.astype(np.uint8), h, w, 0.95, 3, sketch)
-        assert np.isin(found, probe_tokens(b.astype(np.uint8), h, w, 0.95)).any()
+        sketch = rng.integers(0, 50, 1 << packed.SKETCH_BITS)
+        which, found = index_tokens(np.stack([a, b]).astype(np.uint8), h, w, 0.95, 3, sketch)
+        probes = probe_tokens(np.stack([a, b]).astype(np.uint8), h, w, 0.95)
+        assert np.isin(found[which == 0], probes[1]).any() and np.isin(found[which == 1], probes[0]).any()
+
+
+def shared_token(n=60):
+    """Images that all have their first two lines in common, and some near copies of them."""
+    rng = np.random.default_rng(5)
+    top = rng.integers(0, 256, (2, 14))
+    rows = []
+    for i in range(n):
+        x = np.vstack([top, rng.integers(0, 256, (7, 14))])
+        for k in range(rng.integers(1, 4)):
+            y = x.copy()
+            y[8, :k] += 1
+            rows.append(patch(3 * i + k, np.clip(y, 0, 255), ["/p/base/train/", "/p/base/eval/"][k % 2] + f"{i}"))
+    return rows
+
+
+def test_hot_tokens_are_split(spark):
+    """Tokens that all images share, spread over many cells, lose no pair and make none twice."""
+    for rows in (shared_token(), images(11)):
+        df, config = spark.createDataFrame(rows, PATCH), spark.createDataFrame(CONFIGS, CONFIG)
+        near, want = NearDuplicates(df, list_limit=1).image_pairs().collect(), brute_near(rows)
+        assert want and len(near) == len(set(near)) and {tuple(r) for r in near} == want
+        cross, want = CrossSplit(df, config, list_limit=1).image_pairs().collect(), brute_cross(rows, CONFIGS)
+        assert want and len(cross) == len(set(cross)) and {tuple(r) for r in cross} == want
+
+
+def test_cells_meet():
+    """However tokens are split, entries of equal tokens meet, and others do not."""
+    rng = np.random.default_rng(4)
+    token, part = rng.integers(0, 5, 200).astype(np.uint64), rng.integers(0, 2**60, 200).astype(np.uint64)
+    cells = np.array([1, 7, 3, 1, 20])[token.astype(int)]
+    entry, key = packed.in_cells(token, cells, part, True)
+    met = {(i, j) for k in set(key.tolist()) for i in entry[key == k].tolist() for j in entry[key == k].tolist()}
+    assert met == {(i, j) for i in range(200) for j in range(200) if token[i] == token[j]}
+    (e1, k1), (e2, k2) = (packed.in_cells(token, cells, part, False, side) for side in (True, False))
+    met = [(i, j) for k in set(k1.tolist()) for i in e1[k1 == k].tolist() for j in e2[k2 == k].tolist()]
+    assert len(met) == len(set(met)) and set(met) == {(i, j) for i in range(200) for j in range(200) if token[i] == token[j]}
+
+
+def test_packing():
+    rng = np.random.default_rng(6)
+    packer, sent = packed.Packer(5), []
+    rows = []
+    for _ in range(3):
+        owners, which, tokens = rng.integers(0, 99, 4), rng.integers(0, 4, 50), packed.mix(rng.integers(0, 30, 50))
+        marks = rng.integers(0, 256, 50).astype(np.uint8)
+        sent += list(zip(owners[which].tolist(), (owners * 2)[which].tolist(), (tokens & np.uint64(2**32 - 1)).tolist(), marks.tolist()))
+        rows += list(packer.add(owners, owners * 2, which, tokens, marks))
+    rows += list(packer.flush())
+    got = [e for cols in packed.buckets_of(iter(rows)) for e in zip(*(c.tolist() for c in cols))]
+    assert sorted(got) == sorted(sent)
+
+
+def reach(x, pairs):
+    """What is linked to x, directly or over others."""
+    got, new = {x}, {x}
+    while new := {b for p in pairs for a, b in (p, p[::-1]) if a in new} - got:
+        got |= new
+    return got
 
 
 def test_near_duplicates(spark):
@@ -131,7 +192,19 @@ def test_near_duplicates(spark):
         assert len(groups) == len({r.patch_id for r in groups})
         of = {r.patch_id: r.group_id for r in groups}
         assert all(of[a] == of[b] for a, b in want)
-        assert len(set(of.values())) <= len(of)
+        assert of == {x: min(reach(x, want)) for x in of}
+
+
+def test_compact_cross_split(spark):
+    rows = images()
+    u = usable(rows)
+    got = CrossSplit(spark.createDataFrame(rows, PATCH), spark.createDataFrame(CONFIGS, CONFIG))
+    pairs, compact = {tuple(r) for r in got.image_pairs().collect()}, got.images().collect()
+    ends = {(run, i) for run, _, a, b in pairs for i in (a, b)}
+    assert {(r.run_name, r.patch_id) for r in compact} <= ends and all(u[r.patch_id][2] == r.dataset for r in compact)
+    for r in compact:  # as many classes as there are different images among the counterparts
+        partners = {(a if b == r.patch_id else b) for run, _, a, b in pairs if run == r.run_name and r.patch_id in (a, b)}
+        assert 1 <= r.n_links <= len({u[i][0].tobytes() for i in partners})
 
 
 def test_near_duplicates_empty(spark):
