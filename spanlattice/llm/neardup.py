@@ -35,12 +35,12 @@ ORDERS = 3
 
 
 def sequences(levels: np.ndarray, h: int, w: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes, tokens) of images of h x w, one per row of ``levels``: the tokens image by image, each image's sorted and different.
+    """(tokens, new) of images of h x w, one per row of ``levels``: all their tokens, sorted in each row, and which of them are the first of equal ones.
 
     A token is ``width`` <= 8 neighbouring grey levels of an image row as one 64-bit number (no hashing).
     """
     if w < width:
-        return np.zeros(len(levels), np.int64), np.zeros(0, np.uint64)
+        return np.zeros((len(levels), 0), np.uint64), np.zeros((len(levels), 0), bool)
     rows = levels.reshape(len(levels), h, w)
     key = np.zeros((len(levels), h, w - width + 1), np.uint64)
     for i in range(width):
@@ -48,22 +48,21 @@ def sequences(levels: np.ndarray, h: int, w: int, width: int) -> tuple[np.ndarra
     key = np.sort(key.reshape(len(levels), -1), axis=1)
     new = np.ones(key.shape, bool)
     new[:, 1:] = key[:, 1:] != key[:, :-1]
-    return new.sum(axis=1), key[new]
+    return key, new
 
 
 def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
     return n - np.ceil(np.round(t * n, 9)).astype(np.int64) + 1
 
 
-def prefixes(sizes: np.ndarray, tokens: np.ndarray, rarity: np.ndarray, order: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the set, mixed token, place in the token's set) of the first tokens of each set under the given order; at places of ``tokens``."""
-    which = np.repeat(np.arange(len(sizes)), sizes)
-    # one number to sort by: the rarity class, then the mixed token but for its lowest bits; ties of these by the rest
-    mixed = mix(tokens, order)
-    at = np.lexsort(((rarity.astype(np.uint64) << np.uint64(58)) | (mixed >> np.uint64(6)), which))
-    pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    first = pos < np.repeat(prefix_length(sizes, t), sizes)
-    return which[first], at[first], pos[first]
+def prefixes(tokens: np.ndarray, new: np.ndarray, rarity: np.ndarray, order: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, place in the order) of the first tokens of each row's set; ``rarity`` has the class of each token."""
+    length = prefix_length(new.sum(axis=1), t)
+    # the class, then the mixed token but for its lowest bits; as rows are sorted and the sort is stable, ties come in the same order everywhere
+    key = np.where(new, (rarity.astype(np.uint64) << np.uint64(58)) | (mix(tokens, order) >> np.uint64(6)), np.uint64(2**64 - 1))
+    at = np.argsort(key, axis=1, kind="stable")[:, : length.max()]
+    row, pos = np.nonzero(np.arange(at.shape[1])[None, :] < length[:, None])
+    return row, at[row, pos], pos
 
 
 class NearDuplicates:
@@ -87,9 +86,10 @@ class NearDuplicates:
             for b in batches:
                 ids = b.column(0).to_numpy()
                 for at, levels, h, w in level_groups(b):
-                    sizes, tokens = sequences(levels, h, w, width)
-                    if not len(tokens):
+                    tokens, new = sequences(levels, h, w, width)
+                    if not tokens.size:
                         continue
+                    sizes, tokens = new.sum(axis=1), tokens[new]
                     total += np.bincount(packed.slot(mix(tokens, -1)), minlength=len(total))
                     raw, ends = tokens.tobytes(), np.cumsum(sizes) * 8
                     sig = [blake2b(raw[z - 8 * n : z], digest_size=16).hexdigest() for n, z in zip(sizes.tolist(), ends.tolist())]
@@ -121,13 +121,13 @@ class NearDuplicates:
                 for b in batches:
                     ids = b.column(0).to_numpy()
                     for at, levels, h, w in level_groups(b):
-                        sizes, tokens = sequences(levels, h, w, width)
-                        if not len(tokens):
+                        tokens, new = sequences(levels, h, w, width)
+                        if not tokens.size:
                             continue
-                        slots = packed.slot(mix(tokens, -1))
-                        which, first, pos = prefixes(sizes, tokens, rarity[slots], order, t)
+                        slots, sizes = packed.slot(mix(tokens, -1)), new.sum(axis=1)
+                        which, first, pos = prefixes(tokens, new, rarity[slots], order, t)
                         mark = (pos * 256 // prefix_length(sizes, t)[which]).astype(np.uint8)
-                        entry, key = packed.in_cells(mix(tokens[first], order), lists.of(slots[first]), mix(ids[at].view(np.uint64), 11)[which], True)
+                        entry, key = packed.in_cells(mix(tokens[which, first], order), lists.of(slots[which, first]), mix(ids[at].view(np.uint64), 11)[which], True)
                         yield from packer.add(ids[at], sizes, which[entry], key, mark[entry])
                 yield from packer.flush()
 
@@ -164,9 +164,9 @@ class NearDuplicates:
                 cols = [c.to_pylist() for c in b.columns]
                 ok = []
                 for ha, wa, da, x, hb, wb, db, y in zip(*cols[2:]):
-                    (_, u), (_, v) = sequences(grey(x, da)[None, :], ha, wa, width), sequences(grey(y, db)[None, :], hb, wb, width)
-                    common = len(np.intersect1d(u, v, assume_unique=True))
-                    ok.append(common + 1e-9 >= t * (len(u) + len(v) - common))
+                    (u, new_u), (v, new_v) = sequences(grey(x, da)[None, :], ha, wa, width), sequences(grey(y, db)[None, :], hb, wb, width)
+                    common = len(np.intersect1d(u[new_u], v[new_v], assume_unique=True))
+                    ok.append(common + 1e-9 >= t * (new_u.sum() + new_v.sum() - common))
                 yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         once = reps.dropDuplicates(["patch_id"])
