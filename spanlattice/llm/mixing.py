@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +10,6 @@ from spanlattice.session import Scratch
 
 #: Sources with a target up to which the table of rates is broadcast.
 MAX_BROADCAST_SOURCES = 10_000
-#: Bins of the hash for each size class of a source, between which the additional copies are cut off.
-BINS = 1024
 
 
 def source_name(source: Column) -> Column:
@@ -21,11 +17,12 @@ def source_name(source: Column) -> Column:
     return F.lower(F.regexp_replace(source, r"(?U)^\s+|\s+$", ""))
 
 
-def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, n_docs, tokens, rate), one row per source with a target.
+def rates(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+    """(source, target_share, max_repeats, n_docs, tokens, wanted_tokens, rate), one row per source with a target.
 
-    The mix is the largest one that keeps all shares exact under the caps: with total T = min(max_repeats * tokens / share), a source's
-    rate is share * T / tokens, at most max_repeats. Shares are scaled to add up to 1 over the sources that have
+    Without ``total`` the mix is the largest one that keeps all shares exact under the caps: with T = min(max_repeats * tokens / share), a source's
+    rate is share * T / tokens, at most max_repeats. With ``total`` T is that; a source whose cap does not reach its share of T has its cap as
+    rate and falls short by wanted_tokens - rate * tokens. Shares are scaled to add up to 1 over the sources that have
     tokens; a source without tokens cannot hold its share and has rate 0. Shares that are null, not a number or not above 0 and
     caps below 1 take a source out (rate 0); a null cap is 1. Rows of one source after source_name: shares of different
     rows are added, equal rows count once, and the least cap holds. Null sources have no target.
@@ -36,65 +33,44 @@ def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     fit = (F.col("target_share") > 0) & ~F.isnan("target_share") & (F.col("max_repeats") >= 1) & (F.col("tokens") > 0)
     t = t.withColumn("use", F.when(fit, F.col("target_share")))
     all_ = t.agg(F.sum("use").alias("used"), F.min(F.col("max_repeats") * F.col("tokens") / F.col("use")).alias("per"))  # one row
-    rate = F.when(F.col("use").isNotNull(), F.least(F.col("use") * F.col("per") / F.col("tokens"), F.col("max_repeats").cast("double")))
-    return t.crossJoin(F.broadcast(all_)).select("source", "target_share", "max_repeats", "n_docs", "tokens", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    per = F.col("per") if total is None else F.lit(float(total)) / F.col("used")  # tokens for each unit of share
+    rate = F.when(F.col("use").isNotNull(), F.least(F.col("use") * per / F.col("tokens"), F.col("max_repeats").cast("double")))
+    return t.crossJoin(F.broadcast(all_)).select("source", "target_share", "max_repeats", "n_docs", "tokens", F.coalesce(F.col("use") * per, F.lit(0.0)).alias("wanted_tokens"), F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def _uniform(key: str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("bigint"), F.col(key)), 11).cast("double") / F.lit(float(2**53))
 
 
-def _size_class(n: str) -> Column:
-    return F.floor(F.log2(F.col(n))).cast("int")
-
-
-def thresholds(hist: pd.DataFrame) -> pd.DataFrame:
-    """(source, class, p): the probability of the additional copy, near the rate's fraction, for each size class of a source.
-
-    ``hist`` has the tokens of each (source, fraction, class, bin of the hash). From the largest documents to the smallest, the
-    cut that comes nearest to the class's share of tokens is taken and what it misses by is passed on, so that a
-    few very long documents do not shift the source's share.
-    """
-    out = []
-    for source, of in hist.groupby("source", sort=True):
-        left = 0.0
-        for cls, rows in sorted(of.groupby("class"), reverse=True):
-            rows = rows.sort_values("bin")
-            got = np.concatenate([[0], rows["tokens"].cumsum()])
-            wanted = rows["fraction"].iloc[0] * got[-1] + left
-            k = int(np.abs(got - wanted).argmin())
-            left = wanted - got[k]
-            out.append((source, int(cls), (int(rows["bin"].iloc[k - 1]) + 1) / BINS if k else 0.0))
-    return pd.DataFrame(out, columns=["source", "class", "p"])
-
-
 class Mix:
     """A selection of documents by source shares.
 
+    Each document is used floor(rate) times, and once more if its seeded hash is below the rate's fraction; so a document's copies
+    depend on its id, its source's rate and the seed alone. A source's tokens are then right on average, with a standard
+    deviation of sqrt(fraction * (1 - fraction) * sum(tokens^2)), which shares() reports: a few very long texts make it large.
+
     A document delivered twice (equal bitext_id, pair_seq and text) is used under its least doc_id, so that no text exceeds its source's
     cap; documents whose bitext_id or pair_seq is null stand for themselves. Null sources, sources without a target and
     texts without tokens (null, empty) are not selected. Empty tables give no row; further columns are not read.
+    ``characters`` measures sizes in code points instead of tokens; ``total`` see rates. The caller may ``clear`` the ``scratch`` tables.
     """
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, path: str, seed: int = 17):
-        scratch = Scratch(docs.sparkSession, "mix")
-        known = docs.filter("doc_id is not null").select("doc_id", source_name(F.col("source")).alias("source"), F.when(F.col("bitext_id").isNotNull() & F.col("pair_seq").isNotNull(), F.sha2(F.concat_ws("|", "bitext_id", F.col("pair_seq").cast("string"), F.coalesce("text", F.lit(""))), 256)).otherwise(F.concat(F.lit("#"), "doc_id")).alias("same"), "text")
-        counted = count_tokens(known, ["doc_id", "source", "same"], "text", path).filter("n_tokens > 0 and source is not null")
-        once = counted.groupBy("same").agg(F.min_by(F.struct("doc_id", "source", "n_tokens"), "doc_id").alias("d")).select("d.*")
+    def __init__(self, docs: DataFrame, targets: DataFrame, path: str, seed: int = 17, total: float | None = None, characters: bool = False):
+        self.scratch = scratch = Scratch(docs.sparkSession, "mix")
+        same = F.sha2(F.concat_ws("|", "bitext_id", F.col("pair_seq").cast("string"), F.coalesce("text", F.lit(""))), 256)
+        known = docs.filter("doc_id is not null").select("doc_id", source_name(F.col("source")).alias("source"), F.when(F.col("bitext_id").isNotNull() & F.col("pair_seq").isNotNull(), same).otherwise(F.concat(F.lit("#"), "doc_id")).alias("same"), "text")
+        keys = ["doc_id", "source", "same"]
+        counted = known.select(*keys, F.coalesce(F.char_length("text"), F.lit(0)).alias("n_tokens")) if characters else count_tokens(known, keys, "text", path)
+        once = counted.filter("n_tokens > 0 and source is not null").groupBy("same").agg(F.min_by(F.struct("doc_id", "source", "n_tokens"), "doc_id").alias("d")).select("d.*")
         self.docs = scratch.keep(once)
-        sizes = self.docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("tokens"))
-        self.rates = scratch.keep(rates(sizes, targets))
-        few = self.rates.count() <= MAX_BROADCAST_SOURCES
-        small = lambda x: F.broadcast(x) if few else x
-        r = self.rates.filter("rate > 0").select("source", F.floor(F.col("rate") + 1e-12).cast("int").alias("whole"), F.col("rate"))
+        n = F.col("n_tokens").cast("bigint")
+        sizes = self.docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(n).alias("tokens"), F.sum(n.cast("double") * n).alias("squares"))
+        self.rates = scratch.keep(rates(sizes.drop("squares"), targets, total).join(sizes.select("source", "squares"), "source", "left").na.fill(0, ["squares"]))
+        r = self.rates.filter("rate > 0").select("source", F.floor(F.col("rate") + 1e-12).cast("int").alias("whole"), "rate")
         r = r.withColumn("fraction", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))).drop("rate")
-        drawn = self.docs.join(small(r), "source").withColumn("u", _uniform("doc_id", seed)).withColumn("class", _size_class("n_tokens"))
-        hist = drawn.filter("fraction > 1e-12").groupBy("source", "fraction", "class", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("tokens"))
-        cuts = thresholds(hist.toPandas())  # at most BINS rows for each size class of a source with a target
-        p = docs.sparkSession.createDataFrame(cuts, "source string, class int, p double")
-        chosen = drawn.join(small(p), ["source", "class"], "left")
-        chosen = chosen.withColumn("n_copies", F.col("whole") + F.when(F.col("u") < F.col("p"), 1).otherwise(0))
-        self._chosen = chosen.filter("n_copies > 0").select("doc_id", "source", "n_tokens", "n_copies")
+        drawn = self.docs.join(F.broadcast(r) if r.count() <= MAX_BROADCAST_SOURCES else r, "source")
+        drawn = drawn.withColumn("n_copies", F.col("whole") + F.when(_uniform("doc_id", seed) < F.col("fraction"), 1).otherwise(0))
+        self._chosen = drawn.filter("n_copies > 0").select("doc_id", "source", "n_tokens", "n_copies")
 
     def chosen(self) -> DataFrame:
         """(doc_id, source, n_tokens, n_copies), one row per document used at all."""
@@ -104,9 +80,17 @@ class Mix:
         """(doc_id, source, copy_no, n_tokens): each copy a row."""
         return self.chosen().select("doc_id", "source", F.explode(F.sequence(F.lit(1), "n_copies")).alias("copy_no"), "n_tokens")
 
+    def plan(self) -> DataFrame:
+        """Per source with a target what the rates promise: whole copies, the chance of one more, tokens expected, their standard deviation, and what the cap leaves short of the wanted tokens."""
+        whole = F.floor(F.col("rate") + 1e-12)
+        fraction = F.greatest(F.col("rate") - whole, F.lit(0.0))
+        expected = F.col("rate") * F.col("tokens")
+        return self.rates.select("source", "target_share", "max_repeats", "n_docs", F.col("tokens").alias("source_tokens"), "rate", whole.cast("int").alias("whole_copies"), fraction.alias("fraction"), expected.alias("expected_tokens"), F.sqrt(fraction * (1 - fraction) * F.col("squares")).alias("tokens_sd"), F.greatest(F.col("wanted_tokens") - expected, F.lit(0.0)).alias("short_tokens"))
+
     def shares(self) -> DataFrame:
-        """Per source with a target: the share asked for and the share reached, in tokens."""
+        """plan() with the tokens, copies and share reached; expected_share is that of the expected tokens."""
         got = self.chosen().groupBy("source").agg(F.sum(F.col("n_tokens").cast("bigint") * F.col("n_copies")).alias("mixed_tokens"), F.max("n_copies").alias("most_copies"))
-        out = self.rates.join(got, "source", "left").na.fill(0, ["mixed_tokens", "most_copies"])
-        total = out.agg(F.sum("mixed_tokens").alias("total"))  # one row
-        return out.crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeats", "n_docs", F.col("tokens").alias("source_tokens"), "rate", "mixed_tokens", "most_copies", (F.col("mixed_tokens") / F.nullif("total", F.lit(0))).alias("actual_share"))
+        out = self.plan().join(got, "source", "left").na.fill(0, ["mixed_tokens", "most_copies"])
+        total = out.agg(F.sum("mixed_tokens").alias("_total"), F.sum("expected_tokens").alias("_expected"))  # one row
+        share = lambda a, b: (F.col(a) / F.nullif(F.col(b), F.lit(0))).alias("expected_share" if b == "_expected" else "actual_share")
+        return out.crossJoin(F.broadcast(total)).select(*out.columns, share("expected_tokens", "_expected"), share("mixed_tokens", "_total"))

@@ -171,6 +171,26 @@ def p7_shares(spark, sf_dir):
     return _mix(spark, sf_dir).shares()
 
 
+@registry.query(
+    "p7_plan",
+    """with t as (select distinct lower(trim(source)) source, target_share, coalesce(max_repeats, 1) max_repeats from mix_target where source is not null),
+tt as (select source, sum(target_share) target_share, min(max_repeats) max_repeats from t group by 1),
+d as (select doc_id, lower(trim(source)) source, length(text) n, case when bitext_id is not null and pair_seq is not null then bitext_id || '|' || pair_seq || '|' || text else '#' || doc_id end same from documents where doc_id is not null and length(text) > 0 and source is not null),
+once as (select arg_min(source, doc_id) source, arg_min(n, doc_id) n from d group by same),
+z as (select source, count(*) n_docs, cast(sum(n) as bigint) tokens, sum(cast(n as double) * n) squares from once group by 1),
+j as (select tt.*, coalesce(n_docs, 0) n_docs, coalesce(tokens, 0) tokens, coalesce(squares, 0) squares, case when target_share > 0 and not isnan(target_share) and max_repeats >= 1 and tokens > 0 then target_share end u from tt left join z using (source)),
+p as (select min(max_repeats * tokens / u) per from j), r as (select *, coalesce(least(u * per / tokens, max_repeats), 0) rate from j, p),
+f as (select *, floor(rate + 1e-12) whole, greatest(rate - floor(rate + 1e-12), 0) fraction from r)
+select source, target_share, max_repeats, n_docs, tokens source_tokens, round(rate, 9) rate, cast(whole as integer) whole_copies, round(fraction, 9) fraction, round(rate * tokens, 3) expected_tokens, round(sqrt(fraction * (1 - fraction) * squares), 3) tokens_sd,
+  round(greatest(coalesce(u * per, 0) - rate * tokens, 0), 3) short_tokens from f""",
+)
+def p7_plan(spark, sf_dir):
+    """Rates, expected sizes and their standard deviation, with sizes in code points so that SQL can say the same."""
+    plan = mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), "", characters=True).plan()
+    digits = {"rate": 9, "fraction": 9, "expected_tokens": 3, "tokens_sd": 3, "short_tokens": 3}
+    return plan.select(*[F.round(c, digits[c]).alias(c) if c in digits else c for c in plan.columns])
+
+
 # 8: reading levels
 
 

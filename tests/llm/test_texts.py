@@ -60,8 +60,9 @@ def test_mix(spark):
     shares = {r.source: r for r in mix.shares().collect()}
     assert set(shares) == {"a", "b", "small", "nowhere", "c"}
     for s, want in (("a", 0.4 / 0.9), ("b", 0.3 / 0.9), ("small", 0.2 / 0.9)):
-        assert abs(shares[s].actual_share - want) < 0.01 and shares[s].most_copies <= shares[s].max_repeats
-    assert shares["small"].rate == 4.0 and shares["nowhere"].actual_share == shares["c"].actual_share == 0
+        r = shares[s]
+        assert abs(r.expected_share - want) < 1e-9 and abs(r.mixed_tokens - r.expected_tokens) <= 4 * r.tokens_sd + 1e-6 and r.most_copies <= r.max_repeats
+        assert r.rate == pytest.approx(r.whole_copies + r.fraction) and r.short_tokens == 0
     rows = mix.selection().collect()
     assert len(rows) == len({(r.doc_id, r.copy_no) for r in rows}) and all(r.doc_id < 20_000 for r in rows)
     assert sum(r.n_tokens for r in rows) == sum(r.mixed_tokens for r in shares.values())
@@ -69,6 +70,27 @@ def test_mix(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def test_mix_copies(spark):
+    """Documents of every size are repeated at their source's rate, and what a document gets depends on no other."""
+    rnd = random.Random(3)
+    rows = [(i, "word " * rnd.choice([1, 2, 9, 40]), rnd.choice("ab"), f"b{i}", i, "x", 1) for i in range(4000)]
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.7, 5)], "source string, target_share double, max_repeats int")
+    mix = Mix(spark.createDataFrame(rows, DOCS), targets, vocabulary())
+    rate, copies = {r.source: r.rate for r in mix.plan().collect()}, {r.doc_id: r.n_copies for r in mix.chosen().collect()}
+    for source in "ab":
+        f = rate[source] % 1
+        for size in (1, 2, 9, 40):
+            of = [copies.get(r[0], 0) for r in rows if r[2] == source and len(r[1]) == 5 * size]
+            assert abs(sum(of) / len(of) - rate[source]) <= 4 * (f * (1 - f) / len(of)) ** 0.5 + 1e-9
+    wanted = 2 * sum(r.expected_tokens for r in mix.plan().collect())  # more than the caps allow
+    more = Mix(spark.createDataFrame(rows, DOCS), targets, vocabulary(), total=wanted)
+    short = {r.source: r for r in more.plan().collect()}
+    assert any(r.rate == r.max_repeats and r.short_tokens > 0 for r in short.values())
+    assert sum(r.expected_tokens + r.short_tokens for r in short.values()) == pytest.approx(wanted)
+    half = Mix(spark.createDataFrame(rows, DOCS), targets, vocabulary(), total=wanted / 4)
+    assert sum(r.mixed_tokens for r in half.shares().collect()) == pytest.approx(wanted / 4, rel=0.1)
+
+
 def test_mix_empty(spark):
     none = spark.createDataFrame([], "source string, target_share double, max_repeats int")
     assert Mix(docs(spark), none, vocabulary()).selection().count() == 0
