@@ -179,7 +179,7 @@ d as (select doc_id, lower(trim(source)) source, length(text) n, case when bitex
 once as (select arg_min(source, doc_id) source, arg_min(n, doc_id) n from d group by same),
 z as (select source, count(*) n_docs, cast(sum(n) as bigint) tokens, sum(cast(n as double) * n) squares from once group by 1),
 j as (select tt.*, coalesce(n_docs, 0) n_docs, coalesce(tokens, 0) tokens, coalesce(squares, 0) squares, case when target_share > 0 and not isnan(target_share) and max_repeats >= 1 and tokens > 0 then target_share end u from tt left join z using (source)),
-p as (select min(max_repeats * tokens / u) per from j), r as (select *, coalesce(least(u * per / tokens, max_repeats), 0) rate from j, p),
+p as (select min(max_repeats * tokens / u) per from j), r as (select *, case when u is null then 0 else least(u * per / tokens, max_repeats) end rate from j, p),
 f as (select *, floor(rate + 1e-12) whole, greatest(rate - floor(rate + 1e-12), 0) fraction from r)
 select source, target_share, max_repeats, n_docs, tokens source_tokens, round(rate, 9) rate, cast(whole as integer) whole_copies, round(fraction, 9) fraction, round(rate * tokens, 3) expected_tokens, round(sqrt(fraction * (1 - fraction) * squares), 3) tokens_sd,
   round(greatest(coalesce(u * per, 0) - rate * tokens, 0), 3) short_tokens from f""",
