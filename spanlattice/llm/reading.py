@@ -1,17 +1,19 @@
-"""Reading level of texts: a Rasch-style latent difficulty model (partial credit form), fitted by distributed alternation.
+"""Reading level of texts: a Rasch-style latent difficulty model, fitted by distributed alternating optimisation.
 
-A unit is a word, and so that words never rated before say something too, also an ending of a long word, a word length and a sentence
-length. Unit u has a step difficulty d[u, k] for each level k: a document's log odds of level k against k - 1 are the
-prior's, minus the sum of the step difficulties of the units that occur in it (an occurrence counts at most OCCURRENCES times).
+The model. Each unit u has a difficulty b[u]. A unit is a word and, so that words never rated say something too, an ending of a
+long word, a word length and a sentence length. A document's expected difficulty m[d] is the mean of b over its unit
+occurrences (all of them), and its latent difficulty is t[d] = m[d] + e[d], e[d] ~ N(0, RESIDUAL). A rating is the response of a
+rater in a partial credit model: the log odds of level k against k - 1 are t[d] - s[k], with steps s[2], s[3], s[4]. Unit difficulties have a
+normal prior of variance PRIOR. (Rasch's model with item difficulties explained by what items consist of is known as the linear logistic test model.)
 
-The alternation:
+The fit raises the penalised log-likelihood of all ratings, alternately:
 
-* units: given the documents' levels, step difficulties follow from the levels at which a unit occurs. The rated documents count fully;
-  the unrated ones only form the unit's prior, worth PRIOR occurrences, which keeps their guesses from displacing ratings;
-* documents: given the step difficulties, each document has a distribution over the levels. A rating is evidence that may be off by one.
+* documents: given b and s, each rated document's t[d] by Newton steps, within the tasks that hold the documents;
+* units and steps: given t, the gradients are sums over documents, added up by unit; they move by a preconditioned quasi-Newton step.
 
-Units are grouped by partial aggregation. A document step joins documents and units: the HOT_UNITS most frequent units are broadcast (a bound that does
-not grow with the data) and the others are joined by a shuffle that the frequent ones, a large part of all rows, never enter.
+A round is taken only if the likelihood rises, and the last one is that whose gain is below TOLERANCE. Units are numbered by a hash into SLOTS places, so the model is
+a vector of fixed length, whatever the vocabulary: it is broadcast, and at most SLOTS sums come back. Levels are then given in one scan of all
+documents without any shuffle of units. A document's level depends on its text alone: its own rating is not looked at again, and equal texts have equal levels.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,14 +31,15 @@ from pyspark.sql import functions as F
 from spanlattice.session import Scratch
 
 LEVELS = (1, 2, 3, 4)
-OCCURRENCES = 2
-PRIOR = 1.0
-#: Unit occurrences in a document whose evidence counts fully; a longer text's evidence is scaled down to as many, since units of a text depend on each other.
-EVIDENCE = 5.0
-#: Chance that a rating is that of the level one below or above.
-OFF_BY_ONE = 0.03
-HOT_UNITS = 20_000
-ROUNDS = 2
+#: Places of the model's vector of unit difficulties.
+SLOTS = 1 << 18
+#: Variances of unit difficulties and of a document's own deviation.
+PRIOR, RESIDUAL = 1000.0, 0.5
+#: Relative gain of the log-likelihood that ends the fit, and rounds after which it ends in any case.
+TOLERANCE, ROUNDS = 0.004, 40
+#: Steps remembered by the quasi-Newton direction.
+MEMORY = 8
+NEWTON_STEPS = 4
 
 
 def _patterns():
@@ -48,129 +52,210 @@ def _patterns():
 
 def units_of(text: str, words, ends) -> Counter:
     """Units with their occurrences; empty if the text has no word."""
-    out: Counter = Counter()
+    found: Counter = Counter()
+    sentences: Counter = Counter()
     for sentence in ends.split(unicodedata.normalize("NFKC", text).lower()):
-        got = words.findall(sentence)
-        if not got:
-            continue
-        out[f"#sentence {min(12, int(2 * math.log2(len(got))))}"] += 1
-        for w in got:
-            out[w] += 1
-            out[f"#length {min(9, len(w) // 2)}"] += 1
-            if len(w) > 6:
-                out["#ending " + w[-4:]] += 1
+        if got := words.findall(sentence):
+            found.update(got)
+            sentences[f"#sentence {min(12, int(2 * math.log2(len(got))))}"] += 1
+    out = found + sentences
+    for w, n in found.items():
+        out[f"#length {min(9, len(w) // 2)}"] += n
+        if len(w) > 6:
+            out["#ending " + w[-4:]] += n
     return out
 
 
-def document_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, units array<string>, times array<int>, evidence double) of texts with a word; whole texts."""
+def slot_of(unit: str) -> int:
+    import xxhash
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ends = _patterns()
-        for b in batches:
-            ids, units, times = [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if found := units_of(text, words, ends):
-                    ids.append(i)
-                    units.append(list(found))
-                    times.append([min(n, OCCURRENCES) for n in found.values()])
-            cols = [pa.array(ids, pa.int64()), pa.array(units, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32())), pa.array([float(sum(x)) for x in times], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "units", "times", "evidence"])
+    return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass")) % SLOTS
 
-    usable = docs.filter("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return usable.mapInArrow(run, "doc_id bigint, units array<string>, times array<int>, evidence double").dropDuplicates(["doc_id"])
 
+def _slots(texts: list[str], words, ends, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places of texts with a word; slots of their units, each unit's share of its text's occurrences, and how many units each text has)."""
+    at, slots, shares, counts = [], [], [], []
+    for i, text in enumerate(texts):
+        if found := units_of(text, words, ends):
+            total = sum(found.values())
+            for unit, n in found.items():
+                k = known.get(unit)
+                if k is None:
+                    if len(known) > 1_000_000:  # of a task
+                        known.clear()
+                    k = known[unit] = slot_of(unit)
+                slots.append(k)
+                shares.append(n / total)
+            at.append(i)
+            counts.append(len(found))
+    return np.array(at, np.int64), np.array(slots, np.int64), np.array(shares), np.array(counts, np.int64)
 
-def _cols(prefix: str) -> list[str]:
-    return [f"{prefix}{k}" for k in LEVELS]
+
+def level_chances(t: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The partial credit model: for each latent difficulty the chances of the levels."""
+    k = np.arange(len(LEVELS))
+    x = t[:, None] * k - np.concatenate([[0.0], np.cumsum(steps)])
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    return x / x.sum(axis=1, keepdims=True)
+
+
+def respond(m: np.ndarray, n: np.ndarray, steps: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log-likelihood, its gradient by ``m``, its gradient by ``steps``) of documents with ``n`` ratings of each level, at their best latent difficulties."""
+    k = np.arange(len(LEVELS))
+    rated, total = n @ k, n.sum(axis=1)
+    t = m.copy()
+    for _ in range(NEWTON_STEPS):
+        p = level_chances(t, steps)
+        mean = p @ k
+        t = t + (rated - total * mean - (t - m) / RESIDUAL) / (total * (p @ k**2 - mean**2) + 1 / RESIDUAL)
+    p = level_chances(t, steps)
+    value = float((n * np.log(np.maximum(p, 1e-300))).sum() - ((t - m) ** 2).sum() / (2 * RESIDUAL))
+    by_steps = np.array([float((total * p[:, c:].sum(axis=1) - n[:, c:].sum(axis=1)).sum()) for c in k[1:]])
+    return value, (t - m) / RESIDUAL, by_steps
+
+
+class Direction:
+    """Quasi-Newton ascent directions from the last MEMORY steps, over a diagonal of curvatures."""
+
+    def __init__(self, curvature: np.ndarray):
+        self.curvature, self.past = curvature, []
+
+    def learn(self, step: np.ndarray, fall: np.ndarray) -> None:
+        """``fall`` is by how much the gradient fell along ``step``."""
+        if (along := float(step @ fall)) > 1e-10:
+            self.past = [*self.past, (step, fall, along)][-MEMORY:]
+
+    def of(self, gradient: np.ndarray) -> np.ndarray:
+        rest, used = gradient.copy(), []
+        for step, fall, along in reversed(self.past):
+            used.append(float(step @ rest) / along)
+            rest -= used[-1] * fall
+        out = rest / self.curvature
+        if self.past:
+            step, fall, along = self.past[-1]
+            out *= along / float(fall @ (fall / self.curvature))
+        for (step, fall, along), a in zip(self.past, reversed(used)):
+            out += step * (a - float(fall @ out) / along)
+        return out
 
 
 class Levels:
     """The fitted model.
 
-    ``levels``: (doc_id, level, difficulty, p_demanding), one row per document with a word: the most probable level, the expected level and the
-    probability of level 3 or 4. ``words``: (unit, difficulty, n): the mean step difficulty with its sign turned, so that demanding words are high, and the number of documents.
+    ``levels``: (doc_id, level, difficulty, p_demanding), one row per document with a word: the most probable level, the expected difficulty m[d] and the
+    probability of level 3 or 4. ``log``: (round, penalised log-likelihood), rising. ``words()``: (unit, difficulty, n): b of each unit, and the number of its documents.
     Null ratings and ratings outside 1 to 4 are left out, equal ratings of a document count once, different ones all count. Null,
     empty and wordless texts have no level. Without any usable rating there is no scale, and no row. Rows without a doc_id are left
-    out; of rows with equal doc_id one with a word counts; further columns are not read.
+    out; of rows with equal doc_id one with a word counts; further columns are not read. The caller may ``clear`` the ``scratch`` tables.
     """
 
     def __init__(self, docs: DataFrame, ratings: DataFrame, rounds: int = ROUNDS):
-        spark = docs.sparkSession
+        self.spark = spark = docs.sparkSession
         self.scratch = scratch = Scratch(spark, "levels")
+        self.texts = docs.filter("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         given = ratings.filter("doc_id is not null").filter(F.col("reading_level").isin(*LEVELS)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "reading_level").distinct()
+        given = given.groupBy("doc_id").agg(*[F.sum((F.col("reading_level") == k).cast("double")).alias(f"n{k}") for k in LEVELS])
+
+        def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, ends = _patterns()
+            known: dict[str, int] = {}
+            for b in batches:
+                at, slots, shares, counts = _slots(b.column(1).to_pylist(), words, ends, known)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (slots, shares)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *lists, *[b.column(j).take(pa.array(at)) for j in range(2, 6)]], names)
+
+        names = ["doc_id", "slots", "shares", *[f"n{k}" for k in LEVELS]]
+        made = self.texts.join(given, "doc_id").select("doc_id", "text", *names[3:]).mapInArrow(take, "doc_id bigint, slots array<bigint>, shares array<double>, " + ", ".join(f"{x} double" for x in names[3:]))
+        self.rated = scratch.keep(made.dropDuplicates(["doc_id"]).drop("doc_id"))
+        self.n_rated = self.rated.count()
+        self.log: list[tuple[int, float]] = []
+        self.empty = not self.n_rated
+        if not self.empty:
+            self._fit(rounds)
+            self.levels = self._score()
+
+    def _sums(self, at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(penalised log-likelihood, gradient, curvatures) at unit difficulties and steps; sums over documents made by the tasks."""
+        shared = self.spark.sparkContext.broadcast(at)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            b, steps = shared.value[:SLOTS], shared.value[SLOTS:]
+            slope, curve = np.zeros(len(shared.value) + 1), np.zeros(len(shared.value) + 1)
+            for batch in batches:
+                slots, shares = (batch.column(j).flatten().to_numpy() for j in (0, 1))
+                which = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(0).offsets.to_numpy()))
+                n = np.stack([batch.column(j).to_numpy() for j in range(2, 6)], axis=1)
+                m = np.bincount(which, shares * b[slots], batch.num_rows)
+                value, by_m, by_steps = respond(m, n, steps)
+                slope[:SLOTS] += np.bincount(slots, shares * by_m[which], SLOTS)
+                curve[:SLOTS] += np.bincount(slots, shares * n.sum(axis=1)[which] / 2, SLOTS)
+                slope[SLOTS:-1] += by_steps
+                curve[SLOTS:-1] += n.sum() / 5
+                slope[-1] += value
+            k = np.flatnonzero((slope != 0) | (curve != 0))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(slope[k]), pa.array(curve[k])], ["at", "slope", "curve"])
+
+        got = self.rated.mapInArrow(add, "at bigint, slope double, curve double").groupBy("at").agg(F.sum("slope").alias("slope"), F.sum("curve").alias("curve")).toArrow()  # at most SLOTS + 4 rows
+        shared.destroy()
+        slope, curve = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
+        k = got.column("at").to_numpy()
+        slope[k], curve[k] = got.column("slope").to_numpy(), got.column("curve").to_numpy()
+        b = at[:SLOTS]
+        slope[:SLOTS] -= b / PRIOR
+        curve[:SLOTS] += 1 / PRIOR
+        return float(slope[-1] - b @ b / (2 * PRIOR)), slope[:-1], curve[:-1]
+
+    def _fit(self, rounds: int) -> None:
+        at = np.concatenate([np.zeros(SLOTS), np.arange(len(LEVELS) - 1) - 1.0])
+        value, slope, curve = self._sums(at)
+        self.log.append((0, value))
+        toward = Direction(curve)
+        for k in range(1, rounds + 1):
+            step = toward.of(slope)
+            while True:  # halved until the likelihood rises
+                new, its_slope, _ = self._sums(at + step)
+                if new >= value or float(np.abs(step).max()) < 1e-9:
+                    break
+                step = step / 2
+            if new < value:
+                break
+            gain = (new - value) / max(abs(value), 1e-9)
+            toward.learn(step, slope - its_slope)
+            at, value, slope = at + step, new, its_slope
+            self.log.append((k, value))
+            if gain < TOLERANCE:
+                break
+        self.difficulty, self.steps = at[:SLOTS], at[SLOTS:]
+
+    def _score(self) -> DataFrame:
+        shared = self.spark.sparkContext.broadcast((self.difficulty.astype(np.float32), self.steps))  # SLOTS numbers
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, ends = _patterns()
+            known: dict[str, int] = {}
+            b, steps = shared.value
+            for batch in batches:
+                at, slots, shares, counts = _slots(batch.column(1).to_pylist(), words, ends, known)
+                m = np.bincount(np.repeat(np.arange(len(at)), counts), shares * b[slots], len(at))
+                p = level_chances(m, steps)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array((p.argmax(axis=1) + 1).astype(np.int32)), pa.array(m), pa.array(p[:, 2] + p[:, 3])], ["doc_id", "level", "difficulty", "p_demanding"])
+
+        return self.texts.mapInArrow(score, "doc_id bigint, level int, difficulty double, p_demanding double").dropDuplicates(["doc_id"])
+
+    def words(self) -> DataFrame:
+        shared = self.spark.sparkContext.broadcast(self.difficulty)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, ends = _patterns()
+            for batch in batches:
+                seen = Counter(u for text in batch.column(1).to_pylist() for u in units_of(text, words, ends))
+                units = list(seen)
+                b = shared.value[[slot_of(u) for u in units]] if units else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(b, pa.float64()), pa.array(list(seen.values()), pa.int64())], ["unit", "difficulty", "n"])
 
-        def evidence(k: int):
-            miss = F.when(F.abs(F.col("reading_level") - k) == 1, math.log(OFF_BY_ONE)).otherwise(math.log(1e-6))
-            return F.sum(F.when(F.col("reading_level") == k, math.log(1 - 2 * OFF_BY_ONE)).otherwise(miss)).alias(f"o{k}")
-
-        rated = given.groupBy("doc_id").agg(*[evidence(k) for k in LEVELS])
-        made = scratch.keep(document_units(docs))
-        self.docs = scratch.keep(made.join(rated, "doc_id", "left"))
-        scratch.drop(made)
-        n = self.docs.filter("o1 is not null").count()
-        self.empty = not n
-        if self.empty:
-            return
-        frequent = self.docs.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-        self.frequency = scratch.keep(frequent)
-        self.hot = scratch.keep(self.frequency.orderBy(F.desc("n"), "unit").limit(HOT_UNITS).select("unit"))
-        first = self.docs.filter("o1 is not null")
-        top = F.greatest(*_cols("o"))
-        start = first.select("doc_id", *[F.exp(F.col(f"o{k}") - top).alias(f"e{k}") for k in LEVELS])
-        mass = sum((F.col(f"e{k}") for k in LEVELS[1:]), F.col("e1"))
-        post = start.select("doc_id", *[(F.col(f"e{k}") / mass).alias(f"p{k}") for k in LEVELS])
-        sums = post.agg(*[F.sum(f"p{k}") for k in LEVELS]).first()
-        self.prior = [(s + 1) / (n + len(LEVELS)) for s in sums]
-        self._units(first.join(post, "doc_id"))
-        for _ in range(rounds):
-            guessed = scratch.keep(self._documents())
-            self._units(self.docs.join(guessed, "doc_id"))
-            scratch.drop(guessed)
-        post = scratch.keep(self._documents())
-        best = F.greatest(*_cols("p"))
-        level = F.coalesce(*[F.when(F.col(f"p{k}") == best, k) for k in LEVELS])
-        mean = sum((F.col(f"p{k}") * k for k in LEVELS[1:]), F.col("p1"))
-        self.levels = post.select("doc_id", level.alias("level"), mean.alias("difficulty"), (F.col("p3") + F.col("p4")).alias("p_demanding"))
-        self.words = self.model.join(self.frequency, "unit").select("unit", (-(F.col("d2") + F.col("d3") + F.col("d4")) / 3).alias("difficulty"), "n")
-
-    def _units(self, docs: DataFrame) -> None:
-        """Step difficulties from documents with levels p1..p4; keeps the model as (unit, d2, d3, d4)."""
-        each = docs.select("o1", *_cols("p"), F.explode(F.arrays_zip("units", "times")).alias("x"))
-        share = lambda k, mine: F.sum(F.when(F.col("o1").isNotNull() == mine, F.col("x.times") * F.col(f"p{k}")).otherwise(0.0))
-        counts = self.scratch.keep(each.groupBy(F.col("x.units").alias("unit")).agg(*[share(k, True).alias(f"c{k}") for k in LEVELS], *[share(k, False).alias(f"u{k}") for k in LEVELS]))
-        t = counts.agg(*[F.sum(c) for c in _cols("c") + _cols("u")]).first()
-        q = [x + 1 for x in t[:4]]
-        q = [x / sum(q) for x in q]
-        qu = [x + 1 for x in t[4:]]
-        qu = [x / sum(qu) for x in qu]
-        total = lambda p: sum((F.col(c) for c in _cols(p)[1:]), F.col(f"{p}1"))
-        tilted = counts
-        for i, k in enumerate(LEVELS):  # the unrated documents' level shares, brought to the rated ones' base rates
-            tilted = tilted.withColumn(f"b{k}", (F.col(f"u{k}") + 5 * qu[i]) / (total("u") + 5) * (q[i] / qu[i]))
-        fitted = tilted.select("unit", *[(F.log((F.col(f"c{k}") + PRIOR * F.col(f"b{k}") / total("b")) / (total("c") + PRIOR)) - math.log(q[i])).alias(f"l{k}") for i, k in enumerate(LEVELS)])
-        self.model = self.scratch.keep(fitted.select("unit", *[(F.col(f"l{k - 1}") - F.col(f"l{k}")).alias(f"d{k}") for k in LEVELS[1:]]))
-
-    def _documents(self) -> DataFrame:
-        """(doc_id, p1..p4): the levels' distribution given the model, and the ratings where there are any."""
-        steps = [f"d{k}" for k in LEVELS[1:]]
-        each = self.docs.select("doc_id", F.explode(F.arrays_zip("units", "times")).alias("x")).select("doc_id", F.col("x.units").alias("unit"), F.col("x.times").alias("times"))
-        hot = self.model.join(F.broadcast(self.hot), "unit", "left_semi")  # at most HOT_UNITS rows
-        add = [F.sum(F.col(d) * F.col("times")).alias(d) for d in steps]
-        common = each.join(F.broadcast(hot), "unit").groupBy("doc_id").agg(*add)
-        if self.frequency.count() > HOT_UNITS:
-            rare = each.join(F.broadcast(self.hot), "unit", "left_anti").join(self.model, "unit").groupBy("doc_id").agg(*add)
-            common = common.unionAll(rare).groupBy("doc_id").agg(*[F.sum(d).alias(d) for d in steps])
-        scored = self.docs.select("doc_id", "evidence", *_cols("o")).join(common, "doc_id", "left")
-        scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.col("evidence"))
-        total = F.lit(0.0)
-        for i, k in enumerate(LEVELS):
-            if k > 1:
-                total = total - F.coalesce(F.col(f"d{k}"), F.lit(0.0)) * scale
-            scored = scored.withColumn(f"s{k}", total + math.log(self.prior[i]) + F.coalesce(F.col(f"o{k}"), F.lit(0.0)))
-        top = F.greatest(*_cols("s"))
-        mass = sum((F.exp(F.col(f"s{k}") - top) for k in LEVELS[1:]), F.exp(F.col("s1") - top))
-        return scored.select("doc_id", *[(F.exp(F.col(f"s{k}") - top) / mass).alias(f"p{k}") for k in LEVELS])
+        counted = self.texts.dropDuplicates(["doc_id"]).mapInArrow(count, "unit string, difficulty double, n bigint")
+        return counted.groupBy("unit").agg(F.first("difficulty").alias("difficulty"), F.sum("n").alias("n"))
 
 
 def reading_levels(docs: DataFrame, ratings: DataFrame, rounds: int = ROUNDS) -> DataFrame:

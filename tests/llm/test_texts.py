@@ -1,10 +1,11 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from spanlattice.llm.mixing import Mix
-from spanlattice.llm.reading import Levels, reading_levels, units_of, _patterns
+from spanlattice.llm.reading import Levels, _patterns, level_chances, reading_levels, respond, units_of
 from spanlattice.llm.tokens import byte_characters, count_tokens, decode, encode, encode_with_offsets, load, vocabulary
 
 pytestmark = pytest.mark.skipif(not os.path.exists(vocabulary()), reason="no tokenizer files")
@@ -117,26 +118,31 @@ def test_levels(spark):
     ratings += [(9, made[9][2], "x")]
     d, r = spark.createDataFrame(rows, DOCS), spark.createDataFrame(ratings, "doc_id bigint, reading_level int, level string")
     fit = Levels(d, r)
+    values = [v for _, v in fit.log]
+    assert len(values) > 3 and all(a < b for a, b in zip(values, values[1:]))
     got = {x.doc_id: x for x in fit.levels.collect()}
     assert set(got) == set(range(800))
     held = [(i, level) for i, _, level in made if i % 3]
     assert sum((got[i].p_demanding > 0.5) == (level >= 3) for i, level in held) / len(held) > 0.95
     assert sum(got[i].level == level for i, level in held) / len(held) > 0.85
-    difficulty = {x.unit: x.difficulty for x in fit.words.collect()}
+    difficulty = {x.unit: x.difficulty for x in fit.words().collect()}
     assert difficulty["cat"] < difficulty["river"] < difficulty["epistemology"]
 
 
-def test_levels_cold_units(spark, monkeypatch):
-    """The shuffled path for rare units gives what the broadcast one does."""
-    from spanlattice.llm import reading
-
-    made = leveled(120, 5)
-    d = spark.createDataFrame([(i, t, "s", None, None, "x", 1) for i, t, _ in made], DOCS)
-    r = spark.createDataFrame([(i, level) for i, _, level in made if i % 2], "doc_id bigint, reading_level int")
-    want = {x.doc_id: x.p_demanding for x in reading_levels(d, r, 1).collect()}
-    monkeypatch.setattr(reading, "HOT_UNITS", 3)
-    got = {x.doc_id: x.p_demanding for x in reading_levels(d, r, 1).collect()}
-    assert want.keys() == got.keys() and all(abs(want[i] - got[i]) < 1e-9 for i in want)
+def test_level_gradients():
+    """The gradients of the likelihood at the documents' best difficulties are those of finite differences."""
+    rng = np.random.default_rng(1)
+    m, n, steps = rng.normal(0, 2, 30), rng.multinomial(2, [0.25] * 4, 30).astype(float), np.array([-1.0, 0.2, 1.5])
+    value, by_m, by_steps = respond(m, n, steps)
+    for i in (0, 7, 29):
+        d = np.zeros(30)
+        d[i] = 1e-4
+        assert abs((respond(m + d, n, steps)[0] - respond(m - d, n, steps)[0]) / 2e-4 - by_m[i]) < 1e-3
+    for c in range(3):
+        d = np.zeros(3)
+        d[c] = 1e-4
+        assert abs((respond(m, n, steps + d)[0] - respond(m, n, steps - d)[0]) / 2e-4 - by_steps[c]) < 1e-3
+    assert np.allclose(level_chances(m, steps).sum(axis=1), 1)
 
 
 def test_levels_empty(spark):
