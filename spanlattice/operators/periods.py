@@ -2,8 +2,9 @@
 
 Each entity has an ordered map of disjoint intervals as keyed state. Rows are shuffled by key and sorted, so a task
 holds the state of one key at a time; the same map serves the streaming operator in ``spanlattice.streaming``.
-An entity with very many intervals is cut at quantiles of its starts into blocks, each with a state of its own;
-the blocks' last ends are then carried forward over the (few) blocks with a window. No task holds such an entity.
+Entities with very many intervals are sorted together by entity and start over as many range partitions as their intervals fill, so
+such an entity is cut into blocks of starts, each with a state of its own; the blocks' last ends are then carried
+forward over the (few) blocks with a window. No task holds such an entity.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 
 from spanlattice.session import Scratch
 
-#: Intervals of an entity beyond which it is cut into blocks; raised with the input so that at most MAX_HOT entities are.
+#: Intervals of an entity beyond which it is cut into blocks, and intervals of a block.
 HOT_INTERVALS = 50_000
-MAX_HOT = 1_000
+BLOCK_INTERVALS = 200_000
 
 
 class IntervalMap:
@@ -96,12 +97,12 @@ def _states(batches: Iterator[pa.RecordBatch], gaps: bool) -> Iterator[pa.Record
         yield batch()
 
 
-def _run_states(rows: DataFrame, gaps: bool) -> DataFrame:
-    ordered = rows.repartition("entity", "block").sortWithinPartitions("entity", "block", "s")
+def _run_states(ordered: DataFrame, gaps: bool) -> DataFrame:
+    """``ordered`` has all rows of an entity's block in one partition, sorted by entity, block and s."""
     return ordered.mapInArrow(lambda it: _states(it, gaps), "entity bigint, block int, kind string, s bigint, e bigint")
 
 
-def periods_and_gaps(df: DataFrame, entity: str, starts: str = "starts", runs: str = "runs", hot_intervals: int = HOT_INTERVALS) -> DataFrame:
+def periods_and_gaps(df: DataFrame, entity: str, starts: str = "starts", runs: str = "runs", hot_intervals: int = HOT_INTERVALS, block_intervals: int = BLOCK_INTERVALS) -> DataFrame:
     """Rows (entity, span_kind, first_idx, end_idx), half-open, of all rows of an entity together.
 
     ``starts`` and ``runs`` are parallel bigint arrays. A ``period`` is a longest stretch covered without
@@ -111,20 +112,17 @@ def periods_and_gaps(df: DataFrame, entity: str, starts: str = "starts", runs: s
     """
     rows = df.filter(F.col(entity).isNotNull()).select(F.col(entity).cast("bigint").alias("entity"), clean_intervals(starts, runs).alias("iv")).filter(F.size("iv") > 0)
     sizes = rows.groupBy("entity").agg(F.sum(F.size("iv")).alias("n")).filter(F.col("n") > hot_intervals)
-    total = sizes.agg(F.sum("n")).first()[0] or 0  # over entities beyond the least limit only; one number
-    split = lambda part: part.select("entity", F.lit(0).alias("block"), F.col("iv.s").alias("s"), F.col("iv.e").alias("e"))
+    total = sizes.agg(F.sum("n")).first()[0]  # over hot entities
+    whole = lambda part: _run_states(part.select("entity", F.lit(0).alias("block"), F.col("iv.s").alias("s"), F.col("iv.e").alias("e")).repartition("entity").sortWithinPartitions("entity", "block", "s"), True)
     if not total:
-        return _spans(_run_states(split(rows), True), entity)
-    limit = max(hot_intervals, total // MAX_HOT)
-    # at most `total / limit` <= MAX_HOT entities are hot, with at most 2 * MAX_HOT cut points together
-    hot = sizes.filter(F.col("n") > limit).select(F.col("entity").alias("hot"), "n")
-    pieces = rows.join(F.broadcast(hot), F.col("entity") == F.col("hot"), "left_semi").select("entity", F.explode("iv").alias("i")).select("entity", F.col("i.s").alias("s"), F.col("i.e").alias("e")).groupBy("entity", "s").agg(F.max("e").alias("e"))
-    cuts = pieces.groupBy("entity").agg(F.count(F.lit(1)).alias("m"), F.percentile_approx("s", [k / 1000 for k in range(1, 1000)], 10_000).alias("q"))
-    n_cuts = f"greatest(1, least(999, cast(m / {limit} as int)))"  # m may be below the limit, as equal starts are one here
-    cuts = cuts.select(F.col("entity").alias("ce"), F.expr(f"array_distinct(transform(sequence(1, {n_cuts}), k -> element_at(q, cast(k * 1000 / (1 + {n_cuts}) as int))))").alias("cut"))
-    placed = pieces.join(F.broadcast(cuts), F.col("entity") == F.col("ce")).select("entity", F.expr("size(filter(cut, c -> c <= s))").alias("block"), F.array("s").alias("s"), F.array("e").alias("e"))
-    cold = rows.join(F.broadcast(hot), F.col("entity") == F.col("hot"), "left_anti")
-    return _spans(_run_states(split(cold), True), entity).unionByName(_spans(_stitch(Scratch(df.sparkSession, "periods").keep(_run_states(placed, False))), entity))
+        return _spans(whole(rows), entity)
+    scratch = Scratch(df.sparkSession, "periods")
+    hot = scratch.keep(sizes.select("entity"))
+    each = rows.join(hot, "entity", "left_semi").select("entity", F.explode("iv").alias("i"))
+    pieces = scratch.keep(each.select("entity", F.col("i.s").alias("s"), F.col("i.e").alias("e")).groupBy("entity", "s").agg(F.max("e").alias("e")))
+    spread = pieces.repartitionByRange(-(-total // block_intervals), "entity", "s").withColumn("block", F.spark_partition_id())
+    blocks = _run_states(spread.select("entity", "block", F.array("s").alias("s"), F.array("e").alias("e")).sortWithinPartitions("entity", "block", "s"), False)
+    return _spans(whole(rows.join(hot, "entity", "left_anti")), entity).unionByName(_spans(_stitch(scratch.keep(blocks)), entity))
 
 
 def _spans(rows: DataFrame, entity: str) -> DataFrame:

@@ -26,6 +26,12 @@ def p4_found(spark, sf_dir):
     return periods_and_gaps(table(spark, sf_dir, "tracked_object"), "object_id")
 
 
+@registry.query("p4_blocks", _PERIODS + "select * from spans")
+def p4_blocks(spark, sf_dir):
+    """As p4_found, with objects of more than 40 intervals cut into blocks of about 1,000, so that the path for very large ones runs."""
+    return periods_and_gaps(table(spark, sf_dir, "tracked_object"), "object_id", hot_intervals=40, block_intervals=1000)
+
+
 @registry.query(
     "p4_coverage",
     _PERIODS + """select object_id, cast(count(*) filter (span_kind = 'period') as bigint) n_periods,

@@ -48,12 +48,12 @@ def test_periods(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     want = brute(rows())
     for hot in (10_000, 20, 3):  # not cut, some entities cut, all cut
-        got = periods_and_gaps(df, "object_id", hot_intervals=hot).collect()
+        got = periods_and_gaps(df, "object_id", hot_intervals=hot, block_intervals=25).collect()
         assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
 
 
 def test_long_interval_over_blocks(spark):
-    got = periods_and_gaps(spark.createDataFrame([(1, [0] + list(range(10, 5000, 10)) + [9000], [7000] + [3] * 499 + [1], None)], SCHEMA), "object_id", hot_intervals=10)
+    got = periods_and_gaps(spark.createDataFrame([(1, [0] + list(range(10, 5000, 10)) + [9000], [7000] + [3] * 499 + [1], None)], SCHEMA), "object_id", hot_intervals=10, block_intervals=40)
     assert sorted(tuple(r) for r in got.collect()) == [(1, "gap", 7000, 9000), (1, "period", 0, 7000), (1, "period", 9000, 9001)]
 
 
