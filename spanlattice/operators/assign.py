@@ -1,12 +1,15 @@
 """Maximum-weight one-to-one assignment of sparse pairs.
 
 Pairs without weight never matter for the sum, so the problem splits by connected component of the pair graph: components
-of one pair need no search; the others are solved each in one group, as big as the objects that overlap in a chain.
+of one pair need no search; the others are solved each in one group, as big as the objects that overlap in a chain. The
+search keeps the pairs only, never a matrix.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Hashable, Mapping
+from heapq import heappop, heappush
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,38 +18,66 @@ from spanlattice.operators.graph import components
 from spanlattice.session import Scratch
 
 
-def best_assignment(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Row and column pairs of the assignment with the greatest sum, by shortest augmenting paths; zero cells are left out."""
-    flip = weight.shape[0] > weight.shape[1]
-    cost = -(weight.T if flip else weight).astype(float)
-    n, m = cost.shape
-    row_of = np.full(m + 1, -1)  # column m is where a path starts
-    price_row, price_col = np.zeros(n), np.zeros(m + 1)
-    for start in range(n):
-        row_of[m] = start
-        slack, came = np.full(m, np.inf), np.full(m, m)
-        done = np.zeros(m + 1, bool)
-        j = m
-        while row_of[j] >= 0:
-            done[j] = True
-            i = row_of[j]
-            free = ~done[:m]
-            reduced = cost[i] - price_row[i] - price_col[:m]
-            better = free & (reduced < slack)
-            slack[better], came[better] = reduced[better], j
-            k = int(np.flatnonzero(free)[slack[free].argmin()])
-            step = slack[k]
-            seen = np.flatnonzero(done)
-            price_row[row_of[seen]] += step
-            price_col[seen] -= step
-            slack[free] -= step
-            j = k
-        while j != m:
-            row_of[j] = row_of[came[j]]
-            j = int(came[j])
-    pairs = [(int(row_of[j]), j) for j in range(m) if row_of[j] >= 0]
-    pairs = [(b, a) for a, b in pairs] if flip else pairs
-    return sorted((a, b) for a, b in pairs if weight[a, b] > 0)
+def best_pairs(weight: Mapping[tuple[Hashable, Hashable], float]) -> set[tuple]:
+    """The pairs (left, right) of the assignment with the greatest sum; pairs whose weight is not above 0 are left out.
+
+    Left labels enter one after the other, each along the alternating path that gains most (Dijkstra over reduced costs
+    on the given pairs); a path may also end by leaving a left label without a partner, at no gain.
+    """
+    near: dict = {}
+    for (x, y), w in weight.items():
+        if w > 0:
+            near.setdefault(x, []).append((y, float(w)))
+    gain = {x: max(w for _, w in ys) for x, ys in near.items()}  # price of a left label, never below what a pair of it is worth
+    price: dict = {}  # of a right label, at least 0, and 0 as long as it is free
+    partner: dict = {}  # of a right label
+    taken: dict = {}  # of a left label
+    for start in sorted(near):
+        cost, came, done = {start: 0.0}, {}, set()
+        heap: list = [(0.0, 0, start)]
+        ends: tuple | None = None  # (cost, kind, label): a free right label, or a left label that goes without
+        settled: list = []
+        seen = 0
+        while heap:
+            d, _, x = heappop(heap)
+            if ends is not None and d >= ends[0]:
+                break
+            if x in done:
+                continue
+            done.add(x)
+            settled.append((x, d))
+            if ends is None or d + gain[x] < ends[0]:
+                ends = (d + gain[x], "left", x)
+            for y, w in near[x]:
+                if taken.get(x) == y:
+                    continue
+                c = d + gain[x] + price.get(y, 0.0) - w  # not below 0 but for rounding
+                if y not in partner:
+                    if c < ends[0]:
+                        ends = (c, "right", y)
+                        came[("free", y)] = x
+                elif c < cost.get(partner[y], float("inf")) and partner[y] not in done:
+                    cost[partner[y]] = c
+                    came[partner[y]] = (x, y)
+                    seen += 1
+                    heappush(heap, (c, seen, partner[y]))
+        total, kind, at = ends
+        for x, d in settled:  # prices stay feasible, and tight along the paths found
+            if d < total:
+                gain[x] -= total - d
+                if x in taken:
+                    price[taken[x]] = price.get(taken[x], 0.0) + total - d
+        x, y = (came[("free", at)], at) if kind == "right" else (at, None)
+        while True:
+            before = taken.get(x)
+            if y is None:
+                taken.pop(x, None)
+            else:
+                taken[x], partner[y] = y, x
+            if x == start:
+                break
+            x, y = came[x][0], before
+    return {(x, y) for x, y in taken.items()}
 
 
 def assign(pairs: DataFrame, keys: list[str], left: str, right: str, weight: str, scratch: Scratch, threshold: float | None = None) -> DataFrame:
@@ -64,13 +95,9 @@ def assign(pairs: DataFrame, keys: list[str], left: str, right: str, weight: str
     alone = p.groupBy("component").count().filter("count = 1").select("component")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols_ = sorted(set(pdf[left])), sorted(set(pdf[right]))
-        at = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols_)}
-        w = np.zeros((len(rows), len(cols_)))
-        where = pdf[left].map(at[0]).to_numpy(), pdf[right].map(at[1]).to_numpy()
-        w[where] = pdf[weight]
-        chosen = set(best_assignment(w))
-        return pdf.loc[[c in chosen for c in zip(*where)], cols]
+        pairs = list(zip(pdf[left], pdf[right]))
+        chosen = best_pairs(dict(zip(pairs, pdf[weight])))
+        return pdf.loc[[x in chosen for x in pairs], cols]
 
     single = p.join(alone, "component", "left_semi").select(*cols)
     many = p.join(alone, "component", "left_anti").groupBy("component").applyInPandas(solve, p.select(*cols).schema)

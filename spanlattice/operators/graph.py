@@ -1,6 +1,7 @@
-"""Connected components by alternating stars, and the overlap graphs of objects. Small graphs take a union-find in one task.
+"""Connected components by contraction and alternating stars, and the overlap graphs of objects.
 
-In a large star every vertex sends its greater neighbours to its least one; in a small star it sends itself and its smaller
+Each task first contracts its own edges to stars by a union-find of bounded size, so a graph that lies in one task is
+done by then. What several tasks hold goes on in rounds. In a large star every vertex sends its greater neighbours to its least one; in a small star it sends itself and its smaller
 neighbours there. Alternated until nothing changes, what is left are stars around each component's least vertex.
 Minima use partial aggregation; joins on a hub are spread (spanlattice.operators.skew). Each round is a table written once.
 """
@@ -10,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlattice.operators import skew
 from spanlattice.operators.boxes import D2, Dims, cross_source_pairs
 from spanlattice.operators.runs import areas, overlaps
 from spanlattice.operators.skew import lookup
@@ -24,8 +25,13 @@ def _tidy(edges: DataFrame) -> DataFrame:
     return edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over all edges of the task; the smaller root stays."""
+#: Vertices of a task's union-find; beyond, it gives what it has and begins anew.
+UNITED = 2_000_000
+
+
+def _united(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Stars (v, component, part) of the task's edges, at most about ``most`` vertices in a part; the smaller root stays."""
+    part = TaskContext.get().partitionId() << 32
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -34,30 +40,43 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = up[y]
         return x
 
+    def stars() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([find(x) for x in up], pa.int64()), pa.array([part] * len(up), pa.int64())], ["v", "component", "part"])
+
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             a, c = find(u), find(v)
             up[max(a, c)] = min(a, c)
-    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([find(x) for x in up], pa.int64())], ["v", "component"])
+            if len(up) >= most:
+                yield stars()
+                up.clear()
+                part += 1
+    if up:
+        yield stars()
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, plain_rows: int | None = None, united: int = UNITED) -> DataFrame:
     """(v, component) for each vertex with an edge to another one; component is the least vertex it is linked to.
 
-    ``edges`` has bigint columns u, v; nulls, loops, repeated and reversed edges change nothing. Empty edges give no row.
+    ``edges`` has bigint columns u, v; nulls, loops, repeated and reversed edges change nothing. Empty edges give no row. ``plain_rows`` see skew.lookup,
+    ``united`` see UNITED.
     """
-    e = scratch.keep(_tidy(edges.filter("u is not null and v is not null")))
-    if e.count() <= skew.PLAIN_ROWS:  # few enough for one task
-        return scratch.keep(e.coalesce(1).mapInArrow(_united, "v bigint, component bigint"))
+    first = scratch.keep(_tidy(edges.filter("u is not null and v is not null")))
+    stars = scratch.keep(first.mapInArrow(lambda it: _united(it, united), "v bigint, component bigint, part bigint"))
+    scratch.drop(first)
+    if stars.select("part").distinct().limit(2).count() < 2:
+        return stars.select("v", "component")
+    e = scratch.keep(_tidy(stars.select(F.col("v").alias("u"), F.col("component").alias("v"))))
+    scratch.drop(stars)
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now = mark(e)
     while now[0]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = lookup(both, "u", least, "k", "m", 2 * now[0], F.xxhash64("u", "v")).filter("v > u")
+        large = lookup(both, "u", least, "k", "m", 2 * now[0], F.xxhash64("u", "v"), plain_rows=plain_rows).filter("v > u")
         e2 = scratch.keep(_tidy(large.select(F.col("v").alias("u"), F.col("m").alias("v"))))
         least = e2.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = lookup(e2, "u", least, "k", "m", now[0], F.xxhash64("u", "v"))
+        small = lookup(e2, "u", least, "k", "m", now[0], F.xxhash64("u", "v"), plain_rows=plain_rows)
         e3 = scratch.keep(_tidy(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))))
         was, now = now, mark(e3)
         scratch.drop(e)

@@ -16,14 +16,15 @@ def hot_keys(left: DataFrame, key: str, n_left: int) -> DataFrame:
     return left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(2 * n_left // HOT_KEYS, 1000)).select(key)
 
 
-def lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, value: str, n_left: int, spread: Column, hot: DataFrame | None = None) -> DataFrame:
+def lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, value: str, n_left: int, spread: Column, hot: DataFrame | None = None, plain_rows: int | None = None) -> DataFrame:
     """Left outer join on a unique right key that adds ``value``; balanced even if one key holds most left rows.
 
     The right rows of hot keys are broadcast (their number is bounded by HOT_KEYS / 2). Left rows served that way go
     through the shuffled join under a key made from ``spread``, so no partition collects them. ``hot`` may be given if
-    the caller knows the hot keys (column ``right_key``) already. Null keys get a null value. Up to PLAIN_ROWS left rows it is a plain join.
+    the caller knows the hot keys (column ``right_key``) already. Null keys get a null value. Up to ``plain_rows`` (else PLAIN_ROWS)
+    left rows the plan is a plain join with the same result.
     """
-    if n_left <= PLAIN_ROWS:
+    if n_left <= (PLAIN_ROWS if plain_rows is None else plain_rows):
         return left.join(right.select(F.col(right_key).alias("_rk"), F.col(value)), F.col(key) == F.col("_rk"), "left").drop("_rk")
     hot = hot_keys(left.filter(F.col(key).isNotNull()), key, n_left).withColumnRenamed(key, right_key) if hot is None else hot
     small = right.join(F.broadcast(hot), right_key, "left_semi").select(F.col(right_key).alias("_hk"), F.col(value).alias("_hv"), F.lit(True).alias("_hit"))

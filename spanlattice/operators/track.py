@@ -11,12 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlattice.operators.assign import best_assignment
+from spanlattice.operators.assign import best_pairs
 from spanlattice.operators.runs import cut_at_edges, encode, join_ranges
 
 Spans = list[tuple[int, int]]
@@ -77,15 +76,13 @@ class Matcher:
 
     def _match(self, objects: dict[int, Spans]) -> dict[int, int]:
         inter = common_sizes(self.target, objects)
-        ts, ms = sorted({t for t, _ in inter}), sorted({m for _, m in inter})
-        nt, nm = {t: size_of(self.target[t]) for t in ts}, {m: size_of(objects[m]) for m in ms}
-        iou = np.zeros((len(ts), len(ms)))
+        size = {t: size_of(self.target[t]) for t in {t for t, _ in inter}}, {m: size_of(objects[m]) for m in {m for _, m in inter}}
+        iou: dict[tuple[int, int], float] = {}
         share: dict[int, tuple[float, int]] = {}
-        row, col = {t: i for i, t in enumerate(ts)}, {m: i for i, m in enumerate(ms)}
         for (t, m), n in inter.items():
-            iou[row[t], col[m]] = n / (nt[t] + nm[m] - n)
-            share[m] = max(share.get(m, (0.0, 0)), (n / nm[m], -t))
-        matched = {ms[j]: ts[i] for i, j in best_assignment(iou) if iou[i, j] >= self.iou} if inter else {}
+            iou[t, m] = n / (size[0][t] + size[1][m] - n)
+            share[m] = max(share.get(m, (0.0, 0)), (n / size[1][m], -t))
+        matched = {m: t for t, m in best_pairs(iou) if iou[t, m] >= self.iou}
         out = {}
         for x in objects:
             if x in matched:

@@ -227,12 +227,24 @@ def overlap_graph(spark, sf_dir):
 _REACH = """reach(node, other) as (select u, u from ends union select r.node, s.v from reach r join ends s on s.u = r.other)"""
 
 
-@registry.query("graph_components", f"""with recursive pairs as (select node1 u, node2 v from cluster_graph where node1 is not null and node2 is not null and node1 <> node2 and iou > 0.75),
-ends as (select u, v from pairs union select v, u from pairs), {_REACH} select node v, min(other) component from reach group by 1""")
+_COMPONENTS = f"""with recursive pairs as (select node1 u, node2 v from cluster_graph where node1 is not null and node2 is not null and node1 <> node2 and iou > 0.75),
+ends as (select u, v from pairs union select v, u from pairs), {_REACH} select node v, min(other) component from reach group by 1"""
+
+
+def _matches(spark, sf_dir):
+    return table(spark, sf_dir, "cluster_graph").filter("iou > 0.75").select(F.col("node1").alias("u"), F.col("node2").alias("v"))
+
+
+@registry.query("graph_components", _COMPONENTS)
 def graph_components(spark, sf_dir):
-    """Components of the measured matches by alternating stars (NaN counts as above every number here)."""
-    e = table(spark, sf_dir, "cluster_graph").filter("iou > 0.75").select(F.col("node1").alias("u"), F.col("node2").alias("v"))
-    return graph.components(e, Scratch(spark, "components"))
+    """Components of the measured matches (NaN counts as above every number here)."""
+    return graph.components(_matches(spark, sf_dir), Scratch(spark, "components"))
+
+
+@registry.query("graph_components_rounds", _COMPONENTS)
+def graph_components_rounds(spark, sf_dir):
+    """The same with tasks that contract a few vertices at a time and joins spread whatever their size, so that the rounds of stars run."""
+    return graph.components(_matches(spark, sf_dir), Scratch(spark, "components"), plain_rows=0, united=50)
 
 
 @registry.query("cluster_graph_edges", f"""with recursive {_OBJECTS}, {_PAIRS},

@@ -1,10 +1,11 @@
+import itertools
 import random
 
 import numpy as np
 import pytest
 
-from spanlattice.operators import boxes, consensus, curate, graph, metrics, skew, tiles, track
-from spanlattice.operators.assign import assign
+from spanlattice.operators import boxes, consensus, curate, graph, metrics, tiles, track
+from spanlattice.operators.assign import assign, best_pairs
 from spanlattice.operators.numbering import number_rows
 from spanlattice.plans.orthoplane import boxes_of
 from spanlattice.session import Scratch
@@ -16,12 +17,11 @@ def spans_of(index):
     return list(zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + 1).tolist())) if len(at) else []
 
 
-@pytest.mark.parametrize("plain", [0, 10**6])
-def test_components(spark, monkeypatch, plain):
-    monkeypatch.setattr(skew, "PLAIN_ROWS", plain)
+@pytest.mark.parametrize("plain, united", [(0, 10), (10**6, 40), (10**6, 10**6)])
+def test_components(spark, plain, united):
     rnd = random.Random(1)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 400)] + [(500, 501 + i) for i in range(50)] + [(None, 3), (7, 7)]
-    got = {r.v: r.component for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint"), Scratch(spark, "t")).collect()}
+    got = {r.v: r.component for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint"), Scratch(spark, "t"), plain, united).collect()}
     up = {}
 
     def find(x):
@@ -50,6 +50,19 @@ def test_assignment_comes_before_the_threshold(spark):
     assert [r.k for r in got.filter("iou >= 0.5").collect()] == [2]
 
 
+def test_best_pairs():
+    """Against all assignments; and the pairs alone are held, so many objects are no matter."""
+    rnd = random.Random(4)
+    for _ in range(200):
+        n, m = rnd.randrange(1, 5), rnd.randrange(1, 5)
+        w = {(i, j): rnd.choice([0, 0.3, 0.5, rnd.random()]) for i in range(n) for j in range(m) if rnd.random() < 0.7}
+        got = best_pairs(w)
+        assert len({a for a, _ in got}) == len(got) == len({b for _, b in got}) and all(w[x] > 0 for x in got)
+        best = max(sum(w.get((i, j), 0) for i, j in enumerate(p)) for p in itertools.permutations([*range(m), *[-1] * n], n))
+        assert abs(sum(w[x] for x in got) - best) < 1e-9
+    assert len(best_pairs({(i, j): 1.0 + (i == j) for i in range(50_000) for j in (i, i + 1)})) == 50_000
+
+
 def test_scores(spark):
     side = lambda rows, c: spark.createDataFrame(rows, f"k int, {c} bigint, s bigint, e bigint")
     gt = side([(1, 1, 0, 32), (1, 2, 100, 132), (2, 9, 0, 5)], "gt")
