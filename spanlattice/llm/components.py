@@ -42,11 +42,11 @@ def _order(round_: int, vertex: str) -> Column:
     return F.xxhash64(F.lit(round_).cast("bigint"), F.col(vertex))
 
 
-def components(edges: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, seed: int = 0, plain_rows: int | None = None) -> DataFrame:
     """Rows (v, root) for each vertex with an edge to another one; equal roots for exactly the connected vertices.
 
     ``edges`` has bigint columns u, v (loops, repeated and reversed edges change nothing); nulls are not allowed.
-    Empty edges give no row.
+    Empty edges give no row. ``plain_rows`` see skew.lookup.
     """
     e = scratch.keep(_canonical(edges))
     maps: list[DataFrame] = []
@@ -58,8 +58,8 @@ def components(edges: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
         hook = scratch.keep(hook.select("v", F.least("h", _order(k, "v")).alias("root"), "deg"))
         hot = hook.filter(F.col("deg") > max(2 * n // HOT_KEYS, 1000)).select("v")  # fewer than HOT_KEYS: degrees add up to 2n
         spread = F.xxhash64("u", "v")
-        at_u = lookup(e, "u", hook.withColumnRenamed("v", "x"), "x", "root", n, spread, hot.withColumnRenamed("v", "x")).withColumnRenamed("root", "ru")
-        at_v = lookup(at_u, "v", hook.withColumnRenamed("v", "x"), "x", "root", n, spread, hot.withColumnRenamed("v", "x"))
+        at_u = lookup(e, "u", hook.withColumnRenamed("v", "x"), "x", "root", n, spread, hot.withColumnRenamed("v", "x"), plain_rows).withColumnRenamed("root", "ru")
+        at_v = lookup(at_u, "v", hook.withColumnRenamed("v", "x"), "x", "root", n, spread, hot.withColumnRenamed("v", "x"), plain_rows)
         smaller = scratch.keep(_canonical(at_v.select(F.col("ru").alias("u"), F.col("root").alias("v"))))
         scratch.drop(e)
         e = smaller
@@ -74,25 +74,25 @@ def components(edges: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
         alone = F.col("root")  # its component was done in round k: like any vertex without an edge, it hooks to itself from then on
         for j in range(k + 1, len(maps)):
             alone = F.xxhash64(F.lit(seed + j).cast("bigint"), alone)
-        found = lookup(m, "root", up, "x", "top", sizes[k], F.xxhash64("v", "root")).select("v", F.coalesce("top", alone).alias("root"))
+        found = lookup(m, "root", up, "x", "top", sizes[k], F.xxhash64("v", "root"), plain_rows=plain_rows).select("v", F.coalesce("top", alone).alias("root"))
         if k % 3 == 0:
             found = scratch.keep(found)
     return found
 
 
-def groups(df: DataFrame, left: str, right: str, weight: str, members: str, threshold: float = 0.75, seed: int = 0) -> DataFrame:
+def groups(df: DataFrame, left: str, right: str, weight: str, members: str, threshold: float = 0.75, seed: int = 0, plain_rows: int | None = None) -> DataFrame:
     """Rows (node, group_node): each id occurring in ``left``, ``right`` or ``members`` once, with the least id of its group.
 
     An id linked to none is its own group. Null ids are no nodes; see match_edges for what links. Repeated rows change
-    nothing; an empty table gives no row; further columns are not read.
+    nothing; an empty table gives no row; further columns are not read. ``plain_rows`` see skew.lookup.
     """
     scratch = Scratch(df.sparkSession, "groups")
     df = df.select(F.col(left).cast("bigint").alias("left"), F.col(right).cast("bigint").alias("right"), F.col(weight).cast("double").alias("weight"), F.col(members).cast("array<bigint>").alias("members"))
-    root = components(match_edges(df, "left", "right", "weight", "members", threshold), scratch, seed)
+    root = components(match_edges(df, "left", "right", "weight", "members", threshold), scratch, seed, plain_rows)
     root = scratch.keep(root)
     ids = F.concat(F.array("left", "right"), F.coalesce(F.col("members"), F.array().cast("array<bigint>")))
     nodes = df.select(F.explode(ids).alias("node")).filter("node is not null").distinct()
     least = root.groupBy("root").agg(F.min("v").alias("least"))
     n = root.count()
-    named = lookup(root, "root", least.withColumnRenamed("root", "r"), "r", "least", n, F.xxhash64("v"), hot_keys(root, "root", n).withColumnRenamed("root", "r"))
+    named = lookup(root, "root", least.withColumnRenamed("root", "r"), "r", "least", n, F.xxhash64("v"), hot_keys(root, "root", n).withColumnRenamed("root", "r"), plain_rows)
     return nodes.join(named.select(F.col("v").alias("node"), "least"), "node", "left").select("node", F.coalesce("least", "node").alias("group_node"))

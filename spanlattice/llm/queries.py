@@ -29,6 +29,12 @@ def p1_found(spark, sf_dir):
     return components.groups(table(spark, sf_dir, "cluster_graph"), "node1", "node2", "iou", "cluster")
 
 
+@registry.query("p1_spread", _GROUPS + "select * from grouped")
+def p1_spread(spark, sf_dir):
+    """As p1_found, with joins spread whatever their size."""
+    return components.groups(table(spark, sf_dir, "cluster_graph"), "node1", "node2", "iou", "cluster", plain_rows=0)
+
+
 @registry.query("p1_sizes", _GROUPS + "select size, cast(count(*) as bigint) n_groups from (select count(*) size from grouped group by group_node) group by 1")
 def p1_sizes(spark, sf_dir):
     """How many groups there are of each size."""
@@ -62,6 +68,16 @@ def p2_found(spark, sf_dir):
     return crosssplit.cross_split(table(spark, sf_dir, "image_patch"), table(spark, sf_dir, "train_config"))
 
 
+@registry.query("p2_images", _CROSS + """, cls as (select patch_id, min(patch_id) over (partition by h, w, g) c from grey where patch_id in (select patch_id from placed)),
+role as (select distinct run_name, ev, patch_id, dataset, c from placed join cls using (patch_id)),
+hit as (select distinct e.run_name, e.dataset, e.patch_id, e.c class_id, t.c tc from role e join role t on t.run_name = e.run_name and e.ev and not t.ev and e.patch_id <> t.patch_id
+  left join ok on ok.a = e.patch_id and ok.b = t.patch_id where e.c = t.c or ok.a is not null)
+select run_name, dataset, patch_id, class_id, count(*) n_links from hit group by 1, 2, 3, 4""")
+def p2_images(spark, sf_dir):
+    """Each evaluation image with a counterpart, its class among those of directories, and how many classes of training images it meets."""
+    return crosssplit.CrossSplit(table(spark, sf_dir, "image_patch"), table(spark, sf_dir, "train_config")).images()
+
+
 @registry.query("p2_report", _CROSS + " select run_name, dataset, count(*) n_pairs from found group by 1, 2")
 def p2_report(spark, sf_dir):
     """Counts per run and dataset of the evaluation image."""
@@ -149,9 +165,8 @@ def p6_ids(spark, sf_dir):
 def p6_round_trip(spark, sf_dir):
     """Texts decoded from their ids, with the number of bytes that the last token's offset gives."""
     encoded = tokens.encode_with_offsets(table(spark, sf_dir, "documents"), "doc_id", "text", tokens.vocabulary())
-    back = tokens.decode(encoded, "doc_id", "ids", tokens.vocabulary())
-    ends = encoded.select("doc_id", F.coalesce(F.try_element_at("byte_to", F.lit(-1)), F.lit(0)).alias("n_bytes"))
-    return back.select("doc_id", "text").join(ends, "doc_id")
+    back = tokens.decode(encoded, "doc_id", "ids", tokens.vocabulary(), also=["byte_to"])
+    return back.select("doc_id", "text", F.coalesce(F.try_element_at("byte_to", F.lit(-1)), F.lit(0)).alias("n_bytes"))
 
 
 # 7: a mix of sources

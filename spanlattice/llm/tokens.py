@@ -106,8 +106,8 @@ def encode_with_offsets(df: DataFrame, key: str, text: str, path: str) -> DataFr
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, key: str, ids: str, path: str) -> DataFrame:
-    """Rows (key, bytes binary, text string): the tokens' bytes, and their text with U+FFFD for characters cut off.
+def decode(df: DataFrame, key: str, ids: str, path: str, also: list[str] | None = None) -> DataFrame:
+    """Rows (key, bytes binary, text string): the tokens' bytes, and their text with U+FFFD for characters cut off. ``also`` are columns to keep.
 
     Null ids give nulls, an empty list the empty text. An id that is not in the vocabulary is an error.
     """
@@ -117,6 +117,7 @@ def decode(df: DataFrame, key: str, ids: str, path: str) -> DataFrame:
         token = {i: bytes(byte_of[c] for c in w) if all(c in byte_of for c in w) else w.encode() for w, i in load(path).get_vocab().items()}
         for b in batches:
             raw = [None if x is None else b"".join(token[i] for i in x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw], pa.string())], [key, "bytes", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw], pa.string()), *b.columns[2:]], [key, "bytes", "text", *(also or [])])
 
-    return df.select(key, ids).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, bytes binary, text string")
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, bytes binary, text string" + "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in also or [])
+    return df.select(key, ids, *(also or [])).mapInArrow(run, schema)
