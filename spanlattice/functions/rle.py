@@ -50,3 +50,12 @@ def ravel(z: Column, y: Column, x: Column, h: int | Column, w: int | Column) ->
     """C-order index in a volume whose slices are h x w."""
     h, w = (v if isinstance(v, Column) else F.lit(v).cast("bigint") for v in (h, w))
     return (z * h + y) * w + x
+
+
+def unravel(index: Column, h: int | Column, w: int | Column) -> Column:
+    """struct(z, y, x) of a C-order index, rounded towards lower slices."""
+    h, w = (v if isinstance(v, Column) else F.lit(v).cast("bigint") for v in (h, w))
+    x = F.pmod(index, w)
+    row = F.call_function("div", index - x, w)
+    y = F.pmod(row, h)
+    return F.struct(F.call_function("div", row - y, h).alias("z"), y.alias("y"), x.alias("x"))

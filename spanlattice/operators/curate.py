@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,28 +67,32 @@ def hash_classes(df: DataFrame, ident: str, hash_: str) -> DataFrame:
     return known.join(known.groupBy("h").agg(F.min("id").alias("class_id")), "h").select("id", "class_id", "h")
 
 
-def hash_pairs(classes: DataFrame, distance: int, bits: int) -> DataFrame:
+def hash_pairs(classes: DataFrame, distance: int, bits: int, together: int = 1) -> DataFrame:
     """(a, b, dist), a < b: all pairs of classes (see hash_classes) whose hashes differ in at most ``distance`` bits.
 
-    The hash is cut into distance + 1 bands: a pair within the distance agrees on one of them. Members of a class never meet here.
+    The hash is cut into distance + together bands: a pair within the distance agrees on at least ``together`` of them, so every
+    choice of so many bands is a key. More bands in a key make more keys and far fewer pairs to compare on each; use 2 or 3 for
+    many items. Members of a class never meet here.
     """
-    bands = min(distance + 1, bits)
+    bands = min(distance + together, bits)
+    together = max(1, bands - distance)
     cut = [round(bits * k / bands) for k in range(bands + 1)]
     values = classes.filter("id = class_id").select("id", "h")
-    keys = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("h", cut[k]).bitwiseAND((1 << (cut[k + 1] - cut[k])) - 1).alias("v")) for k in range(bands)]
+    band = lambda k: F.shiftrightunsigned("h", cut[k]).bitwiseAND((1 << (cut[k + 1] - cut[k])) - 1)
+    keys = [F.xxhash64(F.lit(n), *map(band, chosen)) for n, chosen in enumerate(combinations(range(bands), together))]
     banded = values.select(F.col("id").alias("a"), F.col("h").alias("g"), F.explode(F.array(*keys)).alias("key"))
     other = banded.select(F.col("a").alias("b"), F.col("g").alias("h"), "key")
     dist = F.bit_count(F.col("g").bitwiseXOR(F.col("h"))).cast("int")
     return banded.join(other, "key").filter((F.col("a") < F.col("b")) & (dist <= distance)).select("a", "b", dist.alias("dist")).distinct()
 
 
-def exemplars(nodes: DataFrame, ident: str, pairs: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
-    """Greedy exemplars in a seeded random order: the first stays and all close to it go, and so on. One column, ``ident``.
+def exemplars(nodes: DataFrame, ident: str, pairs: DataFrame, scratch: Scratch, seed: int = 0, by_id: bool = False) -> DataFrame:
+    """Greedy exemplars in a seeded random order (or that of the ids): the first stays and all close to it go, and so on. One column, ``ident``.
 
     Rounds: every item that comes before all its undecided neighbours stays, its neighbours go. This gives just what the sequential
     rule gives, in a number of rounds that grows with the logarithm of the longest decreasing chain.
     """
-    rank = lambda c: F.xxhash64(F.lit(seed).cast("bigint"), F.col(c))
+    rank = (lambda c: F.col(c).cast("bigint")) if by_id else (lambda c: F.xxhash64(F.lit(seed).cast("bigint"), F.col(c)))
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
     edges = scratch.keep(both.filter("u <> v").distinct())
     linked = edges.select(F.col("u").alias(ident)).distinct()
@@ -111,10 +117,21 @@ def example_weights(df: DataFrame, group: str, gamma: float = 0.3) -> DataFrame:
 
 
 def weighted_sample(df: DataFrame, ident: str, weight: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` rows drawn without replacement with chances in proportion to ``weight``: the greatest log(u) / weight, u a hash of the id."""
+    """``n`` rows drawn without replacement with chances in proportion to ``weight``: the greatest log(u) / weight, u a hash of the id.
+
+    Two quantiles enclose the last key that is drawn; only the rows between them, a few in ten thousand, are sorted. Weights that are null
+    or not above 0 are never drawn; with fewer than ``n`` others all are.
+    """
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("bigint"), ident), 11).cast("double") + 1.0) / float(2**53 + 1)
     keyed = df.filter(F.col(weight) > 0).withColumn("_k", F.log(u) / F.col(weight))
-    return keyed.orderBy(F.desc("_k"), ident).limit(n).drop("_k")
+    total = keyed.count()
+    if total <= n:
+        return keyed.drop("_k")
+    edge = [min(1.0, max(0.0, 1 - n / total + d)) for d in (-4e-4, 4e-4)]
+    low, high = keyed.agg(F.percentile_approx("_k", edge, 10_000)).first()[0]
+    sure = keyed.filter(F.col("_k") > high)
+    between = keyed.filter((F.col("_k") >= low) & (F.col("_k") <= high))
+    return sure.unionAll(between.orderBy(F.desc("_k"), ident).limit(n - sure.count())).drop("_k")
 
 
 def sample_per_group(df: DataFrame, group: str, ident: str, n: int, seed: int = 0) -> DataFrame:
@@ -123,12 +140,24 @@ def sample_per_group(df: DataFrame, group: str, ident: str, n: int, seed: int =
     return df.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n).drop("_k")
 
 
-def quality_filter(df: DataFrame, score: Column, threshold: float, ident: str, keep_share: float, seed: int = 0) -> DataFrame:
-    """Adds ``kept``: scores at or above the threshold, and a seeded share of the others. A null score is below."""
-    u = F.pmod(F.xxhash64(F.lit(seed).cast("bigint"), ident), F.lit(1_000_000)) / 1_000_000
+def quality_filter(df: DataFrame, score: Column, threshold: float, ident: str, keep_share: float, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """Adds ``kept``: scores at or above the threshold, and a seeded share of the others. A null score is below. ``draw`` replaces the hash: numbers in [0, 1)."""
+    u = F.pmod(F.xxhash64(F.lit(seed).cast("bigint"), ident), F.lit(1_000_000)) / 1_000_000 if draw is None else draw
     return df.withColumn("kept", F.coalesce(score >= threshold, F.lit(False)) | (u < keep_share))
 
 
+def majority(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value): the most frequent value of each key; ties: the least. Null values do not count."""
+    n = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return n.groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("n"), value)).alias("_x")).select(*keys, F.col("_x")[value].alias(value))
+
+
+def name_sets(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+    """(name, side): the different names in ``both`` and in ``only`` the first."""
+    both = a.select(name).intersect(b.select(name)).withColumn("side", F.lit("both"))
+    return both.unionAll(a.select(name).distinct().subtract(b.select(name)).withColumn("side", F.lit("only")))
+
+
 def merge_directories(src: DataFrame, dst: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, origin) of both sides; where both have the key, the source's value holds. origin: both, source or target."""
     a, b = src.select(key, F.col(value).alias("_a"), F.lit(1).alias("_s")), dst.select(key, F.col(value).alias("_b"), F.lit(1).alias("_d"))

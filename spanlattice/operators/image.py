@@ -69,6 +69,35 @@ def uncertainty(sem: Column) -> Column:
     return F.when(F.size(sem) == 1, -F.abs(sem[0])).otherwise(falling[1] - falling[0])
 
 
+def least_certain(pixels: DataFrame, keys: list[str], uncertain: str, n: int, tie: list[str]) -> DataFrame:
+    """The ``n`` pixels of each key with the greatest value of ``uncertain`` (see uncertainty); ties by ``tie``; null values come last."""
+    at = pixels.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc_nulls_last(uncertain), *tie)))
+    return at.filter(F.col("_k") <= n).drop("_k")
+
+
+def training_points(pixels: DataFrame, height: int, width: int, channels: list[str], n: int, oversample: float = 3.0, important: float = 0.75, seed: int = 0) -> DataFrame:
+    """(slice, point, u, v): ``n`` sampling points of each slice, in [0, 1): floor(important * n) least certain ones of n * oversample random points, and random ones.
+
+    ``pixels``: (slice, y, x, channels), logits, of which the points take bilinear values. Points are hashes of slice and number.
+    """
+    if oversample < 1 or not 0 <= important <= 1:
+        raise ValueError("oversample must be at least 1 and important between 0 and 1")
+    chance = lambda salt: F.shiftrightunsigned(F.xxhash64(F.lit(seed + salt).cast("bigint"), "slice", "point"), 11).cast("double") / F.lit(float(2**53))
+    many, few = int(n * oversample), int(important * n)
+    slices = pixels.select("slice").distinct()
+    random = lambda lo, hi: slices.select("slice", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("point")).select("slice", "point", chance(0).alias("u"), chance(1).alias("v"))
+    out = None
+    if few:
+        tried = random(0, many)
+        for c in channels:
+            tried = tried.join(point_sample(pixels, tried.select("slice", "point", "u", "v"), height, width, c).select("slice", "point", F.col(c)), ["slice", "point"])
+        out = least_certain(tried.withColumn("_u", uncertainty(F.array(*channels))), ["slice"], "_u", few, ["point"]).select("slice", "point", "u", "v")
+    if n > few:
+        rest = random(many, many + n - few)
+        out = rest if out is None else out.unionAll(rest)
+    return out
+
+
 def window_max(pixels: DataFrame, value: str, kernel: int, name: str, slice_: str = "slice") -> DataFrame:
     """Adds the greatest value in the kernel x kernel square around each pixel (an even kernel reaches one less to the right and below)."""
     low, high = -(kernel // 2), kernel // 2 - (kernel % 2 == 0)
@@ -95,15 +124,15 @@ def peaks(pixels: DataFrame, value: str, threshold: float, kernel: int, dense: b
     return top.filter((F.col(value) > threshold) & (F.col(value) == F.col("_top")) & (F.col(value) > 0)).drop("_top")
 
 
-#: Rings of cells around a point up to which the grid is searched; the points still open then, far from all centres, are compared with all of their key.
-MAX_RING = 16
+#: Rings of cells around a point that are searched on one grid; points still open then, far from all centres, go on with cells as wide as these rings.
+MAX_RING = 4
 
 
 def nearest_center(points: DataFrame, centers: DataFrame, keys: list[str], py: str = "py", px: str = "px", far: float = 1e5, cell: float | None = None) -> DataFrame:
     """Adds ``center`` to each point: the nearest one of its key (ties: the least id), 0 if all are ``far`` or there is none.
 
-    ``centers``: (keys, center, cy, cx), ids above 0. With ``cell``, centres are looked up on a grid, in rings of cells around the point until none can be nearer, in rounds
-    that hold only the points still open; without it, points and centres of a key are all compared.
+    ``centers``: (keys, center, cy, cx), ids above 0. With ``cell``, centres are looked up on a grid, in rings of cells around the point until none can be nearer or ``far`` is reached, in rounds
+    that hold only the points still open, with wider cells after MAX_RING rings; without it, points and centres of a key are all compared, for few centres.
     """
     if cell is not None:
         return _nearest_on_grid(points, centers, keys, py, px, far, cell)
@@ -117,30 +146,25 @@ def nearest_center(points: DataFrame, centers: DataFrame, keys: list[str], py: s
 def _nearest_on_grid(points: DataFrame, centers: DataFrame, keys: list[str], py: str, px: str, far: float, cell: float) -> DataFrame:
     scratch = Scratch(points.sparkSession, "nearest")
     cols = points.columns
-    grid = centers.withColumn("_gy", F.floor(F.col("cy") / cell)).withColumn("_gx", F.floor(F.col("cx") / cell))
-    left = scratch.keep(points.withColumn("_p", F.monotonically_increasing_id()).withColumn("_hy", F.floor(F.col(py) / cell)).withColumn("_hx", F.floor(F.col(px) / cell)))
+    left = scratch.keep(points.withColumn("_p", F.monotonically_increasing_id()).withColumn("_best", F.lit(None).cast("struct<d:double,center:bigint>")))
     done, ring, first = [], 0, True
-    best_none = F.lit(None).cast("struct<d:double,center:bigint>")
-    left = left.withColumn("_best", best_none)
     while True:
+        grid = centers.select(*keys, "center", "cy", "cx", F.floor(F.col("cy") / cell).alias("_gy"), F.floor(F.col("cx") / cell).alias("_gx"))
         steps = [(a, b) for a in range(-ring, ring + 1) for b in range(-ring, ring + 1) if first or max(abs(a), abs(b)) > ring // 2]
-        cells = F.explode(F.array(*[F.struct((F.col("_hy") + a).alias("y"), (F.col("_hx") + b).alias("x")) for a, b in steps]))
+        cells = F.explode(F.array(*[F.struct((F.floor(F.col(py) / cell) + a).alias("y"), (F.floor(F.col(px) / cell) + b).alias("x")) for a, b in steps]))
         around = left.select("_p", *keys, py, px, cells.alias("_c")).select("_p", *keys, py, px, F.col("_c.y").alias("_gy"), F.col("_c.x").alias("_gx"))
         d = F.sqrt(F.pow(F.col("cy") - F.col(py), 2) + F.pow(F.col("cx") - F.col(px), 2))
         found = around.join(grid, [*keys, "_gy", "_gx"]).groupBy("_p").agg(F.min(F.struct(d.alias("d"), F.col("center").cast("bigint").alias("center"))).alias("_new"))
-        now = left.join(found, "_p", "left").withColumn("_best", F.least("_best", "_new")).drop("_new")
-        now = scratch.keep(now)
-        sure = F.coalesce(F.col("_best.d") <= ring * cell, F.lit(False))
+        now = scratch.keep(left.join(found, "_p", "left").withColumn("_best", F.least("_best", "_new")).drop("_new"))
+        searched = ring * cell  # all centres within this are known
+        sure = F.coalesce(F.col("_best.d") <= searched, F.lit(False)) | F.lit(searched >= far)
         done.append(now.filter(sure))
         left = now.filter(~sure)
-        first = False
         if not left.limit(1).count():
             break
-        ring = max(1, 2 * ring)
+        ring, first = (1 if ring == 0 else 2 * ring), False
         if ring > MAX_RING:
-            rest = nearest_center(left.drop("_best", "_hy", "_hx"), centers, keys, py, px, far)
-            done.append(rest.select(*cols, F.when(F.col("center") > 0, F.struct(F.lit(0.0).alias("d"), F.col("center").cast("bigint").alias("center"))).alias("_best")))
-            break
+            cell, ring, first = cell * MAX_RING, 1, True
     out = None
     for part in done:
         part = part.select(*cols, F.when(F.col("_best.d") < far, F.col("_best.center")).otherwise(0).cast("bigint").alias("center"))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 22
 #: Width of the buckets of the interval join; choose it a few times the usual length of a range.
 BUCKET = 1 << 10
+#: Buckets of one width that a range takes at most, if there is a wider one.
+SPREAD = 16
 
 
 def _real(runs: DataFrame, keys: list[str], s: str = "s", e: str = "e") -> DataFrame:
@@ -107,27 +109,47 @@ def invert(runs: DataFrame, keys: list[str], size: int, block: int = BLOCK) -> D
     return _over_edges(holes.filter("s < e"), keys, block)
 
 
-def overlaps(a: DataFrame, a_keys: list[str], b: DataFrame, b_keys: list[str], on: Column | None = None, equal: list[tuple[str, str]] | None = None, bucket: int = BUCKET) -> DataFrame:
+def overlaps(a: DataFrame, a_keys: list[str], b: DataFrame, b_keys: list[str], on: Column | None = None, equal: list[tuple[str, str]] | None = None, bucket: int | tuple[int, ...] = BUCKET) -> DataFrame:
     """Pairs of ranges that meet, with the common length ``inter``: a bucketed interval join.
 
-    Both sides go into the buckets they touch; a pair is kept in the bucket of its common start only. ``equal`` are pairs of
-    key columns that must be equal; ``on`` is a further condition. The key names of both sides must differ.
+    Both sides go into the buckets they touch; a pair is kept in the bucket of its common start only. With several bucket
+    widths, ascending, a range goes into the buckets of the first width of which it takes at most SPREAD (else the last) and of all wider
+    ones, and a pair is found at the greater of its two ranges' own widths: so a long range is a few rows, not one for each narrow bucket. ``equal`` are
+    pairs of key columns that must be equal; ``on`` is a further condition. The key names of both sides must differ.
     """
-    left = _real(a, a_keys).select(*a_keys, F.col("s").alias("_s1"), F.col("e").alias("_e1"), F.explode(F.sequence(block_of(F.col("s"), bucket), block_of(F.col("e") - 1, bucket))).alias("_k1"))
-    right = _real(b, b_keys).select(*b_keys, F.col("s").alias("_s2"), F.col("e").alias("_e2"), F.explode(F.sequence(block_of(F.col("s"), bucket), block_of(F.col("e") - 1, bucket))).alias("_k2"))
+    widths = (bucket,) if isinstance(bucket, int) else tuple(bucket)
+
+    def placed(runs: DataFrame, keys: list[str], n: str) -> DataFrame:
+        s, e, own, level = f"_s{n}", f"_e{n}", f"_o{n}", f"_w{n}"
+        out = _real(runs, keys).select(*keys, F.col("s").alias(s), F.col("e").alias(e))
+        if len(widths) == 1:
+            return out.withColumn(f"_k{n}", F.explode(F.sequence(block_of(F.col(s), widths[0]), block_of(F.col(e) - 1, widths[0]))))
+        fits = [F.when(F.col(e) - F.col(s) <= SPREAD * w, F.lit(i)) for i, w in enumerate(widths[:-1])]
+        out = out.withColumn(own, F.coalesce(*fits, F.lit(len(widths) - 1)))
+        at = lambda i: lambda k: F.struct(F.lit(i).alias("w"), k.alias("k"))
+        spans = [F.when(F.col(own) <= i, F.transform(F.sequence(block_of(F.col(s), w), block_of(F.col(e) - 1, w)), at(i))) for i, w in enumerate(widths)]
+        out = out.withColumn("_x", F.explode(F.flatten(F.array_compact(F.array(*spans)))))
+        return out.select(*keys, s, e, own, F.col("_x.w").alias(level), F.col("_x.k").alias(f"_k{n}"))
+
+    left, right = placed(a, a_keys, "1"), placed(b, b_keys, "2")
     cond = (F.col("_k1") == F.col("_k2")) & (F.col("_s1") < F.col("_e2")) & (F.col("_s2") < F.col("_e1"))
+    start = F.greatest("_s1", "_s2")
+    home = block_of(start, widths[0])
+    if len(widths) > 1:
+        cond = cond & (F.col("_w1") == F.col("_w2")) & (F.col("_w1") == F.greatest("_o1", "_o2"))
+        home = F.coalesce(*[F.when(F.col("_w1") == i, block_of(start, w)) for i, w in enumerate(widths)])
     for x, y in equal or []:
         cond = cond & (F.col(x) == F.col(y))
     cond = cond & on if on is not None else cond
-    met = left.join(right, cond).filter(F.col("_k1") == block_of(F.greatest("_s1", "_s2"), bucket))
-    return met.select(*a_keys, *b_keys, F.greatest("_s1", "_s2").alias("s"), F.least("_e1", "_e2").alias("e"), (F.least("_e1", "_e2") - F.greatest("_s1", "_s2")).alias("inter"))
+    met = left.join(right, cond).filter(F.col("_k1") == home)
+    return met.select(*a_keys, *b_keys, start.alias("s"), F.least("_e1", "_e2").alias("e"), (F.least("_e1", "_e2") - start).alias("inter"))
 
 
 def areas(runs: DataFrame, keys: list[str], name: str = "area") -> DataFrame:
     return _real(runs, keys).groupBy(*keys).agg(F.sum(F.col("e") - F.col("s")).alias(name))
 
 
-def pair_overlaps(a: DataFrame, a_keys: list[str], b: DataFrame, b_keys: list[str], on: Column | None = None, equal: list[tuple[str, str]] | None = None, bucket: int = BUCKET) -> DataFrame:
+def pair_overlaps(a: DataFrame, a_keys: list[str], b: DataFrame, b_keys: list[str], on: Column | None = None, equal: list[tuple[str, str]] | None = None, bucket: int | tuple[int, ...] = BUCKET) -> DataFrame:
     """(a_keys, b_keys, inter, iou, ioa): of objects that share an index; ioa is the share of b's object. Objects' ranges are disjoint."""
     inter = overlaps(a, a_keys, b, b_keys, on, equal, bucket).groupBy(*a_keys, *b_keys).agg(F.sum("inter").alias("inter"))
     na, nb = areas(a, a_keys, "_na"), areas(b, b_keys, "_nb")

@@ -39,9 +39,10 @@ def voxel_components(voxels: DataFrame, scratch: Scratch, diagonal: bool = True)
     return named.select("z", "y", "component", F.explode(F.sequence("s", F.col("e") - 1)).alias("x")).select("z", "y", "x", "component")
 
 
-def drop_small(voxels: DataFrame, label: str, least: int) -> DataFrame:
-    """Voxels of labels with at least ``least`` voxels."""
-    big = voxels.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(label)
+def drop_small(voxels: DataFrame, label: str | list[str], least: int) -> DataFrame:
+    """Voxels of labels (or label columns together) with at least ``least`` voxels."""
+    label = [label] if isinstance(label, str) else label
+    big = voxels.groupBy(*label).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(*label)
     return voxels.join(big, label, "left_semi")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlattice.operators import metrics
+from spanlattice.operators.image import crop, upsample
 from spanlattice.operators.runs import areas
 
 FILTERS: dict[str, Callable[..., DataFrame]] = {}
@@ -62,13 +63,55 @@ def flip_columns(pixels: DataFrame, width: int) -> DataFrame:
     return pixels.withColumn("x", F.lit(width - 1) - F.col("x"))
 
 
+@register(AUGMENTATIONS, "turn")
+def turn(pixels: DataFrame, height: int) -> DataFrame:
+    """A quarter turn clockwise of images of that height."""
+    return pixels.withColumn("_y", F.col("x")).withColumn("x", F.lit(height - 1) - F.col("y")).withColumn("y", F.col("_y")).drop("_y")
+
+
+@register(AUGMENTATIONS, "window")
+def window(pixels: DataFrame, y: int, x: int, height: int, width: int) -> DataFrame:
+    return crop(pixels, y, x, y + height, x + width)
+
+
+@register(AUGMENTATIONS, "scale")
+def scale(pixels: DataFrame, factor: int) -> DataFrame:
+    return upsample(pixels, factor)
+
+
+@register(AUGMENTATIONS, "brightness_contrast")
+def brightness_contrast(pixels: DataFrame, brightness: float = 0.0, contrast: float = 0.0, value: str = "value") -> DataFrame:
+    """Contrast around the middle of 0..255, then brightness as a share of 255; cut off at both ends."""
+    v = (F.col(value) - 127.5) * (1 + contrast) + 127.5 + brightness * 255
+    return pixels.withColumn(value, F.greatest(F.lit(0.0), F.least(F.lit(255.0), v)))
+
+
 def augment(pixels: DataFrame, steps: list[dict]) -> DataFrame:
-    """Registered augmentations of pixel tables, in the order given: [{'name': ..., parameters}]."""
+    """Registered augmentations of pixel tables, in the order given: [{'name': ..., parameters}].
+
+    ``when`` in a step restricts it to the pixels of that condition; ``chance`` to a seeded share of the values of column
+    ``image`` (default slice), so that an image is altered as a whole.
+    """
     for step in steps:
-        pixels = AUGMENTATIONS[step["name"]](pixels, **{k: v for k, v in step.items() if k != "name"})
+        rest = {k: v for k, v in step.items() if k not in ("name", "when", "chance", "seed", "image")}
+        f, chosen = AUGMENTATIONS[step["name"]], step.get("when")
+        if "chance" in step:
+            u = F.shiftrightunsigned(F.xxhash64(F.lit(step.get("seed", 0)).cast("bigint"), step.get("image", "slice")), 11).cast("double") / F.lit(float(2**53))
+            chosen = u < step["chance"] if chosen is None else chosen & (u < step["chance"])
+        if chosen is None:
+            pixels = f(pixels, **rest)
+        else:
+            pixels = f(pixels.filter(chosen), **rest).unionByName(pixels.filter(~F.coalesce(chosen, F.lit(False))))
     return pixels
 
 
+def measure(name: str, *tables, **parameters) -> DataFrame:
+    """A registered metric by its name."""
+    if name not in METRICS:
+        raise ValueError(f"unknown metric {name!r}; known: {', '.join(sorted(METRICS))}")
+    return METRICS[name](*tables, **parameters)
+
+
 def infer(images: DataFrame, model: str, schema: str, **options) -> DataFrame:
     """Output of a registered model: a factory of a function from pandas batches to pandas batches, made once for each task."""
     make = MODELS[model]

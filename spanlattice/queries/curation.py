@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanlattice.operators import curate
 from spanlattice.queries import Registry
 from spanlattice.session import Scratch, table
+from spanlattice.sources import tables
 
 registry = Registry()
 
@@ -92,7 +93,7 @@ def hashes64(spark, sf_dir):
 select * from d where dist <= {DISTANCE}""")
 def hash_pairs_64(spark, sf_dir):
     """hash_pairs over all elements; hash_pairs itself is held to the first 32 by its SQL."""
-    return curate.hash_pairs(curate.hash_classes(hashes64(spark, sf_dir), "id", "h"), DISTANCE, BITS)
+    return curate.hash_pairs(curate.hash_classes(hashes64(spark, sf_dir), "id", "h"), DISTANCE, BITS, together=2)
 
 
 @registry.query("hash_classes_64", f"with {_HASH64}, {_CLASSES64} select hs.id, cl.id class_id from hs join cl using (h1, h2)")
@@ -106,7 +107,7 @@ def dedup_greedy(spark, sf_dir):
     """Greedy exemplars by the distance of hashes of all elements: no two kept ones are close, and every other one is close to a kept one."""
     scratch = Scratch(spark, "dedup")
     classes = scratch.keep(curate.hash_classes(hashes64(spark, sf_dir), "id", "h"))
-    return curate.exemplars(classes.filter("id = class_id"), "id", curate.hash_pairs(classes, DISTANCE, BITS), scratch)
+    return curate.exemplars(classes.filter("id = class_id"), "id", curate.hash_pairs(classes, DISTANCE, BITS, together=2), scratch)
 
 
 @registry.query("sample_weights", "with c as (select event_type, count(*) n from events group by 1), w as (select *, pow(1.0 / n, 0.3) w from c) select event_type, n, round(w / sum(w) over (), 9) weight from w")
@@ -116,8 +117,7 @@ def sample_weights(spark, sf_dir):
 
 @registry.query("majority_class", """with c as (select user_id, event_type, count(*) n from events group by 1, 2), r as (select *, row_number() over (partition by user_id order by n desc, event_type) k from c) select user_id, event_type from r where k = 1""")
 def majority_class(spark, sf_dir):
-    n = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("user_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "event_type")).alias("x")).select("user_id", "x.event_type")
+    return curate.majority(table(spark, sf_dir, "events"), ["user_id"], "event_type")
 
 
 @registry.query("weighted_sample")
@@ -141,6 +141,39 @@ def quality_filter(spark, sf_dir):
     return curate.quality_filter(e, F.col("value"), 40.0, "event_id", 0.0).select("event_id", "event_type", F.col("kept").alias("good"))
 
 
+@registry.query("quality_share", "select event_id, cast(value >= 40 or event_id % 10 < 3 as boolean) kept from events")
+def quality_share(spark, sf_dir):
+    """Three tenths of what is below the threshold stay, drawn by the id's last digit."""
+    e = table(spark, sf_dir, "events").select("event_id", "value")
+    return curate.quality_filter(e, F.col("value"), 40.0, "event_id", 0.3, draw=(F.col("event_id") % 10) / 10).select("event_id", "kept")
+
+
+@registry.query("sample_sizes", "select user_id, least(count(*), 50) n from events group by 1")
+def sample_sizes(spark, sf_dir):
+    """How many events of each user sample_per_group takes, each once."""
+    return sample_per_group(spark, sf_dir).groupBy("user_id").agg(F.countDistinct("event_id").alias("n"))
+
+
+@registry.query("dedup_by_id", f"""with recursive {_HASH64}, {_CLASSES64}, o as (select id, h1, h2, row_number() over (order by id) k from cl),
+g(k, kept) as (select cast(0 as bigint), [{{'id': cast(-1 as bigint), 'h1': cast(null as bigint), 'h2': cast(null as bigint)}}]
+  union all select o.k, case when len(list_filter(kept, lambda x: bit_count(xor(x.h1, o.h1)) + bit_count(xor(x.h2, o.h2)) <= 20)) > 0 then kept else list_append(kept, {{'id': o.id, 'h1': cast(o.h1 as bigint), 'h2': cast(o.h2 as bigint)}}) end from g join o on o.k = g.k + 1)
+select x.id from (select unnest(kept) x from g where k = (select max(k) from o)) where x.id >= 0""")
+def dedup_by_id(spark, sf_dir):
+    """Greedy exemplars in the order of the ids, at a distance of 20 of 64."""
+    scratch = Scratch(spark, "dedup")
+    classes = scratch.keep(curate.hash_classes(hashes64(spark, sf_dir), "id", "h"))
+    return curate.exemplars(classes.filter("id = class_id"), "id", curate.hash_pairs(classes, 20, BITS), scratch, by_id=True)
+
+
+@registry.query("csv_scan", "select event_id, user_id, event_type, value from events")
+def csv_scan(spark, sf_dir):
+    """Events written as CSV and read back under a given schema."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    at = f"{Scratch(spark, 'csv').base}/events"
+    tables.write_csv(e, at)
+    return tables.read_csv(spark, at, "event_id bigint, user_id bigint, event_type string, value double")
+
+
 @registry.query("merge_directories", """with s as (select l_partkey k, max(l_quantity) v from lineitem where l_returnflag = 'R' group by 1), d as (select l_partkey k, min(l_quantity) v from lineitem where l_returnflag = 'A' group by 1)
 select coalesce(s.k, d.k) k, cast(case when s.k is not null then s.v else d.v end as double) v, case when s.k is not null and d.k is not null then 'both' when s.k is not null then 'source' else 'target' end origin from s full join d on s.k = d.k""")
 def merge_directories(spark, sf_dir):
@@ -191,4 +224,4 @@ select k, 'both' side from (select k from a intersect select k from b) union all
 def name_sets(spark, sf_dir):
     a = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_nationkey").alias("k"))
     b = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_nationkey").alias("k"))
-    return a.intersect(b).withColumn("side", F.lit("both")).unionAll(a.distinct().subtract(b).withColumn("side", F.lit("only")))
+    return curate.name_sets(a, b, "k")

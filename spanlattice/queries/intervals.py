@@ -18,6 +18,8 @@ registry = Registry()
 APART = 1 << 36
 #: So do the boxes, with fewer slices than this each.
 DEEP = 1 << 20
+#: Bucket widths of the interval joins.
+WIDTHS = (64, 4096, 1 << 18)
 
 # --- shared inputs: points and runs of lineitem, and the tracked objects in normal form
 
@@ -179,7 +181,7 @@ def rle_iou_pairs(spark, sf_dir):
     r = r.join(objects(spark, sf_dir).select(F.col("object_id").alias("node"), "src"), "node")
     a = r.select(F.col("node").alias("id1"), F.col("src").alias("s1"), "s", "e")
     b = r.select(F.col("node").alias("id2"), F.col("src").alias("s2"), "s", "e")
-    met = runs.pair_overlaps(a, ["id1", "s1"], b, ["id2", "s2"], on=(F.col("id1") < F.col("id2")) & (F.col("s1") != F.col("s2")), bucket=64)
+    met = runs.pair_overlaps(a, ["id1", "s1"], b, ["id2", "s2"], on=(F.col("id1") < F.col("id2")) & (F.col("s1") != F.col("s2")), bucket=WIDTHS)
     return met.select("id1", "id2", "inter", F.round("iou", 9).alias("iou"), F.round("ioa", 9).alias("ioa"))
 
 
@@ -220,7 +222,7 @@ def filter_objects(spark, sf_dir):
 @registry.query("overlap_graph", f"with {_OBJECTS}, {_PAIRS} select id1 u, id2 v, round(iou, 9) iou, inter overlap from pairs")
 def overlap_graph(spark, sf_dir):
     o, r = graph_inputs(spark, sf_dir)
-    e = graph.overlap_edges(o, r, None, bucket=64)
+    e = graph.overlap_edges(o, r, None, bucket=WIDTHS)
     return e.select("u", "v", F.round("iou", 9).alias("iou"), "overlap")
 
 
@@ -259,7 +261,7 @@ def cluster_graph_edges(spark, sf_dir):
     """Mean edges between clusters of objects whose IoU is above 0.5."""
     scratch = Scratch(spark, "clusters")
     o, r = graph_inputs(spark, sf_dir)
-    e = scratch.keep(graph.overlap_edges(o, r, None, bucket=64))
+    e = scratch.keep(graph.overlap_edges(o, r, None, bucket=WIDTHS))
     members = graph.with_components(o.select("node"), e.filter("iou > 0.5"), scratch).select("node", F.col("component").alias("cluster"))
     return graph.cluster_edges(members, e).select("c1", "c2", F.round("iou", 6).alias("iou"), F.round("overlap", 6).alias("overlap"))
 
@@ -268,7 +270,7 @@ def cluster_graph_edges(spark, sf_dir):
 def consensus_runs(spark, sf_dir):
     """Instances that two of a data set's three trackers agree on. By the runs alone: the stored boxes may be null or disagree with them."""
     o, r = graph_inputs(spark, sf_dir)
-    return consensus.Consensus(o, r, 3, votes=2, cluster_iou=0.75, bucket=64, screen=False).runs
+    return consensus.Consensus(o, r, 3, votes=2, cluster_iou=0.75, bucket=WIDTHS, screen=False).runs
 
 
 @registry.query("semantic_consensus", f"with {_OBJECTS}, {_vote_sql('obj_runs', 'src, dataset_id, class_id', 1, 'one')}, {_vote_sql('one', 'dataset_id, class_id', 2)} select * from voted")
@@ -292,7 +294,7 @@ def tile_stitch(spark, sf_dir):
     """Objects of different sources that share an index made one: the least object of each, its runs and its size."""
     o, r = graph_inputs(spark, sf_dir)
     scratch = Scratch(spark, "stitch")
-    e = graph.overlap_edges(o, r, None, bucket=64)
+    e = graph.overlap_edges(o, r, None, bucket=WIDTHS)
     c = scratch.keep(graph.with_components(o.select("node"), e, scratch))
     joined = runs.join_ranges(r.join(c, "node").select("component", "s", "e"), ["component"])
     return joined.groupBy("component").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.col("e") - F.col("s")).alias("area"))
@@ -311,7 +313,7 @@ named as (select component, (select min(label) from obj) + row_number() over (or
 def tile_stitch_boxed(spark, sf_dir):
     """The same with boxes as screen (objects without a box stand alone), numbered from the least label."""
     o, r = graph_inputs(spark, sf_dir)
-    return consensus.Stitch(o, r, dims=boxes.D3, bucket=64).runs
+    return consensus.Stitch(o, r, dims=boxes.D3, bucket=WIDTHS).runs
 
 
 @registry.query("semantic_stitch", f"with {_OBJECTS}, one as (select class_id, dataset_id * {APART} + s s, dataset_id * {APART} + e e from obj_runs), {_vote_sql('one', 'class_id', 1)} select * from voted")
@@ -339,7 +341,7 @@ select lab, src, cast(tile as integer) tile, greatest(r.s, t.s) - t.s s, least(r
 def tile_clip(spark, sf_dir):
     """Runs cut to windows of 512 that begin every 448 indices, up to the table's last index (the SQL's 400 end at 179,264)."""
     windows = spark.range(-(-line_length(spark, sf_dir) // 448)).select(F.col("id").cast("int").alias("tile"), (F.col("id") * 448).alias("s"), (F.col("id") * 448 + 512).alias("e"))
-    return tiles.clip_to_windows(line_runs(spark, sf_dir), windows, ["src", "lab"], bucket=64)
+    return tiles.clip_to_windows(line_runs(spark, sf_dir), windows, ["src", "lab"], bucket=WIDTHS)
 
 
 @registry.query("tile_round_trip", f"with {_LINE_RUNS} select * from line_runs where s < 1000000")
@@ -469,7 +471,7 @@ select dataset_id, class_id, round(count(*) filter (c = 2) / cast(count(*) as do
 def semantic_iou(spark, sf_dir):
     """Agreement of the trackers across z and y, for each data set and class."""
     r = object_runs(spark, sf_dir)
-    got = metrics.semantic_iou(r.filter("axis = 'xy'"), r.filter("axis = 'xz'"), ["dataset_id", "class_id"], bucket=64)
+    got = metrics.semantic_iou(r.filter("axis = 'xy'"), r.filter("axis = 'xz'"), ["dataset_id", "class_id"], bucket=WIDTHS)
     return got.select("dataset_id", "class_id", F.round("iou", 9).alias("iou"))
 
 
@@ -478,7 +480,7 @@ def tracker_match(spark, sf_dir):
     """The best one-to-one assignment of objects across two trackers of each data set and class."""
     r = object_runs(spark, sf_dir)
     side = lambda axis, c: r.filter(F.col("axis") == axis).select("dataset_id", "class_id", F.col("object_id").alias(c), "s", "e")
-    return metrics.match_instances(side("xy", "gt"), side("xz", "pred"), ["dataset_id", "class_id"], Scratch(spark, "match"), bucket=64)
+    return metrics.match_instances(side("xy", "gt"), side("xz", "pred"), ["dataset_id", "class_id"], Scratch(spark, "match"), bucket=WIDTHS)
 
 
 @registry.query("tracker_json", f"""with {_OBJECTS}, {_TEXT}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlattice.operators import image, metrics, watershed
+from spanlattice.plans import registry as registry_of
 from spanlattice.queries import Registry
 from spanlattice.session import Scratch, table
 from spanlattice.sources import arrays, images, volume
@@ -52,9 +53,7 @@ def crop_binarize(spark, sf_dir):
 
 @registry.query("drop_small_regions", f"with {_PIXELS} select slice, y, x, pan from px where (slice, pan) in (select slice, pan from px group by 1, 2 having count(*) >= 20)")
 def drop_small_regions(spark, sf_dir):
-    px = pixels(spark, sf_dir)
-    big = px.groupBy("slice", "pan").count().filter("count >= 20").select("slice", "pan")
-    return px.join(big, ["slice", "pan"], "left_semi").select("slice", "y", "x", "pan")
+    return watershed.drop_small(pixels(spark, sf_dir), ["slice", "pan"], 20).select("slice", "y", "x", "pan")
 
 
 @registry.query("axis_slices", f"with {_PIXELS} select y slice, slice y, x, pan from px")
@@ -100,11 +99,8 @@ def softmax(spark, sf_dir):
 r as (select *, row_number() over (partition by slice order by u desc, y, x) k from u) select slice, y, x, round(u, 9) u from r where k <= 50""")
 def uncertain_points(spark, sf_dir):
     """The 50 least certain pixels of each slice."""
-    from pyspark.sql import Window as W
-
     u = _sem(spark, sf_dir).withColumn("u", image.uncertainty(F.col("p")))
-    top = u.withColumn("k", F.row_number().over(W.partitionBy("slice").orderBy(F.desc("u"), "y", "x"))).filter("k <= 50")
-    return top.select("slice", "y", "x", F.round("u", 9).alias("u"))
+    return image.least_certain(u, ["slice"], "u", 50, ["y", "x"]).select("slice", "y", "x", F.round("u", 9).alias("u"))
 
 
 @registry.query("nms_peaks", f"""with {_DENSE}, a as (select *, max(v) over (partition by slice, y order by x range between 3 preceding and 3 following) m from dense),
@@ -146,10 +142,11 @@ d as (select k.c_custkey, center, row_number() over (partition by k.c_custkey or
   where sqrt(pow(cy - c_acctbal, 2) + pow(cx - c_custkey, 2)) < 100000)
 select c_custkey, center from d where r = 1""")
 def nearest_center(spark, sf_dir):
+    """On a grid with cells of 500."""
     cu = table(spark, sf_dir, "customer")
     centers = cu.groupBy("c_nationkey", (F.col("c_custkey") % 25).alias("center")).agg(F.avg("c_acctbal").alias("cy"), (F.avg("c_custkey") / 10).alias("cx"))
     points = cu.select("c_nationkey", "c_custkey", F.col("c_acctbal").alias("py"), F.col("c_custkey").cast("double").alias("px"))
-    return image.nearest_center(points, centers, ["c_nationkey"]).select("c_custkey", "center")
+    return image.nearest_center(points, centers, ["c_nationkey"], cell=500.0).select("c_custkey", "center")
 
 
 _MERGE = """s as (select slice, y, x, pan // 1000 sem, case when pan // 1000 = 3 then 0 else (y // 16) * 8 + x // 16 + 1 end ins from px)"""
@@ -191,7 +188,7 @@ def contour_watershed(spark, sf_dir):
 @registry.query("orthoplane_sum", f"with {_PIXELS}, {_SEM} select y, x, cast(sum(cast(floor(85 * p[1]) as integer)) as bigint) q from sem group by 1, 2")
 def orthoplane_sum(spark, sf_dir):
     """Quantised probabilities added up over the stacks (coefficient 255 // 3)."""
-    return _sem(spark, sf_dir).groupBy("y", "x").agg(F.sum(F.floor(F.col("p")[0] * 85).cast("int")).alias("q"))
+    return volume.quantised_sum(_sem(spark, sf_dir).withColumn("p0", F.col("p")[0]), ["y", "x"], "p0", 3, "q")
 
 
 @registry.query("pad", f"with {_DENSE} select slice, y, x, label from dense union all select s.slice, y, x, 0 from (select distinct slice from dense) s, (select cast(unnest(range(0, 112)) as integer) y) y, (select cast(unnest(range(0, 64)) as integer) x) x where y >= 97")
@@ -228,7 +225,7 @@ def point_sample(spark, sf_dir):
 select slice, class, round((count(*) filter (gt = pred) + 0.00001) / (count(*) + 0.00001), 9) iou from s group by 1, 2""")
 def dense_iou(spark, sf_dir):
     q = dense(spark, sf_dir).select("slice", F.col("label").alias("gt"), (F.col("v").cast("int") % 5).alias("pred"))
-    return metrics.dense_iou(q, ["slice"], "gt", "pred").select("slice", "class", F.round("iou", 9).alias("iou"))
+    return registry_of.measure("dense_iou", q, ["slice"], "gt", "pred").select("slice", "class", F.round("iou", 9).alias("iou"))
 
 
 # --- slice streams: the events of a user in order
@@ -258,8 +255,8 @@ def ema(spark, sf_dir):
 
 @registry.query("meters", "select event_type, count(*) n, round(avg(value), 6) mean, round(sum(value), 4) total from events group by 1")
 def meters(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.sum("value"), 4).alias("total"))
+    got = metrics.averages(table(spark, sf_dir, "events"), ["event_type"], "value")
+    return got.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("total", 4).alias("total"))
 
 
 _LOSS = "l as (select event_type, event_id, value / 100 - 0.5 logit, event_id % 2 t from events), b as (select *, greatest(logit, 0) - logit * t + ln(1 + exp(-abs(logit))) loss from l)"
@@ -270,7 +267,23 @@ select event_type, round(avg(loss) filter (k <= floor(n * 0.2)), 6) loss from r
 def topk_loss(spark, sf_dir):
     """Binary cross entropy, mean of the hardest fifth."""
     e = table(spark, sf_dir, "events").select("event_type", "event_id", metrics.bce(F.col("value") / 100 - 0.5, (F.col("event_id") % 2).cast("double")).alias("loss"))
-    return metrics.hardest_mean(e, ["event_type"], "loss", ["event_id"]).select("event_type", F.round("loss", 6).alias("loss"))
+    return metrics.hardest_mean(e, ["event_type"], "loss").select("event_type", F.round("loss", 6).alias("loss"))
+
+
+@registry.query("point_loss", f"with {_LOSS} select event_type, round(avg(loss), 6) loss from b group by 1")
+def point_loss(spark, sf_dir):
+    """Binary cross entropy at points, each event one."""
+    e = table(spark, sf_dir, "events").select("event_type", (F.col("value") / 100 - 0.5).alias("logit"), (F.col("event_id") % 2).alias("target"))
+    return metrics.point_loss(e, ["event_type"], "logit", "target").withColumn("loss", F.round("loss", 6))
+
+
+@registry.query("augmented", f"""with {_DENSE}, f as (select slice, x y, 96 - y x, v from dense where slice % 2 = 0 union all select slice, y, x, v from dense where slice % 2 = 1),
+b as (select slice, y, x, round(greatest(0, least(255, (v - 127.5) * 1.5 + 127.5 + 25.5)), 6) v from f) select slice, cast(y - 8 as integer) y, cast(x - 8 as integer) x, v from b where y >= 8 and y < 56 and x >= 8 and x < 56""")
+def augmented(spark, sf_dir):
+    """Even slices turned by a quarter, contrast and brightness changed, a window cut out."""
+    steps = [{"name": "turn", "height": 97, "when": F.col("slice") % 2 == 0}, {"name": "brightness_contrast", "brightness": 0.1, "contrast": 0.5}, {"name": "window", "y": 8, "x": 8, "height": 48, "width": 48}]
+    out = registry_of.augment(dense(spark, sf_dir).select("slice", "y", "x", F.col("v").alias("value")), steps)
+    return out.select("slice", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.round("value", 6).alias("v"))
 
 
 @registry.query("panoptic_loss", f"""with {_LOSS}, x as (select event_type, event_id, value / 100 h, (event_id % 10) / 10.0::double g, (event_id % 3) / 3.0::double o, event_id % 2 t, loss from events join b using (event_type, event_id)),
@@ -280,7 +293,7 @@ select event_type, round(mse, 6) mse, round(l1, 6) l1, round(ce + 200 * mse + 0.
 def panoptic_loss(spark, sf_dir):
     n = lambda k: (F.col("event_id") % k).cast("double")
     e = table(spark, sf_dir, "events").select("event_type", "event_id", (F.col("value") / 100).alias("h"), (n(10) / 10).alias("g"), (n(3) / 3).alias("o"), n(2).alias("t"), metrics.bce(F.col("value") / 100 - 0.5, n(2)).alias("ce"))
-    ce = metrics.hardest_mean(e, ["event_type"], "ce", ["event_id"])
+    ce = metrics.hardest_mean(e, ["event_type"], "ce")
     rest = e.groupBy("event_type").agg(metrics.squared_error("h", "g").alias("mse"), metrics.masked_l1(["h"], ["o"], "t").alias("l1"))
     out = rest.join(ce, "event_type").withColumn("total", metrics.panoptic_loss(F.col("ce"), F.col("mse"), F.col("l1")))
     return out.select("event_type", F.round("mse", 6).alias("mse"), F.round("l1", 6).alias("l1"), F.round("total", 4).alias("total"))
@@ -326,6 +339,6 @@ select event_type, round(avg(loss) filter (k <= floor(n * 0.15)) + avg(loss), 6)
 def contour_loss(spark, sf_dir):
     """Hardest 15 % of one loss, all of the other."""
     e = table(spark, sf_dir, "events").select("event_type", "event_id", metrics.bce(F.col("value") / 100 - 0.5, (F.col("event_id") % 2).cast("double")).alias("loss"))
-    hard = metrics.hardest_mean(e, ["event_type"], "loss", ["event_id"], 0.15)
-    every = metrics.hardest_mean(e, ["event_type"], "loss", ["event_id"], 1.0).withColumnRenamed("loss", "other")
+    hard = metrics.hardest_mean(e, ["event_type"], "loss", 0.15)
+    every = metrics.hardest_mean(e, ["event_type"], "loss", 1.0).withColumnRenamed("loss", "other")
     return hard.join(every, "event_type").select("event_type", F.round(metrics.contour_loss(F.col("loss"), F.col("other")), 6).alias("total"))

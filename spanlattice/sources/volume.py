@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
-from spanlattice.operators.runs import BLOCK, block_of, cut_at_edges
+from spanlattice.operators.runs import block_of, cut_at_edges
 
 SCHEMA = "cz int, cy int, cx int, z int, y int, x int, value bigint"
 
@@ -96,11 +96,44 @@ def downsampled(pixels: DataFrame, factor: int) -> DataFrame:
     return pixels.filter(keep).withColumn("y", (F.col("y") / factor).cast("int")).withColumn("x", (F.col("x") / factor).cast("int"))
 
 
-def fill_last_wins(runs: DataFrame, label: str, order: str, block: int = BLOCK) -> DataFrame:
-    """(idx, label): ranges painted in ``order`` (ties: by label), where the last one wins; shuffled by block of the index space with the range, not its voxels, as unit."""
-    cut = cut_at_edges(runs, [order, label], block)
-    painted = cut.repartition("block").select("block", order, label, F.explode(F.sequence("s", F.col("e") - 1)).alias("idx"))
-    return painted.groupBy("block", "idx").agg(F.max(F.struct(order, label)).alias("_x")).select("idx", F.col(f"_x.{label}").alias(label))
+def quantised_sum(voxels: DataFrame, at: list[str], probability: str, n_stacks: int, name: str) -> DataFrame:
+    """(at, name): probabilities of ``n_stacks`` stacks, each quantised to 255 // n_stacks steps, added up per place."""
+    return voxels.groupBy(*at).agg(F.sum(F.floor(F.col(probability) * (255 // n_stacks)).cast("int")).alias(name))
+
+
+#: Indices of a line that one task paints at once: two arrays of so many numbers.
+PAINTED = 1 << 20
+
+
+def fill_last_wins(runs: DataFrame, label: str, order: str, block: int = PAINTED) -> DataFrame:
+    """(idx, label): ranges painted in ``order`` (ties: by label), where the last one wins; ``label`` is a whole number.
+
+    Ranges, not their voxels, are shuffled, by block of the index space, and painted one over the other on the block's line.
+    """
+    cut = cut_at_edges(runs.select(order, F.col(label).cast("bigint").alias(label), "s", "e").filter(F.col(label).isNotNull()), [order, label], block)
+
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line, there, now = np.zeros(block, np.int64), np.zeros(block, bool), None
+
+        def painted() -> pa.RecordBatch:
+            at = np.flatnonzero(there)
+            out = pa.RecordBatch.from_arrays([pa.array(at + now * block), pa.array(line[at])], ["idx", label])
+            there[:] = False
+            return out
+
+        for b in batches:
+            for k, x, s, e in zip(*(b.column(j).to_pylist() for j in range(4))):
+                if k != now:
+                    if now is not None:
+                        yield painted()
+                    now = k
+                line[s - k * block : e - k * block] = x
+                there[s - k * block : e - k * block] = True
+        if now is not None:
+            yield painted()
+
+    sorted_ = cut.repartition("block").sortWithinPartitions("block", order, label).select("block", label, "s", "e")
+    return sorted_.mapInArrow(paint, f"idx bigint, `{label}` bigint")
 
 
 def chunk_runs(runs: DataFrame, keys: list[str], shape: tuple[int, int, int], chunks: tuple[int, int, int]) -> DataFrame:
@@ -141,9 +174,11 @@ def write_blocks(runs: DataFrame, label: str, order: str, path: str, shape: tupl
 
 
 def fill(runs: DataFrame, label: str, order: str, path: str, shape: tuple[int, int, int], chunks: tuple[int, int, int] | None = None, form: str = "blocks") -> None:
-    """Writes the volume that the ranges paint: as ``blocks`` (see write_blocks), or as ``parquet`` rows (idx, label)."""
+    """Writes the volume that the ranges paint: as ``blocks`` (see write_blocks; ``chunks`` bound what a task holds), or as ``parquet`` rows (idx, label)."""
     if form == "blocks":
-        write_blocks(runs, label, order, path, shape, chunks or shape)
+        if chunks is None:
+            raise ValueError("blocks need chunks")
+        write_blocks(runs, label, order, path, shape, chunks)
     elif form == "parquet":
         fill_last_wins(runs, label, order).write.mode("overwrite").parquet(path)
     else:

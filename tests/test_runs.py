@@ -72,13 +72,23 @@ def test_pair_overlaps(spark):
     sets = {n: set(rnd.choice(200, size, replace=False).tolist()) for n, size in enumerate((120, 100, 150, 5))}
     rows = [(k, s, e) for k, at in sets.items() for _, s, e in ranges(at, k)]
     df = spark.createDataFrame(rows, "a int, s bigint, e bigint")
-    got = {(r.a, r.b): r for r in runs.pair_overlaps(df, ["a"], df.withColumnRenamed("a", "b"), ["b"], bucket=3).collect()}
-    for a, x in sets.items():
-        for b, y in sets.items():
-            if x & y:
-                r = got.pop((a, b))
-                assert (r.inter, r.iou, r.ioa) == (len(x & y), pytest.approx(len(x & y) / len(x | y)), pytest.approx(len(x & y) / len(y)))
-    assert not got
+    for bucket in (3, (1, 40), (2, 3, 64)):
+        got = {(r.a, r.b): r for r in runs.pair_overlaps(df, ["a"], df.withColumnRenamed("a", "b"), ["b"], bucket=bucket).collect()}
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if x & y:
+                    r = got.pop((a, b))
+                    assert (r.inter, r.iou, r.ioa) == (len(x & y), pytest.approx(len(x & y) / len(x | y)), pytest.approx(len(x & y) / len(y)))
+        assert not got
+
+
+def test_long_and_short_ranges_meet(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(i, int(s), int(s + n)) for i, (s, n) in enumerate(zip(rnd.integers(-500, 500, 60), rnd.choice([1, 3, 30, 900], 60)))]
+    df = spark.createDataFrame(rows, "a int, s bigint, e bigint")
+    got = runs.overlaps(df, ["a"], df.withColumnRenamed("a", "b"), ["b"], bucket=(1, 8, 50)).collect()
+    want = {(a, b, max(s, t), min(e, f)) for a, s, e in rows for b, t, f in rows if max(s, t) < min(e, f)}
+    assert len(got) == len(want) and {(r.a, r.b, r.s, r.e) for r in got} == want
 
 
 def test_fill_last_wins(spark):

@@ -251,7 +251,7 @@ def test_fill_forms(spark, tmp_path):
     df = spark.createDataFrame([(0, 3, 1, 0), (2, 5, 2, 1)], "s bigint, e bigint, label bigint, order int")
     volume.fill(df, "label", "order", str(tmp_path / "p"), (1, 1, 6), form="parquet")
     assert {r.idx: r.label for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {0: 1, 1: 1, 2: 2, 3: 2, 4: 2}
-    volume.fill(df, "label", "order", str(tmp_path / "b"), (1, 1, 6))
+    volume.fill(df, "label", "order", str(tmp_path / "b"), (1, 1, 6), (1, 1, 4))
     assert volume.read_blocks(spark, str(tmp_path / "b")).count() == 5
     with pytest.raises(ValueError):
         volume.fill(df, "label", "order", "x", (1, 1, 6), form="other")
