@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Hashable, Mapping
 from heapq import heappop, heappush
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlattice.operators.graph import components
+from spanlattice.operators.grouping import by_key
 from spanlattice.session import Scratch
 
 
@@ -94,12 +94,13 @@ def assign(pairs: DataFrame, keys: list[str], left: str, right: str, weight: str
     p = scratch.keep(p.join(comp.select(F.col("v").alias("_u"), "component"), "_u").drop("_u", "_v"))
     alone = p.groupBy("component").count().filter("count = 1").select("component")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = list(zip(pdf[left], pdf[right]))
-        chosen = best_pairs(dict(zip(pairs, pdf[weight])))
-        return pdf.loc[[x in chosen for x in pairs], cols]
+    at = [["component", *cols].index(c) for c in (left, right, weight)]
+
+    def solve(rows: list[tuple]) -> list[tuple]:
+        chosen = best_pairs({(r[at[0]], r[at[1]]): r[at[2]] for r in rows})
+        return [r[1:] for r in rows if (r[at[0]], r[at[1]]) in chosen]
 
     single = p.join(alone, "component", "left_semi").select(*cols)
-    many = p.join(alone, "component", "left_anti").groupBy("component").applyInPandas(solve, p.select(*cols).schema)
+    many = by_key(p.join(alone, "component", "left_anti").select("component", *cols), "component", solve, p.select(*cols).schema)
     out = single.unionAll(many)
     return out if threshold is None else out.filter(F.col(weight) >= threshold)

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanlattice.operators.graph import components
+from spanlattice.operators.grouping import by_key
 from spanlattice.operators.numbering import number_rows
 from spanlattice.session import Scratch
 
@@ -82,13 +82,12 @@ def contour_watershed(voxels: DataFrame, seed_fg: float = 0.9, seed_bd: float =
     cells = scratch.keep(ground.join(v.select("z", "y", "x", "sem"), ["z", "y", "x"]).join(named, ["z", "y", "x"], "left"))
     seeded = cells.filter("seed is not null").select("part").distinct()
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = list(zip(pdf["z"], pdf["y"], pdf["x"]))
-        own = {c: int(s) for c, s in zip(at, pdf["seed"]) if pd.notna(s)}
-        got = flood(at, own, None if by_steps else {c: -float(s) for c, s in zip(at, pdf["sem"])})
-        return pd.DataFrame([(*c, s) for c, s in got.items()], columns=["z", "y", "x", "label"])
+    def grow(rows: list[tuple]) -> list[tuple]:
+        own = {r[1:4]: r[5] for r in rows if r[5] is not None}
+        got = flood([r[1:4] for r in rows], own, None if by_steps else {r[1:4]: -float(r[4]) for r in rows})
+        return [(*c, s) for c, s in got.items()]
 
     schema = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in ("z", "y", "x")) + ", label bigint"
-    grown = scratch.keep(cells.join(seeded, "part", "left_semi").groupBy("part").applyInPandas(grow, schema))
+    grown = scratch.keep(by_key(cells.join(seeded, "part", "left_semi").select("part", "z", "y", "x", "sem", "seed"), "part", grow, schema))
     kept = grown if min_size is None else drop_small(grown, "label", min_size)
     return kept.select("z", "y", "x", (F.col("label") + divisor).alias("label"))

@@ -1,18 +1,21 @@
-"""From slice objects of three viewing directions to consensus instances of a volume."""
+"""From predictions to slice objects, and from slice objects of three viewing directions to consensus instances of a volume."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanlattice.operators.consensus import Consensus, semantic_consensus
+from spanlattice.operators.image import harden, nearest_center, panoptic_merge, peaks
 from spanlattice.operators.numbering import number_rows
 from spanlattice.operators.runs import encode
 from spanlattice.operators.track import lift, track_backward, track_forward
 from spanlattice.plans.registry import apply_filters
 from spanlattice.session import Scratch
+from spanlattice.streaming.median import recursive_median
 
 AXES = ("xy", "xz", "yz")
 
@@ -31,6 +34,33 @@ def slice_objects(pixels: DataFrame, stack: list[str], width: int, divisor: int)
     return packed.select(*keys, F.transform("r", lambda x: x["s"]).alias("starts"), F.transform("r", lambda x: x["e"] - x["s"]).alias("runs"))
 
 
+def segment_objects(pixels: DataFrame, stack: list[str], width: int, divisor: int, things: list[int], scratch: Scratch, median_size: int = 3, threshold: float = 0.5, nms_threshold: float = 0.1, nms_kernel: int = 7, stuff_area: int = 64, cell: float | None = None) -> DataFrame:
+    """Slice objects, as slice_objects gives them, from what a model predicts: (stack, slice, y, x, sem array<double>, heat, off_y, off_x).
+
+    Class probabilities pass the recursive median along the stack, each pixel and channel its own queue, and are hardened. Peaks of the heat are
+    centres; thing pixels go to the centre nearest to where their offsets point; classes and instances are merged by slice. Class 0,
+    pixels left void, and pixels whose ``sem`` is null or empty are in no object. ``cell`` see image.nearest_center.
+    """
+    at = [*stack, "slice", "y", "x"]
+    px = pixels.select(*at, "sem", "heat", "off_y", "off_x").filter(F.size("sem") > 0)
+    if median_size > 1:
+        channels = px.select(*at, F.posexplode("sem").alias("channel", "value"))
+        smooth = recursive_median(channels, [*stack, "y", "x", "channel"], ["slice"], "value", median_size)
+        sem = smooth.groupBy(*at).agg(F.transform(F.sort_array(F.collect_list(F.struct("channel", "median"))), lambda x: x["median"]).alias("sem"))
+        px = px.drop("sem").join(sem, at)
+    # the slice of a stack is one key from here on
+    px = scratch.keep(px.select(F.struct(*stack, "slice").alias("slice"), "y", "x", harden(F.col("sem"), threshold).alias("sem"), "heat", "off_y", "off_x"))
+    found = peaks(px.select("slice", "y", "x", "heat"), "heat", nms_threshold, nms_kernel, dense=False)
+    number = F.row_number().over(W.partitionBy("slice").orderBy("y", "x"))
+    centers = scratch.keep(found.select("slice", number.alias("center"), F.col("y").cast("double").alias("cy"), F.col("x").cast("double").alias("cx")))
+    of_thing = F.col("sem").isin(things)
+    points = px.filter(of_thing).select("slice", "y", "x", "sem", (F.col("y") + F.col("off_y")).alias("py"), (F.col("x") + F.col("off_x")).alias("px"))
+    named = nearest_center(points, centers, ["slice"], cell=cell).select("slice", "y", "x", "sem", F.col("center").alias("ins"))
+    rest = px.filter(~of_thing).select("slice", "y", "x", "sem", F.lit(0).alias("ins"))
+    pan = panoptic_merge(named.unionAll(rest), divisor, things, stuff_area, 0).filter(F.col("pan") >= divisor)
+    return slice_objects(pan.select(*[F.col("slice")[c].alias(c) for c in [*stack, "slice"]], "y", "x", "pan"), stack, width, divisor)
+
+
 def track_axis(objects: DataFrame, axis: str, shape: tuple[int, int, int], divisor: int, scratch: Scratch, iou: float = 0.25, ioa: float = 0.25) -> DataFrame:
     """Runs (class_id, label, s, e) in the volume: forward and backward matching across one axis, then lifted."""
     n = plane_shape(axis, shape)[0]

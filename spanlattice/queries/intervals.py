@@ -293,11 +293,10 @@ all_runs as (select component, any_value(d) over (partition by component) d, s,
 def tile_stitch(spark, sf_dir):
     """Objects of different sources that share an index made one: the least object of each, its runs and its size."""
     o, r = graph_inputs(spark, sf_dir)
-    scratch = Scratch(spark, "stitch")
-    e = graph.overlap_edges(o, r, None, bucket=WIDTHS)
-    c = scratch.keep(graph.with_components(o.select("node"), e, scratch))
-    joined = runs.join_ranges(r.join(c, "node").select("component", "s", "e"), ["component"])
-    return joined.groupBy("component").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.col("e") - F.col("s")).alias("area"))
+    got = consensus.Stitch(o, r, dims=boxes.D3, bucket=WIDTHS, screen=False)
+    size = got.runs.groupBy("instance").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.col("e") - F.col("s")).alias("area"))
+    least = got.members.groupBy("instance").agg(F.min("node").alias("component"))
+    return size.join(least, "instance").select("component", "n_runs", "area")
 
 
 _BOXED = f"""{_OBJECTS}, {_PAIRS}, bp as (select id1, id2 from pairs join obj a on a.object_id = id1 join obj b on b.object_id = id2
@@ -333,6 +332,13 @@ def relabel(spark, sf_dir):
     return r.groupBy("keep").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e") - F.col("s")).alias("area"))
 
 
+@registry.query("merge_objects", f"""with {_OBJECTS}, m as (select object_id, min(object_id) over (partition by src, class_id, label % 10) keep from obj), kept as (select keep, s, e from own_runs r join m on m.object_id = r.object_id), {_vote_sql('kept', 'keep', 1)} select * from voted""")
+def merge_objects(spark, sf_dir):
+    """The same with their ranges made one."""
+    names = objects(spark, sf_dir).select("object_id", F.min("object_id").over(W.partitionBy("src", "class_id", F.col("label") % 10)).alias("keep"))
+    return runs.join_ranges(own_runs(spark, sf_dir).join(names, "object_id"), ["keep"])
+
+
 _TILES = "tiles as (select unnest(range(0, 400)) tile, unnest(range(0, 400)) * 448 s, unnest(range(0, 400)) * 448 + 512 e)"
 
 
