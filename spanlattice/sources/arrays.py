@@ -1,75 +1,155 @@
-"""Arrays in foreign formats: chunked array folders (version 2 of the format, nested names included) and uncompressed TIFF stacks."""
+"""Arrays in foreign formats on any file system: chunked array folders (versions 2 and 3 of the format, nested names included) and image and volume files."""
 
 from __future__ import annotations
 
-import gzip
-import itertools
 import json
-import os
-import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
-
-
-def _zstd(data: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-
-
-_DECODERS = {None: lambda b: b, "zlib": zlib.decompress, "gzip": gzip.decompress, "zstd": _zstd}
-
-
-class _Chunk(InputPartition):
-    def __init__(self, at: tuple[int, ...]):
-        self.at = at
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+
+from spanlattice.sources.formats import CODECS, array_of
+
+AXES = ("cz", "cy", "cx")
+#: Chunks that one task reads, at most.
+CHUNKS_PER_TASK = 64
+
+
+def file_system(path: str) -> tuple[FileSystem, str]:
+    """The file system of a path or address (local, HDFS, object stores), and the path in it."""
+    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+
+
+def read_file(fs: FileSystem, path: str) -> bytes | None:
+    """None if there is no such file."""
+    try:
+        with fs.open_input_stream(path) as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
+
+
+class Wanted:
+    """Which block numbers the pushed filters on cz, cy and cx leave; Spark applies the filters again."""
+
+    def __init__(self):
+        self.least, self.most, self.among = dict.fromkeys(AXES, 0), dict.fromkeys(AXES, float("inf")), {}
+
+    def learn(self, f: Filter) -> None:
+        axis = getattr(f, "attribute", (None,))[0]
+        if axis not in AXES:
+            return
+        if isinstance(f, (EqualTo, In)):
+            values = set(f.value) if isinstance(f, In) else {f.value}
+            self.among[axis] = values & self.among.get(axis, values)
+        elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+            self.least[axis] = max(self.least[axis], f.value + isinstance(f, GreaterThan))
+        elif isinstance(f, (LessThan, LessThanOrEqual)):
+            self.most[axis] = min(self.most[axis], f.value - isinstance(f, LessThan))
+
+    def has(self, at: tuple[int, ...]) -> bool:
+        return all(self.least[a] <= n <= self.most[a] and n in self.among.get(a, (n,)) for a, n in zip(AXES, at))
+
+
+class _Layout:
+    """What the array's description says, for either version: shape, chunks, type, codecs, names of chunks."""
+
+    def __init__(self, fs: FileSystem, folder: str):
+        old, new = read_file(fs, f"{folder}/.zarray"), read_file(fs, f"{folder}/zarr.json")
+        if old is None and new is None:
+            raise ValueError(f"{folder} holds no array")
+        m = json.loads(old if old is not None else new)
+        self.shape, self.prefix, self.transpose = m["shape"], "", None
+        if old is not None:
+            self.chunks, self.dtype, self.order = m["chunks"], np.dtype(m["dtype"]), m.get("order", "C")
+            self.codecs, self.separator = [(m.get("compressor") or {}).get("id")], m.get("dimension_separator", ".")
+            if m.get("filters"):
+                raise ValueError("filters are not supported")
+        else:
+            self.chunks, self.order = m["chunk_grid"]["configuration"]["chunk_shape"], "C"
+            keys = m.get("chunk_key_encoding", {"name": "default"})
+            self.separator = keys.get("configuration", {}).get("separator", "/" if keys["name"] == "default" else ".")
+            self.prefix = "c" + self.separator if keys["name"] == "default" else ""
+            names, endian = [], "<"
+            for c in m["codecs"]:
+                how = c.get("configuration", {})
+                if c["name"] == "bytes":
+                    endian = ">" if how.get("endian") == "big" else "<"
+                elif c["name"] == "transpose":
+                    self.transpose = how["order"]
+                else:
+                    names.append(c["name"])
+            self.codecs, self.dtype = names[::-1], np.dtype(m["data_type"]).newbyteorder(endian)
+        if not 2 <= len(self.shape) <= 3:
+            raise ValueError("only arrays of two or three dimensions are read")
+        if missing := [c for c in self.codecs if c not in CODECS]:
+            raise ValueError(f"compressor {missing[0]!r} is not supported")
+        self.fill = m.get("fill_value") or 0
+        self.flat = len(self.shape) == 2
+
+    def at(self, name: str) -> tuple[int, int, int] | None:
+        """Block numbers of a chunk's name below the folder; None for other files."""
+        parts = name[len(self.prefix) :].split(self.separator) if name.startswith(self.prefix) else []
+        if len(parts) != len(self.shape) or not all(p.isdigit() for p in parts):
+            return None
+        return (0,) * self.flat + tuple(map(int, parts))
+
+    def block(self, raw: bytes, at: tuple[int, int, int]) -> np.ndarray:
+        for c in self.codecs:
+            raw = CODECS[c](raw)
+        chunks = self.chunks if self.transpose is None else [self.chunks[k] for k in self.transpose]
+        block = np.frombuffer(raw, self.dtype).reshape(chunks, order=self.order)
+        block = block if self.transpose is None else block.transpose(np.argsort(self.transpose))
+        at, shape, sizes = (at[1:], self.shape, self.chunks) if self.flat else (at, self.shape, self.chunks)
+        block = block[tuple(slice(0, min(c, s - a * c)) for a, c, s in zip(at, sizes, shape))]  # chunks at the edges are stored whole
+        return block[None] if self.flat else block
+
+
+class _Chunks(InputPartition):
+    def __init__(self, found: list[tuple[tuple[int, int, int], str]]):
+        self.found = found
 
 
 class _ChunkReader(DataSourceReader):
     def __init__(self, folder: str):
-        self.folder = folder
-        with open(os.path.join(folder, ".zarray")) as f:
-            self.meta = json.load(f)
-        if len(self.meta["shape"]) != 3:
-            raise ValueError("only arrays of three dimensions are read")
-        self.codec = (self.meta.get("compressor") or {}).get("id")
-        if self.codec not in _DECODERS or self.meta.get("filters"):
-            raise ValueError(f"compressor {self.codec!r} or filters are not supported")
-        self.wanted: dict[str, int] = {}
+        self.folder, self.wanted = folder, Wanted()
+        self.layout = _Layout(*file_system(folder))
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("cz",), ("cy",), ("cx",)):
-                self.wanted[f.attribute[0]] = f.value
+            self.wanted.learn(f)
             yield f
 
     def partitions(self):
-        counts = [-(-s // c) for s, c in zip(self.meta["shape"], self.meta["chunks"])]
-        sep = self.meta.get("dimension_separator", ".")
-        grid = itertools.product(*[[self.wanted[a]] if a in self.wanted else range(n) for a, n in zip(("cz", "cy", "cx"), counts)])
-        return [_Chunk(at) for at in grid if os.path.exists(os.path.join(self.folder, sep.join(map(str, at))))]
-
-    def read(self, partition: _Chunk) -> Iterator[pa.RecordBatch]:
-        m, at = self.meta, partition.at
-        with open(os.path.join(self.folder, m.get("dimension_separator", ".").join(map(str, at))), "rb") as f:
-            raw = _DECODERS[self.codec](f.read())
-        block = np.frombuffer(raw, m["dtype"]).reshape(m["chunks"], order=m.get("order", "C"))
-        own = [min(c, s - a * c) for a, c, s in zip(at, m["chunks"], m["shape"])]
-        block = block[: own[0], : own[1], : own[2]]  # chunks at the edges are stored whole
-        z, y, x = np.nonzero(block)
-        cols = [np.full(len(z), a, np.int32) for a in at] + [(v + a * c).astype(np.int32) for v, a, c in zip((z, y, x), at, m["chunks"])] + [block[z, y, x].astype(np.float64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cz", "cy", "cx", "z", "y", "x", "value"])
+        fs, root = file_system(self.folder)
+        found = []
+        for info in fs.get_file_info(FileSelector(root, recursive=self.layout.separator == "/")):  # a listing, not a question for each chunk
+            at = self.layout.at(info.path[len(root.rstrip("/")) + 1 :]) if info.type == FileType.File else None
+            if at is not None and self.wanted.has(at):
+                found.append((at, info.path))
+        found.sort()
+        return [_Chunks(found[k : k + CHUNKS_PER_TASK]) for k in range(0, len(found), CHUNKS_PER_TASK)]
+
+    def read(self, partition: _Chunks) -> Iterator[pa.RecordBatch]:
+        fs, _ = file_system(self.folder)
+        sizes = [1] * self.layout.flat + list(self.layout.chunks)
+        for at, path in partition.found:
+            raw = read_file(fs, path)
+            if raw is None:
+                continue
+            block = self.layout.block(raw, at)
+            z, y, x = np.nonzero(block != self.layout.fill)
+            cols = [np.full(len(z), a, np.int32) for a in at] + [(v + a * c).astype(np.int32) for v, a, c in zip((z, y, x), at, sizes)] + [block[z, y, x].astype(np.float64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*AXES, "z", "y", "x", "value"])
 
 
 class ChunkedArray(DataSource):
-    """spark.read.format("chunked").option("key", "em/raw").load(folder): one row for each voxel that is not 0; absent chunks are 0."""
+    """spark.read.format("chunked").option("key", "em/raw").load(folder): one row for each voxel that is not the fill value; absent chunks are all of it."""
 
     @classmethod
     def name(cls):
@@ -79,52 +159,24 @@ class ChunkedArray(DataSource):
         return "cz int, cy int, cx int, z int, y int, x int, value double"
 
     def reader(self, schema):
-        return _ChunkReader(os.path.join(self.options["path"], *self.options.get("key", "").split("/")))
+        return _ChunkReader("/".join([self.options["path"].rstrip("/"), *[k for k in self.options.get("key", "").split("/") if k]]))
 
 
 def read_chunked(spark: SparkSession, path: str) -> DataFrame:
-    """``path`` is a folder, or a folder and the array's nested name in it after a comma; filters on cz, cy, cx prune chunks."""
+    """``path`` is a folder, or a folder and the array's nested name in it after a comma; filters on cz, cy, cx (=, <, >, in) prune chunks."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ChunkedArray)
     folder, _, key = path.partition(",")
     return spark.read.format("chunked").option("key", key).load(folder)
 
 
-def tiff_pages(data: bytes) -> list[np.ndarray]:
-    """The pages of an uncompressed grey TIFF of 8, 16 or 32 bits a pixel."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise ValueError("not a TIFF")
-    sizes = {1: "B", 3: "H", 4: "I"}
-    at, pages = struct.unpack(order + "I", data[4:8])[0], []
-    while at:
-        n = struct.unpack(order + "H", data[at : at + 2])[0]
-        tags: dict[int, tuple] = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack(order + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
-            if kind in sizes:
-                form = f"{order}{count}{sizes[kind]}"
-                where = at + 10 + 12 * k
-                if struct.calcsize(form) > 4:
-                    where = struct.unpack(order + "I", data[where : where + 4])[0]
-                tags[tag] = struct.unpack(form, data[where : where + struct.calcsize(form)])
-        if tags.get(259, (1,))[0] != 1 or tags.get(277, (1,))[0] != 1:
-            raise ValueError("only uncompressed grey pages are read")
-        bits, (w,), (h,) = tags.get(258, (1,))[0], tags[256], tags[257]
-        raw = b"".join(data[a : a + b] for a, b in zip(tags[273], tags[279]))
-        kind = "f" if tags.get(339, (1,))[0] == 3 else "u"
-        pages.append(np.frombuffer(raw, np.dtype(f"{kind}{bits // 8}").newbyteorder(order))[: h * w].reshape(h, w))
-        at = struct.unpack(order + "I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
-    return pages
-
-
-def read_tiff(spark: SparkSession, path: str) -> DataFrame:
-    """(path, z, y, x, value) of the pixels that are not 0; a file that cannot be read is an error."""
+def read_volumes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, z, y, x, value) of the pixels that are not 0 of TIFF, PNG, MRC, NRRD and NIfTI files; a file that cannot be read is an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, data in zip(pdf["path"], pdf["content"]):
-                for k, page in enumerate(tiff_pages(data)):
+                for k, page in enumerate(array_of(data, name)):
                     y, x = np.nonzero(page)
                     yield pd.DataFrame({"path": name, "z": np.full(len(y), k, np.int32), "y": y.astype(np.int32), "x": x.astype(np.int32), "value": page[y, x].astype(np.float64)})
 

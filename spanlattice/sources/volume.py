@@ -7,17 +7,18 @@ block's own place in the grid. The reader gives one partition for each block and
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from spanlattice.operators.runs import block_of, cut_at_edges
+from spanlattice.sources.arrays import Wanted, file_system, read_file
 
 SCHEMA = "cz int, cy int, cx int, z int, y int, x int, value bigint"
 
@@ -30,24 +31,25 @@ class _Block(InputPartition):
 class _BlockReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
-        self.wanted: dict[str, int] = {}
+        self.wanted = Wanted()
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("cz",), ("cy",), ("cx",)):
-                self.wanted[f.attribute[0]] = f.value
+            self.wanted.learn(f)
             yield f
 
     def partitions(self):
-        found = [tuple(map(int, n.split("."))) for n in sorted(os.listdir(self.path)) if n.count(".") == 2 and n.replace(".", "").isdigit()]
-        return [_Block(at) for at in found if all(at["zyx".index(c[1])] == v for c, v in self.wanted.items())]
+        fs, root = file_system(self.path)
+        names = sorted(info.base_name for info in fs.get_file_info(FileSelector(root)))
+        found = [tuple(map(int, n.split("."))) for n in names if n.count(".") == 2 and n.replace(".", "").isdigit()]
+        return [_Block(at) for at in found if self.wanted.has(at)]
 
     def read(self, partition: _Block) -> Iterator[pa.RecordBatch]:
-        with open(os.path.join(self.path, "volume.json")) as f:
-            meta = json.load(f)
+        fs, root = file_system(self.path)
+        meta = json.loads(read_file(fs, f"{root}/volume.json"))
         at, chunks = partition.at, meta["chunks"]
         own = [min(c, s - a * c) for a, c, s in zip(at, chunks, meta["shape"])]
-        block = np.fromfile(os.path.join(self.path, ".".join(map(str, at))), meta["dtype"]).reshape(own)
+        block = np.frombuffer(read_file(fs, f"{root}/" + ".".join(map(str, at))), meta["dtype"]).reshape(own)
         z, y, x = np.nonzero(block)
         n = len(z)
         cols = [np.full(n, a, np.int32) for a in at] + [(v + a * c).astype(np.int32) for v, a, c in zip((z, y, x), at, chunks)] + [block[z, y, x].astype(np.int64)]
@@ -151,11 +153,12 @@ def chunk_runs(runs: DataFrame, keys: list[str], shape: tuple[int, int, int], ch
 def write_blocks(runs: DataFrame, label: str, order: str, path: str, shape: tuple[int, int, int], chunks: tuple[int, int, int], dtype: str = "uint32") -> int:
     """Fills a folder of blocks from ranges; one task writes a block, so no two ever meet. Returns the number of blocks.
 
-    ``path`` must be a folder all executors share. A block is bounded by ``chunks``.
+    ``path`` is a folder or address that all executors share; a block written again by a repeated task is the same. A block is bounded by ``chunks``.
     """
-    os.makedirs(path, exist_ok=True)
-    with open(os.path.join(path, "volume.json"), "w") as f:
-        json.dump({"shape": list(shape), "chunks": list(chunks), "dtype": dtype}, f)
+    fs, root = file_system(path)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/volume.json") as f:
+        f.write(json.dumps({"shape": list(shape), "chunks": list(chunks), "dtype": dtype}).encode())
     d, h, w = shape
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +169,9 @@ def write_blocks(runs: DataFrame, label: str, order: str, path: str, shape: tupl
             row, x0 = divmod(s, w)
             z, y = divmod(row, h)
             block[z - at[0] * chunks[0], y - at[1] * chunks[1], x0 - at[2] * chunks[2] : x0 - at[2] * chunks[2] + e - s] = x
-        block.tofile(os.path.join(path, ".".join(map(str, at))))
+        own_fs, folder = file_system(path)
+        with own_fs.open_output_stream(f"{folder}/" + ".".join(map(str, at))) as f:
+            f.write(block.tobytes())
         return pd.DataFrame({"n": [1]})
 
     cut = chunk_runs(runs, [order, label], shape, chunks)

@@ -9,7 +9,7 @@ from spanlattice.operators.periods import periods_and_gaps
 from spanlattice.plans import registry
 from spanlattice.plans.orthoplane import consensus_volume, slice_objects
 from spanlattice.session import Scratch
-from spanlattice.sources import arrays, config, images, trackers, volume
+from spanlattice.sources import arrays, config, formats, images, trackers, volume
 from spanlattice.streaming.median import MedianQueue, median_stream, recursive_median, sliding_median
 from spanlattice.streaming.periods import period_stream
 from spanlattice.streaming.tracking import match_stream
@@ -237,11 +237,11 @@ def test_tiff(spark, tmp_path, order):
     pages = [np.random.default_rng(k).integers(0, 900, (4, 5)).astype(np.uint16) for k in range(3)]
     (tmp_path / "a.tiff").write_bytes(tiff(pages, order))
     got = np.zeros((3, 4, 5))
-    for r in arrays.read_tiff(spark, f"{tmp_path}/*.tiff").collect():
+    for r in arrays.read_volumes(spark, f"{tmp_path}/*.tiff").collect():
         got[r.z, r.y, r.x] = r.value
     assert (got == np.stack(pages)).all()
     with pytest.raises(ValueError):
-        arrays.tiff_pages(b"no image at all")
+        formats.tiff_pages(b"no image at all")
     scaled = arrays.normalised(spark.createDataFrame([(1, 4.0), (1, 1.0), (2, 0.0)], "k int, value double"), ["k"])
     assert sorted(tuple(r) for r in scaled.collect()) == [(1, 63), (1, 255), (2, 0)]
     assert [arrays.smallest_type(n) for n in (255, 256, 65536, 2**32)] == ["uint8", "uint16", "uint32", "uint64"]
