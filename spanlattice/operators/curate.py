@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,6 +59,30 @@ def difference_hash(values: Column, size: int = 8) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b.cast("bigint")))
 
 
+def pooled_means(images: DataFrame, ident: str, data: str, dtype: str, height: Column, width: Column, size: int = 8) -> DataFrame:
+    """(ident, values array<double>): images of uint8 or little-endian uint16 pooled to size x (size + 1) means, row by row.
+
+    Row y goes to row y * size div h of the means and column x to column x * (size + 1) div w; where an image is smaller than that, a mean without
+    pixels is that of the pixel at its place. Null ids and arrays whose bytes do not fit their dimensions are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for raw, kind, h, w in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
+                a = np.frombuffer(raw, "u1" if kind == "uint8" else "<u2").astype(np.int64).reshape(h, w)
+                at = (np.arange(h) * size // h)[:, None] * (size + 1) + np.arange(w) * (size + 1) // w
+                n, total = np.bincount(at.reshape(-1), minlength=size * (size + 1)), np.bincount(at.reshape(-1), a.reshape(-1), size * (size + 1))
+                near = a[(np.arange(size) * h // size)[:, None], np.arange(size + 1) * w // (size + 1)].reshape(-1)
+                out.append(np.where(n > 0, total / np.maximum(n, 1), near).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], [ident, "values"])
+
+    bytes_of = F.when(F.col(dtype) == "uint8", 1).when(F.col(dtype) == "uint16", 2)
+    fits = (height > 0) & (width > 0) & (F.octet_length(data) == F.try_multiply(F.try_multiply(height.cast("bigint"), width.cast("bigint")), bytes_of))
+    good = images.filter(F.col(ident).isNotNull() & F.coalesce(fits, F.lit(False))).select(ident, data, dtype, height.cast("int").alias("h"), width.cast("int").alias("w"))
+    return good.mapInArrow(run, f"`{ident}` {images.schema[ident].dataType.simpleString()}, values array<double>")
+
+
 def sign_hash(values: Column, bits: int = 32) -> Column:
     """bigint of the signs of the first ``bits`` elements, the first one highest."""
     return F.aggregate(F.slice(values, 1, bits), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR((x > 0).cast("bigint")))
@@ -67,23 +94,24 @@ def hash_classes(df: DataFrame, ident: str, hash_: str) -> DataFrame:
     return known.join(known.groupBy("h").agg(F.min("id").alias("class_id")), "h").select("id", "class_id", "h")
 
 
-def hash_pairs(classes: DataFrame, distance: int, bits: int, together: int = 1) -> DataFrame:
+def hash_pairs(classes: DataFrame, distance: int, bits: int, together: int = 1, within: str | None = None) -> DataFrame:
     """(a, b, dist), a < b: all pairs of classes (see hash_classes) whose hashes differ in at most ``distance`` bits.
 
     The hash is cut into distance + together bands: a pair within the distance agrees on at least ``together`` of them, so every
     choice of so many bands is a key. More bands in a key make more keys and far fewer pairs to compare on each; use 2 or 3 for
-    many items. Members of a class never meet here.
+    many items. Members of a class never meet here. With ``within``, a column, only items of equal values are compared.
     """
     bands = min(distance + together, bits)
     together = max(1, bands - distance)
     cut = [round(bits * k / bands) for k in range(bands + 1)]
-    values = classes.filter("id = class_id").select("id", "h")
+    values = classes.filter("id = class_id").select("id", "h", *[within] * bool(within))
     band = lambda k: F.shiftrightunsigned("h", cut[k]).bitwiseAND((1 << (cut[k + 1] - cut[k])) - 1)
-    keys = [F.xxhash64(F.lit(n), *map(band, chosen)) for n, chosen in enumerate(combinations(range(bands), together))]
-    banded = values.select(F.col("id").alias("a"), F.col("h").alias("g"), F.explode(F.array(*keys)).alias("key"))
-    other = banded.select(F.col("a").alias("b"), F.col("g").alias("h"), "key")
+    keys = [F.xxhash64(F.lit(n), *map(band, chosen), *[within] * bool(within)) for n, chosen in enumerate(combinations(range(bands), together))]
+    place = F.col(within) if within else F.lit(0)
+    banded = values.select(F.col("id").alias("a"), F.col("h").alias("g"), place.alias("wa"), F.explode(F.array(*keys)).alias("key"))
+    other = banded.select(F.col("a").alias("b"), F.col("g").alias("h"), F.col("wa").alias("wb"), "key")
     dist = F.bit_count(F.col("g").bitwiseXOR(F.col("h"))).cast("int")
-    return banded.join(other, "key").filter((F.col("a") < F.col("b")) & (dist <= distance)).select("a", "b", dist.alias("dist")).distinct()
+    return banded.join(other, "key").filter((F.col("a") < F.col("b")) & (dist <= distance) & F.col("wa").eqNullSafe(F.col("wb"))).select("a", "b", dist.alias("dist")).distinct()
 
 
 def exemplars(nodes: DataFrame, ident: str, pairs: DataFrame, scratch: Scratch, seed: int = 0, by_id: bool = False) -> DataFrame:

@@ -78,7 +78,7 @@ def evaluate(gt: DataFrame, pred: DataFrame, keys: list[str], thresholds: tuple[
         names = {m: f"{m}_{round(100 * t)}" for m in ("precision", "recall", "f1", "ap")}
         scores = scores.select(*keys, *([] if n else ["pq"]), *[F.col(a).alias(b) for a, b in names.items()])
         out = out.join(scores, keys)
-    return out
+    return scratch.handed(out)
 
 
 def dense_iou(pixels: DataFrame, keys: list[str], gt: str, pred: str) -> DataFrame:
@@ -172,7 +172,7 @@ def dense_scores(pixels: DataFrame, keys: list[str], gt: str, pred: str, thresho
     pairs = mask_overlaps(pixels, keys, gt, pred).select(*keys, F.col(gt).cast("bigint").alias("gt"), F.col(pred).cast("bigint").alias("pred"), "iou")
     matched = scratch.keep(assign(pairs, keys, "gt", "pred", "iou", scratch))
     side = lambda c, as_: pixels.filter(F.col(c) > 0).select(*keys, F.col(c).cast("bigint").alias(as_)).distinct()
-    return instance_scores(match_counts(matched, side(gt, "gt"), side(pred, "pred"), keys, threshold, threshold), keys)
+    return scratch.handed(instance_scores(match_counts(matched, side(gt, "gt"), side(pred, "pred"), keys, threshold, threshold), keys))
 
 
 def point_loss(points: DataFrame, keys: list[str], logit: str, target: str) -> DataFrame:

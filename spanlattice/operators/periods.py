@@ -122,7 +122,7 @@ def periods_and_gaps(df: DataFrame, entity: str, starts: str = "starts", runs: s
     pieces = scratch.keep(each.select("entity", F.col("i.s").alias("s"), F.col("i.e").alias("e")).groupBy("entity", "s").agg(F.max("e").alias("e")))
     spread = pieces.repartitionByRange(-(-total // block_intervals), "entity", "s").withColumn("block", F.spark_partition_id())
     blocks = _run_states(spread.select("entity", "block", F.array("s").alias("s"), F.array("e").alias("e")).sortWithinPartitions("entity", "block", "s"), False)
-    return _spans(whole(rows.join(hot, "entity", "left_anti")), entity).unionByName(_spans(_stitch(scratch.keep(blocks)), entity))
+    return scratch.handed(_spans(whole(rows.join(hot, "entity", "left_anti")), entity).unionByName(_spans(_stitch(scratch.keep(blocks)), entity)))
 
 
 def _spans(rows: DataFrame, entity: str) -> DataFrame:

@@ -90,4 +90,4 @@ def contour_watershed(voxels: DataFrame, seed_fg: float = 0.9, seed_bd: float =
     schema = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in ("z", "y", "x")) + ", label bigint"
     grown = scratch.keep(by_key(cells.join(seeded, "part", "left_semi").select("part", "z", "y", "x", "sem", "seed"), "part", grow, schema))
     kept = grown if min_size is None else drop_small(grown, "label", min_size)
-    return kept.select("z", "y", "x", (F.col("label") + divisor).alias("label"))
+    return scratch.handed(kept.select("z", "y", "x", (F.col("label") + divisor).alias("label")))

@@ -102,6 +102,39 @@ def hash_classes_64(spark, sf_dir):
     return curate.hash_classes(hashes64(spark, sf_dir), "id", "h").select("id", "class_id")
 
 
+_IMAGE_HASH = """raw as (select distinct patch_id id, y1 - y0 h, x1 - x0 w, dtype, hex(image) x from image_patch
+  where y1 > y0 and x1 > x0 and octet_length(image) = (y1 - y0) * (x1 - x0) * case dtype when 'uint8' then 1 when 'uint16' then 2 end),
+px as (select id, i // w * 8 // h r, i % w * 9 // w c, case when dtype = 'uint8' then cast('0x' || substr(x, 2 * i + 1, 2) as integer) else cast('0x' || substr(x, 4 * i + 3, 2) || substr(x, 4 * i + 1, 2) as integer) end v from (select *, unnest(range(h * w)) i from raw)),
+m as (select id, r, c, avg(v) v from px group by 1, 2, 3), b as (select a.id, a.r * 8 + a.c k, cast(b.v > a.v as bigint) bit from m a join m b on a.id = b.id and a.r = b.r and b.c = a.c + 1)
+select id, cast(sum(case when k < 32 then bit << (31 - k) else 0 end) as bigint) high, cast(sum(case when k >= 32 then bit << (63 - k) else 0 end) as bigint) low from b group by 1"""
+
+
+def image_hashes(spark, sf_dir):
+    p = table(spark, sf_dir, "image_patch")
+    side = lambda a, b: F.col(b).cast("bigint") - F.col(a).cast("bigint")
+    means = curate.pooled_means(p, "patch_id", "image", "dtype", side("y0", "y1"), side("x0", "x1"))
+    return means.select(F.col("patch_id").alias("id"), curate.difference_hash(F.col("values")).alias("h")).distinct()
+
+
+@registry.query("image_hash", f"with {_IMAGE_HASH}")
+def image_hash(spark, sf_dir):
+    """Difference hashes of all readable images, pooled to 8 x 9, in two halves."""
+    low = F.col("h").bitwiseAND(0xFFFFFFFF)
+    return image_hashes(spark, sf_dir).select("id", F.shiftrightunsigned("h", 32).alias("high"), low.alias("low"))
+
+
+@registry.query("image_dedup")
+def image_dedup(spark, sf_dir):
+    """Of the images of a data set whose hashes differ in at most 12 bits only greedy exemplars stay; blank images have equal hashes."""
+    scratch = Scratch(spark, "dedup")
+    of = table(spark, sf_dir, "image_patch").groupBy(F.col("patch_id").alias("id")).agg(F.min("dataset").alias("dataset"))
+    h = scratch.keep(image_hashes(spark, sf_dir).join(of, "id"))
+    # data sets are kept apart: a class is one hash in one data set
+    classes = scratch.keep(h.groupBy("dataset", "h").agg(F.min("id").alias("id")).withColumn("class_id", F.col("id")))
+    pairs = curate.hash_pairs(classes, DISTANCE, BITS, together=2, within="dataset")
+    return curate.exemplars(classes.filter("id = class_id"), "id", pairs, scratch)
+
+
 @registry.query("dedup_greedy")
 def dedup_greedy(spark, sf_dir):
     """Greedy exemplars by the distance of hashes of all elements: no two kept ones are close, and every other one is close to a kept one."""

@@ -36,7 +36,8 @@ class Scratch:
     """Tables of one operator call, each written once and read back, so that a lost executor costs no recomputation.
 
     ``keep`` writes a table; ``drop`` removes one that no later plan reads. What is left when a result is returned may
-    be read by it, so it stays until the caller has used the result and calls ``clear`` or empties the folder.
+    be read by it, so it stays until the caller has used the result and calls ``clear`` or empties the folder; operators take a
+    Scratch of the caller, hold it as ``scratch`` or return a result with it (``handed``).
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -57,6 +58,11 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def handed(self, df: DataFrame) -> DataFrame:
+        """The result, with this as its ``scratch``: ``df.scratch.clear()`` when it is used."""
+        df.scratch = self
+        return df
+
     def clear(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

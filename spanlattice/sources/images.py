@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlattice.operators.curate import example_weights
 from spanlattice.operators.image import boundary, heatmap, offsets, region_centers
+from spanlattice.sources.formats import array_of
 
 
 def labelled_images(spark: SparkSession, path: str, gamma: float = 0.3) -> DataFrame:
@@ -24,6 +29,20 @@ def labelled_images(spark: SparkSession, path: str, gamma: float = 0.3) -> DataF
     return pairs.join(example_weights(pairs.select("subdir"), "subdir", gamma).drop("n"), "subdir")
 
 
+def decoded(labelled: DataFrame, column: str, value: str = "value") -> DataFrame:
+    """(subdir, name, h, w, y, x, value) of the pixels of a grey PNG or TIFF column of labelled_images, 0 included; of a stack the first page. A null file has no pixel."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for subdir, name, data in zip(pdf["subdir"], pdf["name"], pdf[column]):
+                page = array_of(data)[0]
+                y, x = np.indices(page.shape, np.int32)
+                yield pd.DataFrame({"subdir": subdir, "name": name, "h": np.int32(page.shape[0]), "w": np.int32(page.shape[1]), "y": y.reshape(-1), "x": x.reshape(-1), value: page.reshape(-1).astype(np.int64)})
+
+    there = labelled.filter(F.col(column).isNotNull()).select("subdir", "name", column)
+    return there.mapInPandas(run, f"subdir string, name string, h int, w int, y int, x int, `{value}` bigint")
+
+
 def concat_datasets(a: DataFrame, b: DataFrame, gamma: float = 0.3) -> DataFrame:
     """Both data sets as one, with weights over all groups anew."""
     both = a.drop("weight").unionByName(b.drop("weight"))

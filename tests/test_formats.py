@@ -7,7 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spanlattice.sources import arrays, formats
+from spanlattice.operators import curate
+from spanlattice.plans.evaluate import evaluate_trackers
+from spanlattice.sources import arrays, formats, images
 
 RNG = np.random.default_rng(8)
 
@@ -192,3 +194,38 @@ def test_volumes(spark, tmp_path):
     for bad in (b"what", b"NRRD0004\ntype: block\nsizes: 2 2\nencoding: raw\n\n1234", bytes(head[:16]) + bytes(1008)):
         with pytest.raises(ValueError):
             formats.array_of(bad, "x.mrc" if bad[:4] != b"what" else "")
+
+
+def test_decoded_images(spark, tmp_path):
+    page = RNG.integers(0, 255, (4, 6))
+    for kind, name, data in (("images", "1.png", png(page.tolist(), 6, 8, 0, [4, 3, 2, 1])), ("masks", "1.tiff", tiff(page.astype("<u2"), 8))):
+        (tmp_path / "g" / kind).mkdir(parents=True)
+        (tmp_path / "g" / kind / name).write_bytes(data)
+    pairs = images.labelled_images(spark, str(tmp_path))
+    for column in ("image", "mask"):
+        got = images.decoded(pairs, column).collect()
+        assert len(got) == 24 and all((r.h, r.w, r.value) == (4, 6, page[r.y, r.x]) for r in got)
+
+
+def test_evaluate_trackers(spark):
+    schema = "class_id int, label bigint, starts array<bigint>, runs array<bigint>"
+    gt = spark.createDataFrame([(1, 5, [0, 20], [10, 10]), (1, 6, [50], [10])], schema)
+    pred = spark.createDataFrame([(1, 9, [0, 20, None], [10, 10, 3]), (1, 8, [55], [10])], schema)
+    r = evaluate_trackers(gt, pred).first()
+    assert (r.precision_50, r.recall_50, r.f1_75) == (0.5, 0.5, 0.5) and r.semantic_iou == pytest.approx(25 / 35)
+    with pytest.raises(ValueError):
+        evaluate_trackers(gt, pred.selectExpr("2 as class_id", "label", "starts", "runs"))
+
+
+def test_image_hashes(spark):
+    from pyspark.sql import functions as F
+
+    big, small = RNG.integers(0, 65536, (20, 30)), RNG.integers(0, 256, (3, 4))
+    rows = [(1, big.astype("<u2").tobytes(), "uint16", 20, 30), (2, small.astype("u1").tobytes(), "uint8", 3, 4), (3, b"1", "uint8", 3, 4), (4, None, "uint8", 3, 4), (None, b"1", "uint8", 1, 1), (5, b"1", "other", 1, 1), (6, b"", "uint8", 0, 4)]
+    df = spark.createDataFrame(rows, "id bigint, image binary, dtype string, h int, w int")
+    got = {r.id: r["values"] for r in curate.pooled_means(df, "id", "image", "dtype", F.col("h"), F.col("w")).collect()}
+    own = {(y * 8 // 3, x * 9 // 4): float(small[y, x]) for y in range(3) for x in range(4)}
+    assert set(got) == {1, 2} and got[2] == [own.get((r, c), float(small[r * 3 // 8, c * 4 // 9])) for r in range(8) for c in range(9)]
+    assert got[1] == pytest.approx([big[[y for y in range(20) if y * 8 // 20 == r]][:, [x for x in range(30) if x * 9 // 30 == c]].mean() for r in range(8) for c in range(9)])
+    pairs = spark.createDataFrame([(1, 1, 0, "a"), (2, 2, 1, "a"), (3, 3, 1, "b"), (4, 4, 3, "b")], "id bigint, class_id bigint, h bigint, dataset string")
+    assert {tuple(r) for r in curate.hash_pairs(pairs, 1, 64, 2, "dataset").collect()} == {(1, 2, 1), (3, 4, 1)}
