@@ -95,4 +95,4 @@ def groups(df: DataFrame, left: str, right: str, weight: str, members: str, thre
     least = root.groupBy("root").agg(F.min("v").alias("least"))
     n = root.count()
     named = lookup(root, "root", least.withColumnRenamed("root", "r"), "r", "least", n, F.xxhash64("v"), hot_keys(root, "root", n).withColumnRenamed("root", "r"), plain_rows)
-    return nodes.join(named.select(F.col("v").alias("node"), "least"), "node", "left").select("node", F.coalesce("least", "node").alias("group_node"))
+    return scratch.handed(nodes.join(named.select(F.col("v").alias("node"), "least"), "node", "left").select("node", F.coalesce("least", "node").alias("group_node")))

@@ -230,7 +230,8 @@ class CrossSplit:
 
 def cross_split(patches: DataFrame, config: DataFrame, agree: float = 0.95, tolerance: int = 3) -> DataFrame:
     """CrossSplit(...).image_pairs()."""
-    return CrossSplit(patches, config, agree, tolerance).image_pairs()
+    got = CrossSplit(patches, config, agree, tolerance)
+    return got.scratch.handed(got.image_pairs())
 
 
 def overlap_report(found: DataFrame) -> DataFrame:

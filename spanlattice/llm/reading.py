@@ -263,4 +263,4 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, rounds: int = ROUNDS) ->
     fit = Levels(docs, ratings, rounds)
     if fit.empty:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, level int, difficulty double, p_demanding double")
-    return fit.levels
+    return fit.scratch.handed(fit.levels)

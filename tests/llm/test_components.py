@@ -43,6 +43,9 @@ def test_groups(spark):
     for seed in (3, 4):
         got = groups(spark.createDataFrame(rows(seed=seed), SCHEMA), "node1", "node2", "iou", "cluster").collect()
         assert len(got) == len({r.node for r in got})
+        spread = groups(spark.createDataFrame(rows(seed=seed), SCHEMA), "node1", "node2", "iou", "cluster", plain_rows=0)
+        assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, got))
+        spread.scratch.clear()
         assert {tuple(r) for r in got} == brute(rows(seed=seed))
 
 
