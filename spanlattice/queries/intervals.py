@@ -380,24 +380,28 @@ def fill_last_wins(spark, sf_dir):
 # --- tracking
 
 
+#: Labels of a class.
+LABELS = 10**15
+
+
 def _slice_objects(spark, sf_dir):
     """Objects of the trackers cut at slices of 16384 indices, each piece with a label of its own."""
     cut = runs.cut_at_edges(object_runs(spark, sf_dir), ["src", "class_id", "object_id"], 1 << 14, "slice")
     packed = cut.groupBy("src", "class_id", "slice", "object_id").agg(F.sort_array(F.collect_list(F.struct((F.col("s") - F.col("slice") * (1 << 14)).alias("s"), (F.col("e") - F.col("s")).alias("r")))).alias("x"))
-    label = F.col("class_id") * 100_000_000 + F.pmod(F.xxhash64("object_id", "slice"), F.lit(99_999_999)) + 1
+    label = F.col("class_id") * LABELS + F.col("object_id") * 1024 + F.pmod("slice", F.lit(1024)) + 1  # no two of a slice are equal
     return packed.select("src", "class_id", F.col("slice").cast("int").alias("slice"), label.alias("label"), F.transform("x", lambda v: v["s"]).alias("starts"), F.transform("x", lambda v: v["r"]).alias("runs"))
 
 
 @registry.query("track_forward")
 def track_forward(spark, sf_dir):
-    return track.track_forward(_slice_objects(spark, sf_dir), ["src", "class_id"], 100_000_000).select("src", "class_id", "slice", "label", F.size("starts").alias("n_runs"))
+    return track.track_forward(_slice_objects(spark, sf_dir), ["src", "class_id"], LABELS).select("src", "class_id", "slice", "label", F.size("starts").alias("n_runs"))
 
 
 @registry.query("track_backward")
 def track_backward(spark, sf_dir):
     scratch = Scratch(spark, "backward")
-    ahead = scratch.keep(track.track_forward(_slice_objects(spark, sf_dir), ["src", "class_id"], 100_000_000))
-    return track.track_backward(ahead, ["src", "class_id"], 100_000_000).select("src", "class_id", "slice", "label", F.size("starts").alias("n_runs"))
+    ahead = scratch.keep(track.track_forward(_slice_objects(spark, sf_dir), ["src", "class_id"], LABELS))
+    return track.track_backward(ahead, ["src", "class_id"], LABELS).select("src", "class_id", "slice", "label", F.size("starts").alias("n_runs"))
 
 
 _LIFT = f"with {_LINE_RUNS}, pts as (select src, lab, lab slice, unnest(range(s, e)) i from line_runs),"
