@@ -93,3 +93,28 @@ def pieces(df: DataFrame, kind: str, item: str, data: str, dtype: str, n_lines:
     once = cuts.groupBy("item_id").agg(F.min(F.struct("firsts", "ends")).alias("x"))  # small lists only are shuffled
     each = once.select("item_id", F.posexplode(F.arrays_zip("x.firsts", "x.ends")).alias("piece_no", "p"))
     return each.select(F.lit(kind).alias("item_kind"), "item_id", "piece_no", F.col("p.firsts").alias("first_line"), F.col("p.ends").alias("end_line"))
+
+
+def edited_pieces(df: DataFrame, kind: str, item: str, data: str, dtype: str, n_lines: Column, line_cells: Column, limit: int, overlap: int = 2, least: int = 3, landmark_bits: int | None = None) -> DataFrame:
+    """Rows (item_kind, item_id, n_lines, n_before, n_after, n_altered): what a planted edit does to the pieces of each item that pieces() cuts.
+
+    The edit puts a line, the item's middle line with its levels turned round (255 - level), before the middle line. A piece of the edited item is
+    altered if its lines are not those of a piece of the item as it was: pieces after the edit are compared at the old places of their lines.
+    """
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, array, wide, n, cells in zip(pdf["item_id"], pdf["data"], pdf["wide"], pdf["n"], pdf["cells"]):
+                lines, mid = grey(array, wide).reshape(n, cells), n // 2
+                after = np.concatenate([lines[:mid], 255 - lines[mid : mid + 1], lines[mid:]])
+                was, now = ([(a, b) for a, b in cut(len(x), natural_boundaries(x), None if landmark_bits is None else landmarks(x, landmark_bits), limit // cells, least, overlap)] for x in (lines, after))
+                old = {(a - (a > mid), b - (b > mid)) if b <= mid or a > mid else None for a, b in now}
+                kept = sum(p in old for p in set(was))
+                out.append((i, n, len(was), len(now), len(now) - kept))
+            yield pd.DataFrame(out, columns=["item_id", "n_lines", "n_before", "n_after", "n_altered"]).astype({"item_id": "int64"})
+
+    usable = df.filter(F.col(item).isNotNull() & readable(data, dtype, n_lines, line_cells)).filter(F.try_multiply(n_lines.cast("bigint"), line_cells.cast("bigint")) > limit)
+    rows = usable.select(F.col(item).alias("item_id"), n_lines.cast("int").alias("n"), line_cells.cast("int").alias("cells"), (F.col(dtype) == "uint16").alias("wide"), F.col(data).alias("data"))
+    got = rows.mapInPandas(make, "item_id bigint, n_lines int, n_before int, n_after int, n_altered int").dropDuplicates(["item_id"])
+    return got.select(F.lit(kind).alias("item_kind"), *got.columns)

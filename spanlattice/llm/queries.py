@@ -113,9 +113,9 @@ def p3_groups(spark, sf_dir):
 # 5: oversized arrays in pieces
 
 
-def _pieces(spark, sf_dir, **how):
-    images = chunking.pieces(table(spark, sf_dir, "image_patch"), "image", "patch_id", "image", "dtype", extent("y0", "y1"), extent("x0", "x1"), 512, **how)
-    volumes = chunking.pieces(table(spark, sf_dir, "em_volume"), "em", "volume_id", "em", "dtype", F.col("n_slices"), F.try_multiply(F.col("n_rows").cast("bigint"), F.col("n_cols").cast("bigint")), 2048, **how)
+def _pieces(spark, sf_dir, make=chunking.pieces, **how):
+    images = make(table(spark, sf_dir, "image_patch"), "image", "patch_id", "image", "dtype", extent("y0", "y1"), extent("x0", "x1"), 512, **how)
+    volumes = make(table(spark, sf_dir, "em_volume"), "em", "volume_id", "em", "dtype", F.col("n_slices"), F.try_multiply(F.col("n_rows").cast("bigint"), F.col("n_cols").cast("bigint")), 2048, **how)
     return images.unionAll(volumes)
 
 
@@ -150,6 +150,14 @@ def p5_landmarks(spark, sf_dir):
     return _pieces(spark, sf_dir, landmark_bits=3)
 
 
+@registry.query("p5_edits")
+def p5_edits(spark, sf_dir):
+    """What a line put into the middle of each item does to its pieces, with landmarks and without (the rule of p5_found)."""
+    sums = [F.count(F.lit(1)).alias("n_items"), *[F.sum(c).alias(c) for c in ("n_after", "n_altered")], F.max("n_altered").alias("most_altered")]
+    each = [_pieces(spark, sf_dir, chunking.edited_pieces, landmark_bits=bits).withColumn("landmarks", F.lit(bits is not None)) for bits in (3, None)]
+    return each[0].unionAll(each[1]).groupBy("item_kind", "landmarks").agg(*sums)
+
+
 # 6: token ids
 
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from spanlattice.llm.chunking import cut, landmarks, natural_boundaries, pieces
+from spanlattice.llm.chunking import cut, edited_pieces, landmarks, natural_boundaries, pieces
 from spanlattice.llm import packed
 from spanlattice.llm.crosssplit import CrossSplit, cross_split, index_tokens, max_bad, overlap_report, probe_tokens
 from spanlattice.llm.neardup import NearDuplicates
@@ -234,12 +234,37 @@ def test_cut():
 
 
 def test_edit_alters_neighbours_only():
-    rng = np.random.default_rng(3)
-    lines = rng.integers(0, 256, (400, 16)).astype(np.uint8)
-    edited = np.vstack([lines[:50], rng.integers(0, 256, (3, 16)).astype(np.uint8), lines[50:]])
-    of = lambda x: cut(len(x), natural_boundaries(x), landmarks(x, 3), 32, 3, 2)
-    before, after = {(a + 3, b + 3) for a, b in of(lines) if a > 50}, {p for p in of(edited) if p[0] > 53}
-    assert len(before - after) <= 3
+    altered = []
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        lines = rng.integers(0, 256, (400, 16)).astype(np.uint8)
+        at = int(rng.integers(20, 380))
+        edited = np.vstack([lines[:at], rng.integers(0, 256, (3, 16)).astype(np.uint8), lines[at:]])
+        of = lambda x: cut(len(x), natural_boundaries(x), landmarks(x, 3), 32, 3, 2)
+        before, after = set(of(lines)), {(a, b) if b <= at else (a - 3, b - 3) for a, b in of(edited) if b <= at or a >= at + 3}
+        altered.append(len(before - after))
+    assert max(altered) <= 8 and sum(altered) / len(altered) <= 4  # of some fifty pieces each
+
+
+def test_rolling_hash():
+    """A line is marked by the lines just before it, wherever they stand."""
+    rng = np.random.default_rng(4)
+    lines = rng.integers(0, 256, (300, 7)).astype(np.uint8)
+    marks, moved = landmarks(lines, 2), landmarks(np.vstack([rng.integers(0, 256, (11, 7)).astype(np.uint8), lines]), 2)
+    assert (marks[3:] == moved[14:]).all() and 0.15 < marks.mean() < 0.35 and not marks[:3].any()
+    assert [len(landmarks(lines[:n], 2)) for n in (1, 2, 3)] == [1, 2, 3]
+
+
+def test_edited_pieces(spark):
+    from pyspark.sql import functions as F
+
+    rows = [patch(i, np.random.default_rng(i).integers(0, 256, (120, 8)), "x") for i in range(30)] + [patch(99, np.zeros((3, 3)), "x")]
+    span = lambda a, b: F.col(b) - F.col(a)
+    get = lambda bits: edited_pieces(spark.createDataFrame(rows, PATCH), "image", "patch_id", "image", "dtype", span("y0", "y1"), span("x0", "x1"), 128, landmark_bits=bits).collect()
+    marked, plain = get(2), get(None)
+    assert len(marked) == len(plain) == 30 and all(0 < r.n_altered <= r.n_after for r in marked)
+    share = lambda got: sum(r.n_altered for r in got) / sum(r.n_after for r in got)
+    assert share(marked) < 0.35 < share(plain)  # without landmarks nor boundaries all later pieces move
 
 
 def test_pieces(spark):
