@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cells of arrays that are worked on at once.
-CELLS_AT_ONCE = 4_000_000
+CELLS_AT_ONCE = 1_000_000
 
 
 def readable(data: str, dtype: str, *dims: Column) -> Column:

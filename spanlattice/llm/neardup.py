@@ -32,6 +32,8 @@ from spanlattice.operators.skew import lookup
 from spanlattice.session import Scratch
 
 ORDERS = 3
+#: Lower bits of a sort key that hold the token's place among those of its image.
+COLUMN_BITS = 24
 
 
 def sequences(levels: np.ndarray, h: int, w: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,9 +60,13 @@ def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
 def prefixes(tokens: np.ndarray, new: np.ndarray, rarity: np.ndarray, order: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, place in the order) of the first tokens of each row's set; ``rarity`` has the class of each token."""
     length = prefix_length(new.sum(axis=1), t)
-    # the class, then the mixed token but for its lowest bits; as rows are sorted and the sort is stable, ties come in the same order everywhere
-    key = np.where(new, (rarity.astype(np.uint64) << np.uint64(58)) | (mix(tokens, order) >> np.uint64(6)), np.uint64(2**64 - 1))
-    at = np.argsort(key, axis=1, kind="stable")[:, : length.max()]
+    # by class, then by the upper bits of the mixed token, then by the token itself, which is the order of the columns: so in all images alike
+    low = np.uint64(2**COLUMN_BITS - 1)
+    key = np.where(new, (rarity.astype(np.uint64) << np.uint64(58)) | (mix(tokens, order) >> np.uint64(6)), np.uint64(2**64 - 1)) & ~low
+    if tokens.shape[1] <= low:  # the column fits into the lower bits, so that a plain sort does
+        at = (np.sort(key | np.arange(tokens.shape[1], dtype=np.uint64), axis=1)[:, : length.max()] & low).astype(np.int64)
+    else:
+        at = np.argsort(key, axis=1, kind="stable")[:, : length.max()]
     row, pos = np.nonzero(np.arange(at.shape[1])[None, :] < length[:, None])
     return row, at[row, pos], pos
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tokens that a task gathers before it sends its rows, and tokens of a bucket.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 BUCKET = 2_000_000
 #: Items of one token that meet in one cell.
 LIST = 4_096

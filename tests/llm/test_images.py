@@ -159,6 +159,22 @@ def test_cells_meet():
     assert len(met) == len(set(met)) and set(met) == {(i, j) for i in range(200) for j in range(200) if token[i] == token[j]}
 
 
+def test_prefix_orders(monkeypatch):
+    """Either way of sorting gives one order, which does not depend on what else an image holds."""
+    from spanlattice.llm import neardup
+
+    rng = np.random.default_rng(3)
+    levels = rng.integers(0, 3, (40, 90)).astype(np.uint8)
+    tokens, new = neardup.sequences(levels, 9, 10, 8)
+    rarity = (packed.mix(tokens, 5) % np.uint64(3)).astype(np.uint8)
+    row, column, pos = neardup.prefixes(tokens, new, rarity, 1, 0.6)
+    assert all(new[row, column]) and (np.bincount(row, minlength=40) == neardup.prefix_length(new.sum(axis=1), 0.6)).all()
+    rank = lambda r, c: (rarity[r, c], int(packed.mix(tokens, 1)[r, c]) >> 30, tokens[r, c])
+    for r in range(40):
+        want = sorted((c for c in range(tokens.shape[1]) if new[r, c]), key=lambda c: rank(r, c))
+        assert column[row == r].tolist() == want[: (row == r).sum()] and pos[row == r].tolist() == list(range((row == r).sum()))
+
+
 def test_packing():
     rng = np.random.default_rng(6)
     packer, sent = packed.Packer(5), []
