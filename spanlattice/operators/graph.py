@@ -1,7 +1,7 @@
 """Connected components by contraction and alternating stars, and the overlap graphs of objects.
 
-Each task first contracts its own edges to stars by a union-find of bounded size, so a graph that lies in one task is
-done by then. What several tasks hold goes on in rounds. In a large star every vertex sends its greater neighbours to its least one; in a small star it sends itself and its smaller
+Each task first contracts its own edges to stars by a union-find of bounded size, and fewer tasks contract those stars
+again as long as the bound holds; a graph of which one part is left is done by then. Else it goes on in rounds. In a large star every vertex sends its greater neighbours to its least one; in a small star it sends itself and its smaller
 neighbours there. Alternated until nothing changes, what is left are stars around each component's least vertex.
 Minima use partial aggregation; joins on a hub are spread (spanlattice.operators.skew). Each round is a table written once.
 """
@@ -27,6 +27,8 @@ def _tidy(edges: DataFrame) -> DataFrame:
 
 #: Vertices of a task's union-find; beyond, it gives what it has and begins anew.
 UNITED = 2_000_000
+#: Parts whose stars one task contracts further.
+FAN_IN = 32
 
 
 def _united(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -62,10 +64,19 @@ def components(edges: DataFrame, scratch: Scratch, plain_rows: int | None = None
     ``united`` see UNITED.
     """
     first = scratch.keep(_tidy(edges.filter("u is not null and v is not null")))
-    stars = scratch.keep(first.mapInArrow(lambda it: _united(it, united), "v bigint, component bigint, part bigint"))
+    contract = lambda df: scratch.keep(df.mapInArrow(lambda it: _united(it, united), "v bigint, component bigint, part bigint"))
+    stars, before = contract(first), None
     scratch.drop(first)
-    if stars.select("part").distinct().limit(2).count() < 2:
-        return stars.select("v", "component")
+    while True:  # fewer and fewer tasks, as long as what they hold together stays bounded
+        n, parts = stars.agg(F.count(F.lit(1)), F.countDistinct("part")).first()
+        if parts < 2:
+            return stars.select("v", "component")
+        tasks = -(-parts // FAN_IN)
+        if n > united * tasks or (before is not None and parts >= before):
+            break
+        before, fewer = parts, contract(stars.select("v", "component").coalesce(tasks))
+        scratch.drop(stars)
+        stars = fewer
     e = scratch.keep(_tidy(stars.select(F.col("v").alias("u"), F.col("component").alias("v"))))
     scratch.drop(stars)
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

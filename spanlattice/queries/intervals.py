@@ -19,7 +19,7 @@ APART = 1 << 36
 #: So do the boxes, with fewer slices than this each.
 DEEP = 1 << 20
 #: Bucket widths of the interval joins.
-WIDTHS = (64, 4096, 1 << 18)
+WIDTHS = (64, 1 << 14)
 
 # --- shared inputs: points and runs of lineitem, and the tracked objects in normal form
 
@@ -347,7 +347,7 @@ select lab, src, cast(tile as integer) tile, greatest(r.s, t.s) - t.s s, least(r
 def tile_clip(spark, sf_dir):
     """Runs cut to windows of 512 that begin every 448 indices, up to the table's last index (the SQL's 400 end at 179,264)."""
     windows = spark.range(-(-line_length(spark, sf_dir) // 448)).select(F.col("id").cast("int").alias("tile"), (F.col("id") * 448).alias("s"), (F.col("id") * 448 + 512).alias("e"))
-    return tiles.clip_to_windows(line_runs(spark, sf_dir), windows, ["src", "lab"], bucket=WIDTHS)
+    return tiles.clip_to_windows(line_runs(spark, sf_dir), windows, ["src", "lab"], bucket=64)
 
 
 @registry.query("tile_round_trip", f"with {_LINE_RUNS} select * from line_runs where s < 1000000")

@@ -142,11 +142,11 @@ d as (select k.c_custkey, center, row_number() over (partition by k.c_custkey or
   where sqrt(pow(cy - c_acctbal, 2) + pow(cx - c_custkey, 2)) < 100000)
 select c_custkey, center from d where r = 1""")
 def nearest_center(spark, sf_dir):
-    """On a grid with cells of 500."""
+    """On a grid with cells of 4,000."""
     cu = table(spark, sf_dir, "customer")
     centers = cu.groupBy("c_nationkey", (F.col("c_custkey") % 25).alias("center")).agg(F.avg("c_acctbal").alias("cy"), (F.avg("c_custkey") / 10).alias("cx"))
     points = cu.select("c_nationkey", "c_custkey", F.col("c_acctbal").alias("py"), F.col("c_custkey").cast("double").alias("px"))
-    return image.nearest_center(points, centers, ["c_nationkey"], cell=500.0).select("c_custkey", "center")
+    return image.nearest_center(points, centers, ["c_nationkey"], cell=4000.0).select("c_custkey", "center")
 
 
 _MERGE = """s as (select slice, y, x, pan // 1000 sem, case when pan // 1000 = 3 then 0 else (y // 16) * 8 + x // 16 + 1 end ins from px)"""
