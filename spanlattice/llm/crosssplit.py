@@ -151,10 +151,10 @@ class CrossSplit:
         reps = given.join(special, "patch_id", "left").na.fill(PROBED, ["role"]).filter("role > 0").select("patch_id", "h", "w", "wide", "image", "role")
 
         buckets = packed.buckets_for(spark, int(n_tokens or 0))
-        shared = spark.sparkContext.broadcast((seen, packed.Lists(seen, list_limit)))  # 2^SKETCH_BITS counters
+        shared = spark.sparkContext.broadcast((seen, packed.cells_of_lists(seen, list_limit)))  # 2^SKETCH_BITS counters
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sketch, lists = shared.value
+            sketch, cells = shared.value
             packer = packed.Packer(buckets)
             for b in batches:
                 ids, roles = b.column(0).to_numpy(), b.column(5).to_numpy()
@@ -169,7 +169,7 @@ class CrossSplit:
                             which, tokens = np.repeat(np.arange(len(k)), tokens.shape[1]), tokens.reshape(-1)
                         else:
                             which, tokens = index_tokens(levels[k], h, w, agree, tolerance, sketch)
-                        entry, key = packed.in_cells(tokens, lists.of(packed.slot(tokens)), mix(own.view(np.uint64), 11)[which], False, side == INDEXED)
+                        entry, key = packed.in_cells(tokens, cells[packed.slot(tokens)], mix(own.view(np.uint64), 11)[which], False, side == INDEXED)
                         yield from packer.add(own, np.full(len(k), side), which[entry], key)
             yield from packer.flush()
 

@@ -115,14 +115,13 @@ class NearDuplicates:
         scratch.drop(looked)
 
         rarity = np.frexp(seen.astype(np.float64))[1].astype(np.uint8)
-        lists = packed.Lists(seen, list_limit)
-        shared = spark.sparkContext.broadcast((rarity, lists))  # 2^SKETCH_BITS counters
+        shared = spark.sparkContext.broadcast((rarity, packed.cells_of_lists(seen, list_limit)))  # 2^SKETCH_BITS counters; arrays only, as executors need no copy of the package
 
         def pairs_under(order: int, images: DataFrame) -> DataFrame:
             """Pairs (a, b), a < b, with a common prefix token that pass the length and the position filter."""
 
             def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                rarity, lists = shared.value
+                rarity, cells = shared.value
                 packer = packed.Packer(buckets)
                 for b in batches:
                     ids = b.column(0).to_numpy()
@@ -133,7 +132,7 @@ class NearDuplicates:
                         slots, sizes = packed.slot(mix(tokens, -1)), new.sum(axis=1)
                         which, first, pos = prefixes(tokens, new, rarity[slots], order, t)
                         mark = (pos * 256 // prefix_length(sizes, t)[which]).astype(np.uint8)
-                        entry, key = packed.in_cells(mix(tokens[which, first], order), lists.of(slots[which, first]), mix(ids[at].view(np.uint64), 11)[which], True)
+                        entry, key = packed.in_cells(mix(tokens[which, first], order), cells[slots[which, first]], mix(ids[at].view(np.uint64), 11)[which], True)
                         yield from packer.add(ids[at], sizes, which[entry], key, mark[entry])
                 yield from packer.flush()
 

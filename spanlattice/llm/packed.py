@@ -68,17 +68,13 @@ def gather_sketch(rows: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-class Lists:
-    """Into how many cells the list of a token is split: 1 for all but tokens whose counter stands out."""
-
-    def __init__(self, sketch: np.ndarray, limit: int | None = None):
-        limit = LIST if limit is None else limit
-        self.cells = np.ones(len(sketch), np.int64)
-        hot = sketch > limit + 4 * int(sketch.mean())
-        self.cells[hot] = -(-sketch[hot] // limit)
-
-    def of(self, slots: np.ndarray) -> np.ndarray:
-        return self.cells[slots]
+def cells_of_lists(sketch: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """For each counter, into how many cells the lists of its tokens are split: 1 for all but counters that stand out."""
+    limit = LIST if limit is None else limit
+    cells = np.ones(len(sketch), np.int64)
+    hot = sketch > limit + 4 * int(sketch.mean())
+    cells[hot] = -(-sketch[hot] // limit)
+    return cells
 
 
 def in_cells(tokens: np.ndarray, cells: np.ndarray, part: np.ndarray, both: bool, spread: bool = True) -> tuple[np.ndarray, np.ndarray]:
