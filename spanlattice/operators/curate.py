@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanlattice.operators.graph import components
+from spanlattice.operators.grouping import by_key
 from spanlattice.session import Scratch
 
 #: Markers between a data set's name and what follows, in the order in which they are tried.
@@ -137,6 +138,66 @@ def exemplars(nodes: DataFrame, ident: str, pairs: DataFrame, scratch: Scratch,
     return kept
 
 
+#: Items of a place in the first slice of near_exemplars, and items of a slice that one group holds against the exemplars found so far.
+SLICE, CHUNK = 20_000, 100_000
+
+
+def near_exemplars(items: DataFrame, distance: int, within: str, scratch: Scratch, seed: int = 0, first: int | None = None, chunk: int | None = None) -> DataFrame:
+    """(id): what ``exemplars`` keeps of items (id, h, ``within``), those of equal ``within`` whose hashes differ in at most ``distance`` bits being close.
+
+    No pairs are listed. The random order is gone through in slices, each as long as all before it: of a slice only what is close to
+    no exemplar so far (in chunks, each held against the exemplars of its place) goes to the sequential rule, one group for each place. Shuffled
+    are the items once, and the exemplars once for each chunk of a place. ``first`` and ``chunk`` see SLICE and CHUNK.
+    """
+    first, chunk = first or SLICE, chunk or CHUNK
+    rank = F.xxhash64(F.lit(seed).cast("bigint"), "id")
+    own = scratch.keep(items.select("id", "h", F.col(within).alias("w"), rank.alias("r")))
+    most = own.groupBy("w").count().agg(F.max("count")).first()[0] or 0
+
+    def bits(rows: list[tuple]) -> np.ndarray:
+        return np.array([r[2] for r in rows], np.int64).view(np.uint64)  # of a negative number its absolute value would be counted
+
+    def near(h: np.uint64, others: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(others ^ h) <= distance
+
+    def apart(rows: list[tuple]) -> list[tuple]:
+        """Of a chunk, what no exemplar is close to."""
+        left = [r for r in rows if not r[4]]
+        h, at = bits(left), np.arange(len(left))
+        for e in bits([r for r in rows if r[4]]):
+            if not len(at):
+                break
+            close = near(e, h)
+            if close.any():
+                at, h = at[~close], h[~close]
+        return [(left[i][0]["w"], *left[i][1:4]) for i in at]
+
+    def greedy(rows: list[tuple]) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: (r[3], r[1]))
+        h, at, stays = bits(rows), np.arange(len(rows)), []
+        while len(at):
+            stays.append(rows[at[0]])
+            left = ~near(h[0], h)
+            at, h = at[left], h[left]
+        return stays
+
+    schema = own.select("w", "id", "h", "r").schema
+    found, share, done = None, first / max(most, first), 0.0
+    while done < 1:
+        low, high = (int(f * 2**64) - 2**63 for f in (done, share))
+        new = own.filter(F.col("r") >= low) if share >= 1 else own.filter((F.col("r") >= low) & (F.col("r") < high))
+        if found is not None:
+            chunks = -(-int(most * (share - done)) // chunk)
+            cell = lambda n: F.struct("w", n.cast("bigint").alias("n")).alias("cell")
+            known = found.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select(cell(F.col("n")), "id", "h", "r", F.lit(True).alias("known"))
+            both = new.select(cell(F.pmod("r", F.lit(chunks))), "id", "h", "r", F.lit(False).alias("known")).unionAll(known)
+            new = by_key(both, "cell", apart, schema)
+        got = scratch.keep(by_key(new.select("w", "id", "h", "r"), "w", greedy, schema))
+        found = got if found is None else found.unionAll(got)
+        done, share = share, min(1.0, 2 * share)
+    return found.select("id")
+
+
 def example_weights(df: DataFrame, group: str, gamma: float = 0.3) -> DataFrame:
     """(group, n, weight): (1 / n) ^ gamma, scaled to add up to 1 over the groups."""
     n = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("_w", F.pow(1.0 / F.col("n"), F.lit(gamma)))

@@ -130,9 +130,8 @@ def image_dedup(spark, sf_dir):
     of = table(spark, sf_dir, "image_patch").groupBy(F.col("patch_id").alias("id")).agg(F.min("dataset").alias("dataset"))
     h = scratch.keep(image_hashes(spark, sf_dir).join(of, "id"))
     # data sets are kept apart: a class is one hash in one data set
-    classes = scratch.keep(h.groupBy("dataset", "h").agg(F.min("id").alias("id")).withColumn("class_id", F.col("id")))
-    pairs = curate.hash_pairs(classes, DISTANCE, BITS, together=2, within="dataset")
-    return curate.exemplars(classes.filter("id = class_id"), "id", pairs, scratch)
+    classes = h.groupBy("dataset", "h").agg(F.min("id").alias("id"))
+    return curate.near_exemplars(classes, DISTANCE, "dataset", scratch)
 
 
 @registry.query("dedup_greedy")

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanlattice.operators import boxes, consensus, curate, graph, metrics, tiles, track
 from spanlattice.operators.assign import assign, best_pairs
@@ -262,3 +263,16 @@ def test_exemplars(spark):
     kept = [r.id for r in curate.exemplars(classes.filter("id = class_id"), "id", pairs, Scratch(spark, "t")).collect()]
     assert len(kept) == len(set(kept)) and not any((a, b) in want for a in kept for b in kept)
     assert all(x in kept or any((min(x, k), max(x, k)) in want for k in kept) for x in reps)
+
+
+def test_near_exemplars(spark):
+    rnd = random.Random(7)
+    base = [rnd.getrandbits(64) - 2**63 for _ in range(12)]
+    items = [(i, rnd.choice(base) ^ sum(1 << b for b in rnd.sample(range(63), 5)), rnd.choice(["a", "b", None])) for i in range(240)]
+    classes = spark.createDataFrame(items, "id bigint, h bigint, place string")
+    pairs = curate.hash_pairs(classes.withColumn("class_id", F.col("id")), 12, 64, together=2, within="place")
+    want = {r.id for r in curate.exemplars(classes, "id", pairs, Scratch(spark, "t")).collect()}
+    assert 12 < len(want) < 200
+    for first, chunk in ((None, None), (7, 20), (40, 3)):  # one slice, or several, held against exemplars in chunks
+        assert sorted(r.id for r in curate.near_exemplars(classes, 12, "place", Scratch(spark, "t"), first=first, chunk=chunk).collect()) == sorted(want)
+    assert not curate.near_exemplars(classes.limit(0), 12, "place", Scratch(spark, "t")).count()
