@@ -32,24 +32,35 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Times that the bytes of a scratch table's files count in Spark's estimates.
+UNPACKED = 1000.0
+
+
 class Scratch:
     """Tables of one operator call, each written once and read back, so that a lost executor costs no recomputation.
 
     ``keep`` writes a table; ``drop`` removes one that no later plan reads. What is left when a result is returned may
     be read by it, so it stays until the caller has used the result and calls ``clear`` or empties the folder; operators take a
     Scratch of the caller, hold it as ``scratch`` or return a result with it (``handed``).
+
+    Spark takes the size of a table's files for that of its rows, and broadcasts what seems small. Regular tables pack a hundredfold and more, so
+    millions of rows went to the driver; here the files count UNPACKED times, and only sizes measured at an exchange make a join broadcast.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        # the factor is a setting of the session that reads; this one is for reading scratch tables only
+        self._reader = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+        self._reader.conf.set("spark.sql.sources.fileCompressionFactor", str(UNPACKED))
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.base}/{self.made}"
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        plan = self._reader.read.schema(df.schema).parquet(path)._jdf.queryExecution().analyzed()
+        out = DataFrame(self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, plan), self.spark)
         out._scratch_path = path
         return out
 

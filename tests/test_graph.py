@@ -276,3 +276,10 @@ def test_near_exemplars(spark):
     for first, chunk in ((None, None), (7, 20), (40, 3)):  # one slice, or several, held against exemplars in chunks
         assert sorted(r.id for r in curate.near_exemplars(classes, 12, "place", Scratch(spark, "t"), first=first, chunk=chunk).collect()) == sorted(want)
     assert not curate.near_exemplars(classes.limit(0), 12, "place", Scratch(spark, "t")).count()
+
+
+def test_scratch_tables_are_not_broadcast_by_their_packed_size(spark):
+    scratch = Scratch(spark, "t")
+    a, b = (scratch.keep(spark.range(1_000_000).select("id", F.lit(n).alias(c))) for n, c in ((1, "x"), (2, "y")))
+    assert a.join(b, "id")._jdf.queryExecution().executedPlan().toString().count("Broadcast") == 0
+    assert a.sparkSession is spark and a.join(b, "id").count() == 1_000_000
