@@ -73,7 +73,7 @@ def contour_watershed(voxels: DataFrame, seed_fg: float = 0.9, seed_bd: float =
     ``min_size`` are dropped; labels are the seeds' numbers plus ``divisor``. Rows with a null are background.
     """
     scratch = Scratch(voxels.sparkSession, "watershed")
-    v = voxels.select("z", "y", "x", "sem", "bd").dropna()
+    v = scratch.keep(voxels.select("z", "y", "x", "sem", "bd").dropna())  # what makes them may be many more rows than Spark estimates
     seed_cells = v.filter((F.col("sem") > int(255 * seed_fg)) & (F.col("bd") < int(255 * seed_bd)))
     seeds = scratch.keep(drop_small(voxel_components(seed_cells, scratch), "component", seed_size))
     order = scratch.keep(number_rows(seeds.select("component").distinct(), ["component"], "seed", scratch))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanlattice.operators import boxes, consensus, curate, graph, metrics, tiles, track
+from spanlattice.operators import boxes, consensus, curate, graph, metrics, tiles, track, watershed
 from spanlattice.operators.assign import assign, best_pairs
 from spanlattice.operators.numbering import number_rows
 from spanlattice.plans.orthoplane import boxes_of
@@ -283,3 +283,22 @@ def test_scratch_tables_are_not_broadcast_by_their_packed_size(spark):
     a, b = (scratch.keep(spark.range(1_000_000).select("id", F.lit(n).alias(c))) for n, c in ((1, "x"), (2, "y")))
     assert a.join(b, "id")._jdf.queryExecution().executedPlan().toString().count("Broadcast") == 0
     assert a.sparkSession is spark and a.join(b, "id").count() == 1_000_000
+
+
+def test_watershed_broadcasts_no_voxels(spark, monkeypatch):
+    plans, keep = [], Scratch.keep
+
+    def seen(self, df):
+        if {"part", "seed"} <= set(df.columns):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df)
+
+    monkeypatch.setattr(Scratch, "keep", seen)
+    at = lambda name: F.explode(F.sequence(F.lit(0), F.lit(3))).alias(name)
+    v = spark.range(20).select("id", at("y")).select("id", "y", at("k")).select(F.lit(0).alias("z"), "y", (6 * F.col("id") + F.col("k")).cast("int").alias("x"), F.lit(250).alias("sem"), F.lit(10).alias("bd"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")  # some hundred bytes, as Spark estimates v
+    try:
+        assert watershed.contour_watershed(v, seed_size=8, min_size=12).count() == 320
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans and not any("Broadcast" in p for p in plans)
