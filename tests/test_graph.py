@@ -157,6 +157,58 @@ def test_settle_clusters():
     assert consensus.settle_clusters(same, chain, True) == {2: {1, 2, 3, 4}}
 
 
+def test_large_components_settle_as_arrays(spark, monkeypatch):
+    rnd = random.Random(8)
+    for _ in range(60):
+        n = rnd.randrange(2, 40)
+        own = {3 * c: {rnd.randrange(200) for _ in range(rnd.randrange(1, 5))} for c in range(n)}
+        near = {c: set() for c in own}
+        for _ in range(rnd.randrange(3 * n)):
+            a, b = rnd.sample(sorted(own), 2)
+            near[a].add(b)
+            near[b].add(a)
+        rows = np.array([(c, m) for c, ms in own.items() for m in ms])
+        links = np.array([(a, b) for a in near for b in near[a] if a < b], np.int64).reshape(-1, 2)
+        assert {c: set(m.tolist()) for c, m in consensus.settle_arrays(*rows.T, *links.T)} == consensus.settle_clusters(own, near)
+    # a large component is never held as sets, whatever else is in its task
+    rows = [(k, k + c, 1000 * k + c) for k in (0, 5000, 9000) for c in range(60 if k else 3000)]
+    links = [(k, k + c, k + c + 1) for k in (0, 5000, 9000) for c in range(59 if k else 2999)]
+    settle, want = consensus.settle_clusters, set()
+    for k, n in ((0, 3000), (5000, 60), (9000, 60)):
+        settled = settle({k + c: {1000 * k + c} for c in range(n)}, {k + c: {k + x for x in (c - 1, c + 1) if 0 <= x < n} for c in range(n)})
+        want |= {(k, c, m) for c, ms in settled.items() for m in ms}
+
+    def small(own, *rest):
+        assert len(own) < 1000
+        return settle(own, *rest)
+
+    monkeypatch.setattr(consensus, "settle_clusters", small)
+    got = consensus.settled_members(spark.createDataFrame(rows, "component bigint, cluster bigint, node bigint"), spark.createDataFrame(links, "component bigint, c1 bigint, c2 bigint"))
+    assert {tuple(r) for r in got.coalesce(1).collect()} == want
+
+
+def test_merged_clusters(spark):
+    """Against all pairs: long overlaps, sums of short ones, shares of small clusters, across block edges."""
+    rnd = random.Random(9)
+    rows, at = [], {}
+    for c in range(120):
+        k, p = c % 3, rnd.randrange(consensus.SWEEP - 3000, consensus.SWEEP + 3000)
+        at[c] = set()
+        for _ in range(rnd.randrange(1, 12)):
+            w = rnd.choice([1, 2, 5, 30, 101, 140, 400])
+            rows.append((c, k, p, p + w))
+            at[c] |= set(range(p, p + w))
+            p += w + rnd.choice([1, 40, 300])
+    got = {r.cluster: r.root for r in consensus.merged_clusters(spark.createDataFrame(rows, "cluster bigint, component bigint, s bigint, e bigint"), Scratch(spark, "t"), (64, 1 << 14)).collect()}
+    root = {c: c for c in at}
+    for a, b in itertools.combinations(at, 2):
+        inter = len(at[a] & at[b])
+        if a % 3 == b % 3 and (inter > 100 or inter / len(at[a] | at[b]) > 0.01) and root[a] != root[b]:
+            x, y = sorted((root[a], root[b]))
+            root = {c: x if r == y else r for c, r in root.items()}
+    assert got == root and 3 < len(set(root.values())) < 100
+
+
 def test_tiles_round_trip_and_stitch(spark):
     """Discs seen through overlapping tiles come back as they were."""
     side, width = 200, 200
