@@ -172,8 +172,8 @@ def _nearest_on_grid(points: DataFrame, centers: DataFrame, keys: list[str], py:
     return out
 
 
-def panoptic_merge(pixels: DataFrame, divisor: int, things: list[int], stuff_area: int, void: int) -> DataFrame:
-    """(slice, y, x, pan) from (slice, y, x, sem, ins).
+def panoptic_merge(pixels: DataFrame, divisor: int, things: list[int], stuff_area: int, void: int, with_class: bool = False) -> DataFrame:
+    """(slice, y, x, pan) from (slice, y, x, sem, ins); ``with_class`` adds ``class_id``, null where void, which holds also with more instances than ``divisor``.
 
     An instance takes the most frequent class (ties: the least) of its pixels of thing classes, and those pixels; numbers run per slice and class in the
     order of instances. Of other classes, pixels without an instance count; if they are ``stuff_area`` or more they take the class's id, else ``void``.
@@ -181,11 +181,12 @@ def panoptic_merge(pixels: DataFrame, divisor: int, things: list[int], stuff_are
     thing = F.col("sem").isin(things)
     votes = pixels.filter(thing & (F.col("ins") > 0)).groupBy("slice", "ins", "sem").agg(F.count(F.lit(1)).alias("n"))
     won = votes.groupBy("slice", "ins").agg(F.min(F.struct((-F.col("n")).alias("n"), "sem")).alias("x")).select("slice", "ins", F.col("x.sem").alias("cls"))
-    ids = won.withColumn("k", F.row_number().over(W.partitionBy("slice", "cls").orderBy("ins"))).select("slice", "ins", (F.col("cls") * divisor + F.col("k")).alias("thing_pan"))
+    ids = won.withColumn("k", F.row_number().over(W.partitionBy("slice", "cls").orderBy("ins"))).select("slice", "ins", "cls", (F.col("cls") * divisor + F.col("k")).alias("thing_pan"))
     stuff = pixels.filter(~thing & (F.col("ins") <= 0)).groupBy("slice", "sem").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= stuff_area).select("slice", "sem", (F.col("sem") * divisor).alias("stuff_pan"))
     out = pixels.join(ids, ["slice", "ins"], "left").join(stuff, ["slice", "sem"], "left")
     pan = F.when(thing & (F.col("ins") > 0), F.col("thing_pan")).when(~thing & (F.col("ins") <= 0), F.col("stuff_pan"))
-    return out.select("slice", "y", "x", F.coalesce(pan, F.lit(void)).alias("pan"))
+    named = F.when(pan.isNotNull(), F.when(thing, F.col("cls")).otherwise(F.col("sem"))).cast("int").alias("class_id")
+    return out.select("slice", "y", "x", F.coalesce(pan, F.lit(void)).alias("pan"), *[named] * with_class)
 
 
 def boundary(pixels: DataFrame, label: str, size: int = 1) -> DataFrame:

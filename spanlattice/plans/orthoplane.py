@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spanlattice.operators.consensus import Consensus, semantic_consensus
 from spanlattice.operators.image import harden, nearest_center, panoptic_merge, peaks
 from spanlattice.operators.numbering import number_rows
-from spanlattice.operators.runs import encode
+from spanlattice.operators.runs import cut_at_edges, encode
 from spanlattice.operators.track import lift, track_backward, track_forward
 from spanlattice.plans.registry import apply_filters
 from spanlattice.session import Scratch
-from spanlattice.streaming.median import recursive_median
+from spanlattice.streaming.median import recursive_median_array
 
 AXES = ("xy", "xz", "yz")
 
@@ -26,28 +30,86 @@ def plane_shape(axis: str, shape: tuple[int, int, int]) -> tuple[int, int, int]:
     return {"xy": (d, h, w), "xz": (h, d, w), "yz": (w, d, h)}[axis]
 
 
-def slice_objects(pixels: DataFrame, stack: list[str], width: int, divisor: int) -> DataFrame:
-    """Objects (stack, class_id, slice, label, starts, runs) of panoptic pixels (stack, slice, y, x, pan)."""
+def slice_objects(pixels: DataFrame, stack: list[str], width: int, divisor: int, things: Sequence[int] = ()) -> DataFrame:
+    """Objects (stack, class_id, slice, label, starts, runs) of panoptic pixels (stack, slice, y, x, pan), and of their ``class_id`` if they have one.
+
+    Of classes in ``things``, each 8-connected part of an instance is an object of its own, as the matching of slices wants it. Their labels are
+    class_id * divisor and a number from 1 in the order of the first pixels of a slice; others keep their panoptic id.
+    """
     keys = [*stack, "class_id", "slice", "label"]
-    at = pixels.select(*stack, F.floor(F.col("pan") / divisor).cast("int").alias("class_id"), "slice", F.col("pan").cast("bigint").alias("label"), (F.col("y").cast("bigint") * width + F.col("x")).alias("i"))
-    packed = encode(at, keys, "i").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("r"))
-    return packed.select(*keys, F.transform("r", lambda x: x["s"]).alias("starts"), F.transform("r", lambda x: x["e"] - x["s"]).alias("runs"))
+    own = F.col("class_id") if "class_id" in pixels.columns else F.floor(F.col("pan") / divisor).cast("int").alias("class_id")
+    at = pixels.select(*stack, own, "slice", F.col("pan").cast("bigint").alias("label"), (F.col("y").cast("bigint") * width + F.col("x")).alias("i"))
+    runs = encode(at, keys, "i")
+    if things:
+        runs = cut_at_edges(runs, keys, width, None)
+    packed = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("r"))
+    if not things:
+        return packed.select(*keys, F.transform("r", lambda x: x["s"]).alias("starts"), F.transform("r", lambda x: x["e"] - x["s"]).alias("runs"))
+    whole, thing = list(things), F.col("class_id").isin(list(things))
+    schema = StructType([*[packed.schema[c] for c in keys], *StructType.fromDDL("starts array<bigint>, runs array<bigint>")])
+    parts = packed.mapInArrow(lambda batches: connected_parts(batches, keys, width, whole), schema)
+    number = F.row_number().over(W.partitionBy(*stack, "class_id", "slice").orderBy(F.col("starts")[0], "label"))
+    return parts.withColumn("label", F.when(thing, F.col("class_id").cast("bigint") * divisor + number).otherwise(F.col("label")))
+
+
+def connected_parts(batches: Iterator[pa.RecordBatch], keys: list[str], width: int, things: list[int]) -> Iterator[pa.RecordBatch]:
+    """(keys, starts, runs) of each 8-connected part of objects (keys, r: their runs, in order and cut at row ends); whole objects of other classes."""
+    for b in batches:
+        r = b.column(b.schema.get_field_index("r"))
+        n = r.value_lengths().to_numpy()
+        s, e = (r.flatten().field(k).to_numpy() for k in (0, 1))
+        owner, y, part = np.repeat(np.arange(len(n)), n), s // width, np.zeros(len(s), np.int64)
+        # a run that meets the one before it belongs to it; with only such runs an object is one part
+        follows = np.zeros(len(s), bool)
+        follows[1:] = (owner[1:] == owner[:-1]) & (y[1:] == y[:-1] + 1) & (s[1:] <= e[:-1] + width) & (s[:-1] + width <= e[1:])
+        thing = np.isin(b.column(b.schema.get_field_index("class_id")).to_numpy(zero_copy_only=False), things)
+        first = np.cumsum(n) - n
+        for k in np.flatnonzero(thing & (np.bincount(owner[follows], minlength=len(n)) < n - 1)).tolist():
+            i = slice(first[k], first[k] + n[k])
+            part[i] = _parts(s[i].tolist(), e[i].tolist(), y[i].tolist(), width)
+        order = np.lexsort((s, part, owner))
+        s, e, owner, part = s[order], e[order], owner[order], part[order]
+        begins = np.r_[True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]
+        joins = begins | np.r_[True, s[1:] != e[:-1]]  # a run that goes on in the next row is one
+        at = np.flatnonzero(joins)
+        s, e = s[at], e[np.r_[at[1:] - 1, len(e) - 1]]
+        ends = np.r_[np.flatnonzero(begins[at]), len(at)]
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v)) for v in (s, e - s)]
+        yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)).take(pa.array(owner[begins])) for k in keys], *lists], [*keys, "starts", "runs"])
+
+
+def _parts(s: list[int], e: list[int], y: list[int], width: int) -> list[int]:
+    """For each run, the first run of its part; runs are in order."""
+    up = list(range(len(s)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    above = 0
+    for i in range(len(s)):
+        while y[above] < y[i] - 1 or y[above] == y[i] - 1 and e[above] + width < s[i]:
+            above += 1
+        j = above
+        while y[j] == y[i] - 1 and s[j] + width <= e[i]:
+            a, c = find(i), find(j)
+            up[max(a, c)] = min(a, c)
+            j += 1
+    return [find(i) for i in range(len(s))]
 
 
 def segment_objects(pixels: DataFrame, stack: list[str], width: int, divisor: int, things: list[int], scratch: Scratch, median_size: int = 3, threshold: float = 0.5, nms_threshold: float = 0.1, nms_kernel: int = 7, stuff_area: int = 64, cell: float | None = None) -> DataFrame:
     """Slice objects, as slice_objects gives them, from what a model predicts: (stack, slice, y, x, sem array<double>, heat, off_y, off_x).
 
     Class probabilities pass the recursive median along the stack, each pixel and channel its own queue, and are hardened. Peaks of the heat are
-    centres; thing pixels go to the centre nearest to where their offsets point; classes and instances are merged by slice. Class 0,
-    pixels left void, and pixels whose ``sem`` is null or empty are in no object. ``cell`` see image.nearest_center.
+    centres; thing pixels go to the centre nearest to where their offsets point; classes and instances are merged by slice; instances of things that are
+    not connected come apart. Class 0, pixels left void, and pixels whose ``sem`` is null or empty are in no object. ``cell`` see image.nearest_center.
     """
-    at = [*stack, "slice", "y", "x"]
-    px = pixels.select(*at, "sem", "heat", "off_y", "off_x").filter(F.size("sem") > 0)
+    px = pixels.select(*stack, "slice", "y", "x", "sem", "heat", "off_y", "off_x").filter(F.size("sem") > 0)
     if median_size > 1:
-        channels = px.select(*at, F.posexplode("sem").alias("channel", "value"))
-        smooth = recursive_median(channels, [*stack, "y", "x", "channel"], ["slice"], "value", median_size)
-        sem = smooth.groupBy(*at).agg(F.transform(F.sort_array(F.collect_list(F.struct("channel", "median"))), lambda x: x["median"]).alias("sem"))
-        px = px.drop("sem").join(sem, at)
+        px = recursive_median_array(px, [*stack, "y", "x"], ["slice"], "sem", median_size)
     # the slice of a stack is one key from here on
     px = scratch.keep(px.select(F.struct(*stack, "slice").alias("slice"), "y", "x", harden(F.col("sem"), threshold).alias("sem"), "heat", "off_y", "off_x"))
     found = peaks(px.select("slice", "y", "x", "heat"), "heat", nms_threshold, nms_kernel, dense=False)
@@ -57,8 +119,8 @@ def segment_objects(pixels: DataFrame, stack: list[str], width: int, divisor: in
     points = px.filter(of_thing).select("slice", "y", "x", "sem", (F.col("y") + F.col("off_y")).alias("py"), (F.col("x") + F.col("off_x")).alias("px"))
     named = nearest_center(points, centers, ["slice"], cell=cell).select("slice", "y", "x", "sem", F.col("center").alias("ins"))
     rest = px.filter(~of_thing).select("slice", "y", "x", "sem", F.lit(0).alias("ins"))
-    pan = panoptic_merge(named.unionAll(rest), divisor, things, stuff_area, 0).filter(F.col("pan") >= divisor)
-    return slice_objects(pan.select(*[F.col("slice")[c].alias(c) for c in [*stack, "slice"]], "y", "x", "pan"), stack, width, divisor)
+    pan = panoptic_merge(named.unionAll(rest), divisor, things, stuff_area, 0, with_class=True).filter(F.col("class_id") > 0)
+    return slice_objects(pan.select(*[F.col("slice")[c].alias(c) for c in [*stack, "slice"]], "y", "x", "class_id", "pan"), stack, width, divisor, things)
 
 
 def track_axis(objects: DataFrame, axis: str, shape: tuple[int, int, int], divisor: int, scratch: Scratch, iou: float = 0.25, ioa: float = 0.25) -> DataFrame:

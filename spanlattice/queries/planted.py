@@ -132,11 +132,11 @@ def lift_boxes(spark, sf_dir):
 @registry.query("segment_planted", """with c as (select c_custkey k, c_nationkey slice from customer), r as (select k, slice, row_number() over (partition by slice order by k) n from c)
 select slice, cast(1000 + n as bigint) as label, cast(36 as bigint) area, cast(8 * k as bigint) x1 from r""")
 def segment_planted(spark, sf_dir):
-    """A class 1 square for each customer in the slice of its nation, from class probabilities, heat and offsets through median, grouping and merge to runs."""
+    """A class 1 square for each customer in the slice of its nation, from class probabilities, heat and offsets through median, grouping, merge and connected parts to runs."""
     at = lambda name: F.explode(F.sequence(F.lit(0), F.lit(5))).alias(name)
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("slice")).select("k", "slice", at("i")).select("k", "slice", "i", at("j"))
     heat = F.when((F.col("i") == 3) & (F.col("j") == 3), 1.0).otherwise(0.0)
     px = c.select("slice", F.col("i").alias("y"), (8 * F.col("k") + F.col("j")).alias("x"), F.array(F.lit(0.2), F.lit(0.8)).alias("sem"), heat.alias("heat"), (3.0 - F.col("i")).alias("off_y"), (3.0 - F.col("j")).alias("off_x"))
-    got = segment_objects(px, [], 8_000_000, 1000, [1], Scratch(spark, "segment"), median_size=1, stuff_area=1, nms_kernel=3, cell=8.0)
+    got = segment_objects(px, [], 8_000_000, 1000, [1], Scratch(spark, "segment"), stuff_area=1, nms_kernel=3, cell=8.0)
     size = F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + r)
     return got.select("slice", "label", size.alias("area"), F.pmod(F.col("starts")[0], F.lit(8_000_000)).alias("x1"))

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,6 +82,69 @@ def recursive_median(df: DataFrame, keys: list[str], order: list[str], value: st
     return df.select(*keys, *order, value).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def _filtered(value: np.ndarray, group: np.ndarray, size: int) -> np.ndarray:
+    """What MedianQueue makes of the values of each group, whose rows are together and in order; all groups take a step at a time."""
+    value, mid = value.copy(), size // 2
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[first, len(group)])
+    for at in range(mid, n.max(initial=0) - mid):
+        i = first[n > at + mid] + at
+        value[i] = np.median(value[i[:, None] + np.arange(-mid, mid + 1)], axis=1)
+    return value
+
+
+def recursive_median_array(df: DataFrame, keys: list[str], order: list[str], value: str, size: int) -> DataFrame:
+    """The rows with ``value``, an array of doubles, filtered by recursive_median, each element (channel) by itself; other columns stay as they are.
+
+    One exchange of the rows and no join; a task holds one key's rows at a time beyond a batch. Null and NaN elements come out null and do not enter the window.
+    """
+
+    def smooth(rows: pa.Table, group: np.ndarray) -> pa.Table:
+        lists = rows[value].combine_chunks()
+        flat, n = lists.flatten(), pc.list_value_length(lists).fill_null(0).to_numpy()
+        ends = np.cumsum(n)
+        channel, group = np.arange(len(flat)) - np.repeat(ends - n, n), np.repeat(group, n)
+        v = flat.to_numpy(zero_copy_only=False).astype(float)
+        for c in range(n.max(initial=0)):
+            i = np.flatnonzero((channel == c) & ~np.isnan(v))
+            v[i] = _filtered(v[i], group[i], size)
+        made = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(v, from_pandas=True), type=lists.type)
+        return rows.set_column(rows.schema.get_field_index(value), rows.schema.field(value), made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b])
+            new = starts(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), rows]) if held else rows)
+            new = new[1:] if held else new
+            at = np.flatnonzero(new)  # keys that begin here
+            if not len(at) or held == [] and len(at) == 1:
+                held.append(rows)
+                continue
+            whole = pa.concat_tables([*held, rows.slice(0, at[-1])])
+            held = [rows.slice(at[-1])]
+            yield from smooth(whole, np.cumsum(starts(whole))).to_batches()
+        if held:
+            whole = pa.concat_tables(held)
+            yield from smooth(whole, np.cumsum(starts(whole))).to_batches()
+
+    def starts(rows: pa.Table) -> np.ndarray:
+        """Whether each row's key is another than that of the row before."""
+        new = np.zeros(rows.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            c = rows[k].combine_chunks()
+            a, b = c.slice(1), c.slice(0, len(c) - 1)
+            same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+            new[1:] |= ~same.to_numpy(zero_copy_only=False)
+        return new
+
+    df = df.withColumn(value, F.col(value).cast("array<double>"))
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, df.schema)
+
+
 class MedianProcessor(StatefulProcessor):
     """MedianQueue as streaming state: rows (key, slice bigint, value double, last boolean) that arrive in slice order; ``last`` ends the stack.
 

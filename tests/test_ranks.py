@@ -8,6 +8,7 @@ from spanlattice.plans import registry
 from spanlattice.plans.orthoplane import segment_objects
 from spanlattice.session import Scratch
 from spanlattice.sources import tables, volume
+from spanlattice.streaming import median
 
 
 def test_hardest_mean(spark):
@@ -77,6 +78,46 @@ def test_segment_objects(spark):
     assert sorted(r.slice for r in raw.collect()) == [0, 1, 3, 4]
 
 
+def test_segment_objects_are_connected(spark):
+    """One centre for all thing pixels: parts that touch at corners only are one object, others one each; also beyond the divisor's numbers."""
+    picture = ["11.1.", "..1..", ".....", "1.1.1", "1.1.1", "111..", ".....", "..2.2"]
+    rows = [(0, y, x, [float(c == k) for k in ".12"], 1.0 if (y, x) == (0, 0) else 0.0, -float(y), -float(x)) for y, line in enumerate(picture) for x, c in enumerate(line)]
+    px = spark.createDataFrame(rows, "slice int, y int, x int, sem array<double>, heat double, off_y double, off_x double")
+    # by majority the instance is of class 1; pixels of class 2 are taken along, or with class 2 as stuff stay as they are
+    for divisor in (1000, 2):
+        for things in ([1, 2], [1]):
+            got = {(r.class_id, r.label - r.class_id * divisor, frozenset(i for s, n in zip(r.starts, r.runs) for i in range(s, s + n))) for r in segment_objects(px, [], 5, divisor, things, Scratch(spark, "t"), stuff_area=1).collect()}
+            want = {(1, 1, frozenset({0, 1, 3, 7})), (1, 2, frozenset({15, 17, 20, 22, 25, 26, 27})), (1, 3, frozenset({19, 24}))}
+            assert got == want | ({(1, 4, frozenset({37})), (1, 5, frozenset({39}))} if 2 in things else {(2, 0, frozenset({37, 39}))})
+
+
+def test_recursive_median_of_arrays(spark):
+    """As the queue of each pixel and channel, over the edges of batches, with nulls and arrays of several lengths."""
+    rnd = random.Random(4)
+    rows = [(k, z, [rnd.choice([None, float("nan"), rnd.random(), rnd.random()]) for _ in range(rnd.choice([1, 2, 2]))]) for k in [*range(40), None] for z in range(rnd.choice([1, 2, 5, 30]))]
+    df = spark.createDataFrame(rows, "k int, z int, v array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (3, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            for size in (3, 5):
+                got = {(r.k, r.z): r.v for r in median.recursive_median_array(df, ["k"], ["z"], "v", size).collect()}
+                want = {}
+                for k in {r[0] for r in rows}:
+                    own = [r for r in rows if r[0] == k]
+                    want |= {(k, z): [None] * len(v) for _, z, v in own}
+                    for c in range(2):
+                        q, out = median.MedianQueue(size), []
+                        for _, z, v in own:
+                            if len(v) > c and v[c] is not None and v[c] == v[c]:
+                                out += q.push(z, v[c])
+                        for z, m in out + q.end():
+                            want[(k, z)][c] = m
+                assert got == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_fill_last_wins_over_blocks(spark):
     rnd = random.Random(6)
     rows = [(s, s + rnd.randrange(1, 60), rnd.randrange(5), rnd.randrange(4)) for s in (rnd.randrange(-50, 200) for _ in range(40))]
