@@ -1,5 +1,7 @@
 import itertools
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -187,6 +189,65 @@ def test_large_components_settle_as_arrays(spark, monkeypatch):
     assert {tuple(r) for r in got.coalesce(1).collect()} == want
 
 
+def test_consensus_without_a_table_of_edges(spark, monkeypatch):
+    """Links by a sweep, pairs as far as areas leave them open: as from all edges, over blocks, with small, large and repeated objects."""
+    rnd = random.Random(12)
+    objects, rows = [], []
+    for n in range(400):
+        where, length = rnd.randrange(60_000), rnd.choice([1, 2, 9, 60, 100, 101, 900, 15_000])
+        at = (where // 7000) * 7000 + 10 if n % 5 == 0 else where
+        parts = [(at, at + length), (at + length + 3, at + 2 * length + 3)][: rnd.choice([1, 2])]
+        objects.append((n, rnd.randrange(4)))
+        rows += [(n, s, e) for s, e in parts]
+        if n % 4 == 0:  # nearly the same for another source
+            objects.append((1000 + n, (objects[-1][1] + 1) % 4))
+            rows += [(1000 + n, s, e + length // 9) for s, e in parts[-1:]] + [(1000 + n, s, e) for s, e in parts[:-1]]
+    o, r = spark.createDataFrame(objects, "node bigint, source int"), spark.createDataFrame(rows, "node bigint, s bigint, e bigint")
+    scratch = Scratch(spark, "t")
+    edges = scratch.keep(graph.overlap_edges(o, r, None))
+    pairs = lambda df: {tuple(x) for x in df.collect()}
+    joined = lambda e: pairs(graph.with_components(o.select("node"), e, scratch).select("node", "component"))
+    sized = r.join(o, "node").join(r.groupBy("node").agg(F.sum(F.col("e") - F.col("s")).alias("area")), "node")
+    for block in (512, 1 << 18):
+        assert joined(graph.overlap_links(sized, block)) == joined(edges)
+    members = {}
+    for least in (0.75, 0.3):
+        similar = edges.filter(F.col("iou") > least).select("u", "v")
+        assert pairs(consensus.similar_pairs(sized, least, (64, 1 << 14))) == pairs(similar) != set()
+        members = scratch.keep(graph.with_components(o.select("node"), similar, scratch).select("node", F.col("component").alias("cluster")))
+        rows = sized.join(members, "node").join(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster")
+        want = pairs(graph.cluster_edges(members, edges, consensus.MIN_IOU, consensus.MIN_OVERLAP).select("c1", "c2"))
+        assert pairs(consensus.between_clusters(rows, (64, 1 << 14))) == want and len(want) > 100
+
+    def never(*_):
+        raise AssertionError("all edges were listed")
+
+    whole = o.select("node", "source", *[F.lit(None).cast("int").alias(c) for c in ("z1", "z2", "y1", "y2", "x1", "x2")])
+    boxed = o.join(r.groupBy("node").agg(F.min("s").alias("x1"), F.max("e").alias("x2")), "node").selectExpr("node", "source", "0 as z1", "1 as z2", "0 as y1", "1 as y2", "x1", "x2")
+    for votes in (1, 2):
+        want = pairs(consensus.Consensus(boxed, r, 4, votes=votes).runs)
+        with monkeypatch.context() as m:
+            m.setattr(consensus, "overlap_edges", never)
+            got = pairs(consensus.Consensus(whole, r, 4, votes=votes, screen=False).runs)
+        assert got == want != set()
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    scratch = Scratch(spark, "t")
+
+    def files():
+        root = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+        return {f for d in root for at, _, names in os.walk(d.toString()) for f in names if f.startswith("shuffle_")}
+
+    before = files()
+    kept = scratch.keep(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count().repartition(3, "k"))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and kept.count() == 7
+
+
 def test_merged_clusters(spark):
     """Against all pairs: long overlaps, sums of short ones, shares of small clusters, across block edges."""
     rnd = random.Random(9)
