@@ -218,6 +218,8 @@ def test_consensus_without_a_table_of_edges(spark, monkeypatch):
         rows = sized.join(members, "node").join(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster")
         want = pairs(graph.cluster_edges(members, edges, consensus.MIN_IOU, consensus.MIN_OVERLAP).select("c1", "c2"))
         assert pairs(consensus.between_clusters(rows, (64, 1 << 14))) == want and len(want) > 100
+        rows = rows.join(graph.with_components(o.select("node"), edges, scratch), "node")
+        assert pairs(consensus.in_rounds(rows, lambda part: consensus.between_clusters(part, 64), scratch, 150)) == want
 
     def never(*_):
         raise AssertionError("all edges were listed")
